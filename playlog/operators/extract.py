@@ -45,7 +45,9 @@ def daily_coverage(source: DataFrame, customer: str, start: Day, end: Day) -> Da
     spine = source.sparkSession.range(1).select(F.explode(F.sequence(F.lit(first), F.lit(last))).alias("day"))
     # The counts have at most one row per day of the range, so their size is set by the parameters.
     n_rows = F.coalesce("n_rows", F.lit(0).cast("bigint"))
-    return spine.join(F.broadcast(counts), "day", "left").select("day", n_rows.alias("n_rows"), (n_rows > 0).alias("has_data"))
+    return spine.join(F.broadcast(counts), "day", "left").select(
+        "day", n_rows.alias("n_rows"), (n_rows > 0).alias("has_data")
+    )
 
 
 @dataclass(frozen=True)
@@ -97,18 +99,39 @@ def batch_extract(source: DataFrame, requests: DataFrame) -> DataFrame:
     return wanted.join(_plays_of(source, wanted)).select("dataset", *source.columns)
 
 
+def _daily_sums(source: DataFrame, wanted: RequestDays) -> DataFrame:
+    """Rows and minutes per customer and day, of small requests for what they ask only."""
+    plays = _plays_of(source, wanted)
+    keys = ["customerID", "request_day"]
+    if wanted.small:
+        # Drops all other plays on the map side, before anything is shuffled.
+        plays = plays.join(F.broadcast(wanted.days.select(*keys)), keys, "left_semi")
+    return sum_minutes(plays, {key: F.col(key) for key in keys}, zero=False, count="n")
+
+
 def request_counts(source: DataFrame, requests: DataFrame) -> DataFrame:
     """``dataset, n_rows, minsplayed`` of the requests that have plays.
 
     Plays are first combined per customer and day; only those sums meet the requests.
     """
     wanted = request_days(requests)
-    keys = {"customerID": F.col("customerID"), "request_day": F.col("request_day")}
-    daily = sum_minutes(_plays_of(source, wanted), keys, zero=False, count="n")
-    sums = wanted.join(daily).groupBy("dataset")
+    sums = wanted.join(_daily_sums(source, wanted)).groupBy("dataset")
     return shown(sums.agg(F.sum("n").alias("n_rows"), F.sum("minsplayed").alias("minsplayed")))
 
 
+def batch_coverage(source: DataFrame, requests: DataFrame) -> DataFrame:
+    """``dataset, customerID, day, n_rows, has_data`` for every day of every request."""
+    wanted = request_days(requests)
+    n_rows = F.coalesce("n", F.lit(0).cast("bigint"))
+    return wanted.days.join(_daily_sums(source, wanted), ["customerID", "request_day"], "left").select(
+        "dataset",
+        "customerID",
+        F.col("request_day").alias("day"),
+        n_rows.alias("n_rows"),
+        (n_rows > 0).alias("has_data"),
+    )
+
+
 def extract_report(requests: DataFrame, counts: DataFrame) -> DataFrame:
     """``dataset, customerID, n_rows, subject, message``: what the requester is told.
 

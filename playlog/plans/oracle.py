@@ -192,6 +192,14 @@ WITH spine AS (
 counts AS (
   SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM ({EVENT_PLAYS}) plays WHERE "customerID" = '149' GROUP BY 1)
 SELECT day, coalesce(n, 0) AS n_rows, coalesce(n, 0) > 0 AS has_data FROM spine LEFT JOIN counts USING (day)""",
+    "batch_coverage": f"""
+WITH days AS (
+  SELECT dataset, "customerID", CAST(unnest(generate_series("from", "to", INTERVAL 1 DAY)) AS DATE) AS day
+  FROM ({LATE_REQUESTS}) requests),
+counts AS (
+  SELECT "customerID", CAST(ts AS DATE) AS day, count(*) AS n FROM ({EVENT_PLAYS}) plays GROUP BY 1, 2)
+SELECT dataset, "customerID", day, coalesce(n, 0) AS n_rows, coalesce(n, 0) > 0 AS has_data
+FROM days LEFT JOIN counts USING ("customerID", day)""",
     "batch_extract": _request_sums(REQUESTS),
     "request_counts": _request_sums(LATE_REQUESTS),
     "extract_report": REPORT,

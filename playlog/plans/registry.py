@@ -128,6 +128,10 @@ def daily_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.daily_coverage(events_plays(spark, sf_dir, customer), customer, start, end)
 
 
+def batch_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.batch_coverage(events_plays(spark, sf_dir), inputs.late_requests(spark, sf_dir))
+
+
 def batch_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     extracts = extract.batch_extract(events_plays(spark, sf_dir), inputs.requests(spark, sf_dir))
     sums = extracts.groupBy("dataset").agg(F.count("*").alias("n_rows"), F.sum("minsplayed").alias("minsplayed"))
@@ -243,6 +247,7 @@ QUERIES: dict[str, Query] = {
         accepted_reads,
         customer_extract,
         daily_coverage,
+        batch_coverage,
         batch_extract,
         request_counts,
         extract_report,

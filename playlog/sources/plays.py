@@ -49,7 +49,8 @@ def load_plays(
 def conform(stored: DataFrame) -> DataFrame:
     """Check a stored frame against the plays schema and return its columns in that form.
 
-    A day key read from folder names arrives as a date and becomes text again; filters on it still prune partitions.
+    A day key read from folder names arrives as a date (or as void, where no play has a day) and becomes text again;
+    filters on it still prune partitions.
     Minutes keep their width when they are whole numbers or decimals.
     """
     missing = [name for name in PLAYS.fieldNames() if name not in stored.columns]
@@ -64,7 +65,7 @@ def conform(stored: DataFrame) -> DataFrame:
                 raise ValueError(f"not a plays dataset, minsplayed is {found.simpleString()}")
             if isinstance(found, T.FractionalType) and not isinstance(found, T.DecimalType):
                 column = column.cast(MINUTES_TYPE)
-        elif not isinstance(found, (T.StringType, T.DateType, T.IntegralType)):
+        elif not isinstance(found, (T.StringType, T.DateType, T.IntegralType, T.NullType)):
             raise ValueError(f"not a plays dataset, {field.name} is {found.simpleString()}")
         elif not isinstance(found, T.StringType):
             column = column.cast("string")

@@ -1,0 +1,151 @@
+from __future__ import annotations
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from helpers import SHAPES, plan, timestamped, values
+from playlog.functions.days import as_day, parse_day, parse_minute
+from playlog.operators import aggregate, export, validate
+from playlog.plans.registry import QUERIES
+from playlog.schema import EXPORT_COLUMNS
+
+ROWS = [
+    ("1", "a", "1", "2024-01-10 07:59:59"),
+    ("1", "a", "2", "2024-01-10 08:00:00"),
+    ("1", "b", "3", "2024-01-10 14:00:59.9"),
+    ("1", "b", "4", "2024-01-10 14:01:00"),
+]
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_window_is_inclusive_to_the_minute(spark, shape):
+    plays = shape(spark, ROWS)
+    found = export.raw_window(plays, "2024-01-10 8:00", "2024-01-10 14:00")
+    assert found.columns == ["customerID", "genre", "minsplayed"]
+    assert sorted(row["minsplayed"] for row in found.collect()) == [2, 3]
+    assert export.raw_window(plays, "2024-01-10 14:01", "2024-01-10 14:01").count() == 1
+    picked = export.raw_window(plays, "2024-01-10 08:00", "2024-01-10 08:00", EXPORT_COLUMNS)
+    assert values(picked) == [("1", "a", 2, "2024-01", "2024-01-10", "2024-01-10 08", "2024-01-10 08:00")]
+
+
+def test_window_rules(spark):
+    plays = timestamped(spark, ROWS)
+    with pytest.raises(ValueError, match="6 hours or less"):
+        export.raw_window(plays, "2024-01-10 08:00", "2024-01-10 14:01")
+    assert export.raw_window(plays, "2024-01-10 14:00", "2024-01-10 08:00").isEmpty()
+    for columns in (["genre", "ts"], []):
+        with pytest.raises(ValueError, match="pick columns"):
+            export.raw_window(plays, "2024-01-10 08:00", "2024-01-10 09:00", columns)
+    with pytest.raises(ValueError):
+        export.raw_window(plays, "2024-01-10 xx", "2024-01-10 09:00")
+
+
+def test_pages_are_a_top_k(spark):
+    table = spark.range(25).select(F.col("id").alias("n"))
+    pages = [[row["n"] for row in export.page(table, number, ["n"]).collect()] for number in range(4)]
+    assert pages == [list(range(10)), list(range(10, 20)), list(range(20, 25)), []]
+    assert "TakeOrderedAndProject" in plan(export.page(table, 1, ["n"]))
+
+
+def test_labels(spark):
+    rows = [("1", "a", "2", "1998-12-09 08:05:00"), ("1", "a", "1", "1999-01-10 23:00:00")]
+    plays = timestamped(spark, rows)
+    hours = export.display_table(aggregate.play_minutes(plays, "1998-12-09", "1998-12-09"))
+    assert values(hours) == [("8:00", "08:00", "a", 2.0)]
+    days = export.display_table(aggregate.play_minutes(plays, "1998-12-01", "1998-12-31"))
+    assert values(days) == [("09/12/1998", "09 Dec", "a", 2.0)]
+    months = export.display_table(aggregate.play_minutes(plays, "1998-12-01", "1999-01-31"))
+    assert values(months) == [("12/1998", "Dec", "a", 2.0), ("1/1999", "Jan", "a", 1.0)]
+    april = timestamped(spark, [("1", "a", "2", "2019-04-09 08:05:00")])
+    assert values(export.display_table(aggregate.play_minutes(april, "2019-04-01", "2019-04-30")))[0][0] == "09/4/2019"
+
+
+INPUT = (
+    "dataset string, import_from date, import_to date, view_from date, view_to date, raw_from date, raw_to date, "
+    "raw_start string, raw_end string"
+)
+
+
+def errors_of(spark, listed=("known",), **changes):
+    day = dt.date(2024, 1, 10)
+    row = {
+        "dataset": "known", "import_from": day, "import_to": day, "view_from": day, "view_to": day,
+        "raw_from": day, "raw_to": day, "raw_start": "08:00", "raw_end": "14:00", **changes,
+    }
+    inputs = spark.createDataFrame([tuple(row.values())], INPUT)
+    datasets = spark.createDataFrame([(name,) for name in listed], "dataset string")
+    (checked,) = validate.validate_requests(inputs, datasets).collect()
+    assert checked["valid"] == (not any(checked[name] for name in validate.ERRORS))
+    return [name for name in validate.ERRORS if checked[name]]
+
+
+@pytest.mark.parametrize(
+    "changes, expected",
+    [
+        ({}, []),
+        ({"listed": ("known", "known")}, []),
+        ({"dataset": "unknown"}, ["dataset_error"]),
+        ({"dataset": ""}, []),
+        ({"dataset": None}, []),
+        ({"import_to": dt.date(2024, 1, 9)}, ["import_error"]),
+        ({"view_to": dt.date(2024, 1, 9)}, ["view_error"]),
+        ({"raw_end": "14:01"}, ["range_error"]),
+        ({"raw_end": "07:00"}, []),
+        ({"raw_start": "8:05"}, []),
+        ({"raw_start": "xx"}, ["start_error"]),
+        ({"raw_start": None}, ["start_error"]),
+        ({"raw_end": "25:00"}, ["end_error"]),
+        ({"raw_from": None}, ["start_error"]),
+        ({"raw_to": dt.date(2024, 1, 11), "raw_start": "22:00", "raw_end": "4:00"}, []),
+        ({"raw_to": dt.date(2024, 1, 11), "raw_start": "22:00", "raw_end": "4:01"}, ["range_error"]),
+        ({"dataset": "x", "import_to": dt.date(2024, 1, 9), "raw_end": ""}, ["dataset_error", "import_error", "end_error"]),
+    ],
+)
+def test_rules(spark, changes, expected):
+    assert errors_of(spark, **changes) == expected
+
+
+def test_only_accepted_reads_pass(spark):
+    day, before = dt.date(2024, 1, 10), dt.date(2024, 1, 9)
+    rows = [("known", day, day), ("known", day, before), ("unknown", day, day), ("", day, day), (None, day, day), ("known", None, day)]
+    inputs = spark.createDataFrame(rows, "dataset string, import_from date, import_to date")
+    listed = spark.createDataFrame([("known",), ("known",), ("",)], "dataset string")
+    assert values(validate.accepted_reads(inputs, listed)) == [("known", day, day)]
+
+
+def test_days_in_both_forms(spark):
+    assert as_day("20240110") == as_day("2024-01-10") == as_day(dt.datetime(2024, 1, 10, 5)) == dt.date(2024, 1, 10)
+    texts = spark.createDataFrame([("20240110",), ("2024-01-10",), ("2024-1-9",), ("20240231",), ("x",), (None,)], "t string")
+    got = [row[0] for row in texts.select(parse_day(F.col("t"))).collect()]
+    assert got == [dt.date(2024, 1, 10), dt.date(2024, 1, 10), dt.date(2024, 1, 9), None, None, None]
+    times = spark.createDataFrame([("8:05",), (" 08:05 ",), ("8:5",), ("08:05:01",), ("24:00",)], "t string")
+    parsed = [row[0] for row in times.select(parse_minute(F.lit(dt.date(2024, 1, 10)), F.col("t"))).collect()]
+    assert parsed == [dt.datetime(2024, 1, 10, 8, 5)] * 2 + [None] * 3
+
+
+PUSHED = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_plans_stay_in_the_jvm(spark, name):
+    text = plan(QUERIES[name](spark, PUSHED))
+    for word in ("Python", "Pandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
+        assert word not in text
+
+
+@pytest.mark.parametrize(
+    "name, columns, filters",
+    [
+        ("daily_minutes", "struct<ts:timestamp_ntz,event_type:string,value:double>", "GreaterThanOrEqual(ts,2024-01-01T00:00), LessThan(ts,2024-01-31T00:00)"),
+        ("raw_window", "struct<ts:timestamp_ntz,user_id:bigint,event_type:string,value:double>", "LessThan(ts,2024-01-10T14:01)"),
+        ("customer_extract", "struct<ts:timestamp_ntz,user_id:bigint,event_type:string,value:double>", "EqualTo(user_id,149)"),
+        ("daily_coverage", "struct<ts:timestamp_ntz,user_id:bigint>", "EqualTo(user_id,149)"),
+        ("monthly_minutes", "struct<l_quantity:double,l_returnflag:string,l_shipdate:timestamp_ntz>", "LessThan(l_shipdate,2002-01-01T00:00)"),
+    ],
+)
+def test_filters_and_columns_reach_the_scan(spark, name, columns, filters):
+    text = QUERIES[name](spark, PUSHED)._jdf.queryExecution().executedPlan().toString()
+    assert f"ReadSchema: {columns}" in text
+    assert filters in text
