@@ -7,6 +7,8 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from playlog.messages import DATES_REVERSED
+
 Day = dt.date | str
 Moment = dt.datetime | str
 
@@ -32,7 +34,7 @@ def day_range(start: Day, end: Day) -> tuple[dt.date, dt.date]:
     """Both ends of a range, in order."""
     first, last = as_day(start), as_day(end)
     if last < first:
-        raise ValueError("Error: The end date must be the same as or after the start date")
+        raise ValueError(DATES_REVERSED)
     return first, last
 
 

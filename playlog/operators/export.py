@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from playlog.functions.days import Moment, as_minute
 from playlog.functions.keys import with_text_keys, within_minutes
+from playlog.messages import RANGE_TOO_LONG
 from playlog.operators.aggregate import bucket_of
 from playlog.schema import DEFAULT_EXPORT, EXPORT_COLUMNS
 
@@ -24,7 +25,7 @@ def raw_window(
     A window that ends before it starts is empty.
     """
     if as_minute(end) - as_minute(start) > LONGEST_WINDOW:
-        raise ValueError("Error: Selected range must be 6 hours or less")
+        raise ValueError(RANGE_TOO_LONG)
     unknown = [name for name in columns if name not in EXPORT_COLUMNS]
     if unknown or not columns:
         raise ValueError(f"pick columns out of {', '.join(EXPORT_COLUMNS)}; not {', '.join(unknown) or 'none'}")

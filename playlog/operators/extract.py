@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from playlog.functions.days import Day, day_range, report_day
 from playlog.functions.keys import play_day, within_days
 from playlog.functions.minutes import shown, sum_minutes
+from playlog.messages import REPORT_EMPTY, REPORT_READY
 
 # Request days broadcast up to this size: about the bytes of their text and dates, before Java overhead.
 BROADCAST_ROWS = 1_000_000
@@ -146,7 +147,7 @@ def extract_report(requests: DataFrame, counts: DataFrame) -> DataFrame:
         "dataset",
         "customerID",
         n_rows.alias("n_rows"),
-        F.when(found, "Your report is ready!").otherwise("Data request: No data found").alias("subject"),
+        F.when(found, REPORT_READY).otherwise(REPORT_EMPTY).alias("subject"),
         F.concat(
             asked,
             F.when(found, F.format_string("the data are available under dataset ID %s.", F.col("dataset"))).otherwise(

@@ -6,16 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from playlog.functions.days import parse_minute
-
-# The messages people see.
-NOT_FOUND = (
-    "Error: Dataset not found, check ID again. \n"
-    " If the dataset was requested over 4 weeks ago, it has been deleted and must be requested again."
-)
-DATES_REVERSED = "Error: The end date must be the same as or after the start date"
-RANGE_TOO_LONG = "Error: Selected range must be 6 hours or less"
-START_INVALID = "Error: Start time is not valid"
-END_INVALID = "Error: End time is not valid"
+from playlog.messages import DATES_REVERSED, END_INVALID, NOT_FOUND, RANGE_TOO_LONG, START_INVALID
 
 ERRORS = ["dataset_error", "import_error", "view_error", "range_error", "start_error", "end_error"]
 

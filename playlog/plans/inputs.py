@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playlog.operators.extract import dataset_id
+from playlog.sources.plays import read_events
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One request per user: from the user's first day on, for up to 20 days."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    users = events.groupBy("user_id").agg(F.min("ts").alias("timestamp"))
+    users = read_events(spark, sf_dir).groupBy("user_id").agg(F.min("ts").alias("timestamp"))
     user = F.concat(F.lit("user"), F.col("user_id").cast("string"))
     first = F.to_date("timestamp")
     return users.select(

@@ -1,6 +1,6 @@
 """Extraction as a job: one request in, a dataset and a report out.
 
-    spark-submit playlog/plans/job.py --source plays --root /data/store --customerID 0612 \\
+    python -m playlog.plans.job --source plays --root /data/store --customerID 0612 \\
         --start 20190401 --end 20190430 --dataset user20190501080000
 """
 
@@ -24,11 +24,15 @@ def extract_dataset(source: DataFrame, root: str, dataset: str, customer: str, s
     plays = customer_extract(source, customer, first, last)
     spark = source.sparkSession
     request = spark.range(1).select(
-        F.lit(dataset).alias("dataset"), F.lit(str(customer)).alias("customerID"), F.lit(first).alias("from"), F.lit(last).alias("to")
+        F.lit(dataset).alias("dataset"),
+        F.lit(str(customer)).alias("customerID"),
+        F.lit(first).alias("from"),
+        F.lit(last).alias("to"),
     )
     if plays.isEmpty():
         return extract_report(request, spark.createDataFrame([], "dataset string, n_rows bigint"))
     write_dataset(plays, root, dataset)
+    # Counted in the files, whose footers hold the number of rows.
     written = spark.read.parquet(dataset_path(root, dataset))
     counts = written.agg(F.count("*").alias("n_rows")).select(F.lit(dataset).alias("dataset"), "n_rows")
     return extract_report(request, counts)

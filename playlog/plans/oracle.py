@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from playlog.operators import validate
+from playlog import messages
 
 
 def _text(value: str) -> str:
@@ -98,12 +98,12 @@ WITH inputs AS (
   FROM ({INPUTS}) typed),
 checked AS (
   SELECT *,
-    CASE WHEN dataset <> '' AND NOT known THEN {_text(validate.NOT_FOUND)} END AS dataset_error,
-    CASE WHEN import_to < import_from THEN {_text(validate.DATES_REVERSED)} END AS import_error,
-    CASE WHEN view_to < view_from THEN {_text(validate.DATES_REVERSED)} END AS view_error,
-    CASE WHEN end_at - start_at > INTERVAL 6 HOUR THEN {_text(validate.RANGE_TOO_LONG)} END AS range_error,
-    CASE WHEN start_at IS NULL THEN {_text(validate.START_INVALID)} END AS start_error,
-    CASE WHEN end_at IS NULL THEN {_text(validate.END_INVALID)} END AS end_error
+    CASE WHEN dataset <> '' AND NOT known THEN {_text(messages.NOT_FOUND)} END AS dataset_error,
+    CASE WHEN import_to < import_from THEN {_text(messages.DATES_REVERSED)} END AS import_error,
+    CASE WHEN view_to < view_from THEN {_text(messages.DATES_REVERSED)} END AS view_error,
+    CASE WHEN end_at - start_at > INTERVAL 6 HOUR THEN {_text(messages.RANGE_TOO_LONG)} END AS range_error,
+    CASE WHEN start_at IS NULL THEN {_text(messages.START_INVALID)} END AS start_error,
+    CASE WHEN end_at IS NULL THEN {_text(messages.END_INVALID)} END AS end_error
   FROM inputs)
 SELECT * EXCLUDE (start_at, end_at, known),
   coalesce(dataset_error, import_error, view_error, range_error, start_error, end_error) IS NULL AS valid
@@ -123,7 +123,7 @@ WITH requests AS ({LATE_REQUESTS}), counts AS ({_request_sums('SELECT * FROM req
 joined AS (
   SELECT requests.*, coalesce(n_rows, 0) AS n_rows FROM requests LEFT JOIN counts USING (dataset))
 SELECT dataset, "customerID", n_rows,
-  CASE WHEN n_rows > 0 THEN 'Your report is ready!' ELSE 'Data request: No data found' END AS subject,
+  CASE WHEN n_rows > 0 THEN {_text(messages.REPORT_READY)} ELSE {_text(messages.REPORT_EMPTY)} END AS subject,
   'Customer ' || "customerID" || ', ' || strftime("from", '%d/%m/%Y') || ' - ' || strftime("to", '%d/%m/%Y') || ': ' ||
   CASE WHEN n_rows > 0 THEN 'the data are available under dataset ID ' || dataset || '.'
        ELSE 'no data were found for this period. Data older than 6 months may have been deleted.' END AS message

@@ -10,13 +10,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
-from playlog.functions.keys import with_text_keys
+from playlog.functions.keys import play_day, with_text_keys
 from playlog.sources.catalog import dataset_path
 
 
 def stored(plays: DataFrame) -> DataFrame:
-    """The form a dataset is kept in: text keys in place of the timestamp."""
-    return with_text_keys(plays).drop("ts")
+    """The form a dataset is kept in: text keys in place of the timestamp, at least the day's."""
+    plays = with_text_keys(plays)
+    if "ymd" not in plays.columns:
+        plays = plays.withColumn("ymd", play_day(plays).cast("string"))
+    return plays.drop("ts")
 
 
 def _writer(plays: DataFrame, mode: str, max_records: int) -> DataFrameWriter:
@@ -43,7 +46,9 @@ def write_batch(extracts: DataFrame, root: str, mode: str = "errorifexists", max
     Days are not folders here, as many small datasets would make many tiny files; rows are sorted by minute inside a
     file, so that the statistics in it let a range of days skip what it does not need.
     """
-    rows = stored(extracts).hint("rebalance", "dataset").sortWithinPartitions("dataset", "ymdhm")
+    rows = stored(extracts)
+    order = "ymdhm" if "ymdhm" in rows.columns else "ymd"
+    rows = rows.hint("rebalance", "dataset").sortWithinPartitions("dataset", order)
     _writer(rows, mode, max_records).partitionBy("dataset").parquet(root)
     return root
 

@@ -30,6 +30,15 @@ def test_window_is_inclusive_to_the_minute(spark, shape):
     assert values(picked) == [("1", "a", 2, "2024-01", "2024-01-10", "2024-01-10 08", "2024-01-10 08:00")]
 
 
+def test_zoned_timestamps(spark):
+    plays = timestamped(spark, ROWS).withColumn("ts", F.col("ts").cast("timestamp"))
+    found = export.raw_window(plays, "2024-01-10 08:00", "2024-01-10 14:00")
+    assert sorted(row["minsplayed"] for row in found.collect()) == [2, 3]
+    table = aggregate.play_minutes(plays, "2024-01-10", "2024-01-10")
+    assert table.dtypes[0] == ("Time", "timestamp_ntz")
+    assert values(table)[0] == (dt.datetime(2024, 1, 10, 14), "b", 7.0)
+
+
 def test_window_rules(spark):
     plays = timestamped(spark, ROWS)
     with pytest.raises(ValueError, match="6 hours or less"):

@@ -87,6 +87,15 @@ def test_hot_dataset_gets_many_files_and_small_ones_few(spark, tmp_path):
     assert catalog.dataset_catalog(spark, str(tmp_path / "store")).agg(F.sum("n_rows")).first()[0] == 40_000
 
 
+def test_source_without_text_keys_is_written_by_day(spark, tmp_path):
+    wide = spark.sql("select '612' customerID, 9L starttimesecond, 2024 year, 1 month, 8 day")
+    path = datasets.write_dataset(wide, str(tmp_path), "wide")
+    assert [p.name for p in (tmp_path / "dataset=wide").glob("ymd=*")] == ["ymd=2024-01-08"]
+    datasets.write_batch(wide.withColumn("dataset", F.lit("w")), str(tmp_path / "batch"))
+    compact = datasets.compact_dataset(spark, path, str(tmp_path / "compact"))
+    assert spark.read.parquet(compact).select("ymd", "starttimesecond").first() == ("2024-01-08", 9)
+
+
 def test_records_per_file(spark, tmp_path):
     plays = timestamped(spark, ROWS[:1] * 10)
     datasets.write_dataset(plays, str(tmp_path), "ann1", max_records=4)
