@@ -27,17 +27,30 @@ def _writer(plays: DataFrame, mode: str, max_records: int) -> DataFrameWriter:
 
 
 def write_dataset(
-    plays: DataFrame, root: str, dataset: str, mode: str = "errorifexists", max_records: int = 0
+    plays: DataFrame,
+    root: str,
+    dataset: str,
+    mode: str = "errorifexists",
+    max_records: int = 0,
+    rebalance: bool = True,
 ) -> str:
-    """Write a dataset with one folder per day and return its path. A dataset that exists is an error."""
+    """Write a dataset with one folder per day and return its path. A dataset that exists is an error.
+
+    ``rebalance=False`` writes rows where they were read, without a shuffle: for an extract that keeps a large part of
+    a source laid out by day. A small extract would get a small file from each task of the scan.
+    """
     path = dataset_path(root, dataset)
-    _writer(stored(plays).hint("rebalance", "ymd"), mode, max_records).partitionBy("ymd").parquet(path)
+    rows = stored(plays)
+    rows = rows.hint("rebalance", "ymd") if rebalance else rows
+    _writer(rows, mode, max_records).partitionBy("ymd").parquet(path)
     return path
 
 
-def append_dataset(plays: DataFrame, root: str, dataset: str, max_records: int = 0) -> str:
+def append_dataset(
+    plays: DataFrame, root: str, dataset: str, max_records: int = 0, rebalance: bool = True
+) -> str:
     """Add plays to a dataset, or start it."""
-    return write_dataset(plays, root, dataset, "append", max_records)
+    return write_dataset(plays, root, dataset, "append", max_records, rebalance)
 
 
 def write_batch(extracts: DataFrame, root: str, mode: str = "errorifexists", max_records: int = 0) -> str:

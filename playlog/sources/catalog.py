@@ -43,30 +43,34 @@ def dataset_listing(spark: SparkSession, root: str) -> DataFrame:
 def dataset_catalog(spark: SparkSession, root: str) -> DataFrame:
     """One row per dataset: rows, days with data, first and last day, customer.
 
-    Only the customer and day columns are read. The first aggregation runs per dataset and day, so a dataset that
-    holds most of the store is combined in many tasks before its day rows meet in the second one.
+    Only the customer and day columns are read. Rows are counted per file, day and customer where they are read, so a
+    dataset that holds most of the store is counted by all tasks. What works on text, taking paths apart and finding
+    the least customer, sees those counts only: a minimum of text over plays would make Spark sort them.
     """
-    path = F.col("_metadata.file_path")
     plays = (
         spark.read.schema("customerID string, ymd string")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.parquet")
         .parquet(root)
-        .select(
-            _dataset_of(path, root).alias("dataset"),
-            F.coalesce("ymd", F.nullif(F.regexp_extract(path, r"/ymd=(\d{4}-\d{2}-\d{2})/", 1), F.lit(""))).alias("ymd"),
-            "customerID",
-        )
+        .select(F.col("_metadata.file_path").alias("path"), "customerID", "ymd")
     )
+    files = plays.groupBy("path", "ymd", "customerID").agg(F.count("*").alias("n"))
+    day_folder = F.nullif(F.regexp_extract("path", r"/ymd=(\d{4}-\d{2}-\d{2})/", 1), F.lit(""))
     days = (
-        plays.where(F.col("dataset") != "")
-        .groupBy("dataset", "ymd")
-        .agg(F.count("*").alias("n"), F.min("customerID").alias("customerID"))
+        files.select(
+            _dataset_of(F.col("path"), root).alias("folder"), F.coalesce("ymd", day_folder).alias("ymd"), "n", "customerID"
+        )
+        .groupBy("folder", "ymd")
+        .agg(F.sum("n").alias("n"), F.min("customerID").alias("customerID"))
     )
-    return days.groupBy("dataset").agg(
+    datasets = days.groupBy("folder").agg(
+        F.max("folder").alias("dataset"),
         F.min("customerID").alias("customerID"),
         F.sum("n").alias("n_rows"),
         F.count("ymd").alias("n_days"),
         F.min("ymd").alias("first_day"),
         F.max("ymd").alias("last_day"),
     )
+    # Files right below the root are no dataset. On the grouping column, the optimizer would move this test down to
+    # every play.
+    return datasets.where(F.col("dataset") != "").drop("folder")

@@ -38,7 +38,7 @@ def test_dataset_reads_back_as_written(spark, tmp_path):
     assert Counter(values(loaded)) == KEYED
     with pytest.raises(AnalysisException, match="PATH_ALREADY_EXISTS"):
         datasets.write_dataset(plays, str(tmp_path), "ann1")
-    datasets.append_dataset(plays.limit(1), str(tmp_path), "ann1")
+    datasets.append_dataset(plays.limit(1), str(tmp_path), "ann1", rebalance=False)
     assert load_plays(spark, path).count() == 4
 
 
@@ -108,6 +108,7 @@ def test_catalog_of_all_layouts(spark, tmp_path):
     datasets.write_dataset(plays, str(root), "by_day")
     text_keyed(spark, ROWS[:2]).write.parquet(str(root / "flat"))
     (root / "empty").mkdir()
+    text_keyed(spark, ROWS[:2]).coalesce(1).write.mode("append").parquet(str(root))
     expected = {
         ("by_day", "612", 3, 2, "2024-01-08", "2024-01-10"),
         ("flat", "612", 2, 1, "2024-01-08", "2024-01-08"),
@@ -117,6 +118,9 @@ def test_catalog_of_all_layouts(spark, tmp_path):
         listing = {row["dataset"]: row for row in catalog.dataset_listing(spark, name).collect()}
         assert set(listing) == {"by_day", "flat"}
         assert listing["by_day"]["n_files"] == 2 and listing["flat"]["n_bytes"] > 0
+    counted = plan(catalog.dataset_catalog(spark, str(root))).splitlines()
+    nearest_to_scan = [line for line in counted if "Aggregate" in line][-1]
+    assert "HashAggregate" in nearest_to_scan and "regexp" not in counted[-1]
     listed = plan(catalog.dataset_listing(spark, str(root)))
     assert "ReadSchema: struct<path:string,length:bigint>" in listed
 
