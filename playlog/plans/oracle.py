@@ -130,12 +130,10 @@ SELECT dataset, "customerID", n_rows,
 FROM joined"""
 
 CATALOG = f"""
-SELECT dataset, min(plays."customerID") AS "customerID", count(*) AS n_rows,
+SELECT genre AS dataset, min("customerID") AS "customerID", count(*) AS n_rows,
        count(DISTINCT CAST(ts AS DATE)) AS n_days,
        strftime(min(ts), '%Y-%m-%d') AS first_day, strftime(max(ts), '%Y-%m-%d') AS last_day
-FROM ({REQUESTS}) requests JOIN ({EVENT_PLAYS}) plays
-  ON plays."customerID" = requests."customerID" AND CAST(ts AS DATE) BETWEEN "from" AND "to"
-GROUP BY dataset"""
+FROM ({EVENT_PLAYS}) plays GROUP BY genre"""
 
 EVENT_ROWS = f'SELECT "customerID", genre, CAST(minsplayed AS DOUBLE) AS minsplayed, ts FROM ({EVENT_PLAYS}) plays'
 

@@ -189,16 +189,19 @@ def compact_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(load_plays(spark, datasets.compact_dataset(spark, path, f"{path}-compact")))
 
 
+def _store_of_genres(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """A store with one dataset per genre: their number does not grow with the tables, as one per user would."""
+    plays = events_plays(spark, sf_dir).withColumn("dataset", F.col("genre"))
+    return datasets.write_batch(plays, work_folder(spark, name))
+
+
 def dataset_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    extracts = extract.batch_extract(events_plays(spark, sf_dir), inputs.requests(spark, sf_dir))
-    return catalog.dataset_catalog(spark, datasets.write_batch(extracts, work_folder(spark, "catalog")))
+    return catalog.dataset_catalog(spark, _store_of_genres(spark, sf_dir, "catalog"))
 
 
 def dataset_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A store with one dataset per genre."""
-    plays = events_plays(spark, sf_dir).withColumn("dataset", F.col("genre"))
-    root = datasets.write_batch(plays, work_folder(spark, "listing"))
-    return catalog.dataset_listing(spark, root).select("dataset", (F.col("n_bytes") > 0).alias("has_data"))
+    listing = catalog.dataset_listing(spark, _store_of_genres(spark, sf_dir, "listing"))
+    return listing.select("dataset", (F.col("n_bytes") > 0).alias("has_data"))
 
 
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
