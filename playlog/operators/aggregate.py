@@ -6,7 +6,7 @@ has one row per bucket and genre, or per genre.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from playlog.functions.days import Day, day_range
@@ -104,10 +104,11 @@ def play_series(plays: DataFrame, start: Day, end: Day) -> DataFrame:
     return play_minutes(plays, start, end)
 
 
-def _standing(table: DataFrame):
+def _standing(table: DataFrame) -> Column:
     """Where a genre first shows in a table sorted largest first: its largest value, then the earliest bucket of it."""
     value = F.col("minsplayed")
-    return F.min(F.struct(value.isNull().alias("none"), (-value).alias("value"), F.col(bucket_of(table)).alias("bucket")))
+    bucket = F.col(bucket_of(table))
+    return F.min(F.struct(value.isNull().alias("none"), (-value).alias("value"), bucket.alias("bucket")))
 
 
 def genre_order(table: DataFrame) -> DataFrame:

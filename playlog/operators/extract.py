@@ -1,6 +1,6 @@
 """Extraction: one customer and range, or a whole table of requests, in one plan.
 
-A request has ``dataset, customerID, from, to``, the last two as dates.
+A request has ``dataset, customerID, from, to``, the last two as dates or as text (``yyyyMMdd`` or ``yyyy-MM-dd``).
 """
 
 from __future__ import annotations
@@ -11,8 +11,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from playlog.functions.days import Day, day_range, report_day
+from playlog.functions.days import Day, day_range, parse_day, report_day
 from playlog.functions.keys import play_day, within_days
 from playlog.functions.minutes import shown, sum_minutes
 from playlog.messages import REPORT_EMPTY, REPORT_READY
@@ -72,9 +73,18 @@ class RequestDays:
         return plays.join(days, ["customerID", "request_day"], "inner")
 
 
+def typed_requests(requests: DataFrame) -> DataFrame:
+    """Requests with their dates as dates; null where a text is none."""
+    texts = [name for name in ("from", "to") if isinstance(requests.schema[name].dataType, T.StringType)]
+    return requests.withColumns({name: parse_day(F.col(name)) for name in texts}) if texts else requests
+
+
 def request_days(requests: DataFrame) -> RequestDays:
-    """Spread requests over their days and measure them: one aggregated row comes to the driver."""
-    days = requests.where(F.col("from") <= F.col("to")).select(
+    """Spread requests over their days and measure them: one aggregated row comes to the driver.
+
+    A request without a customer, without dates or with its dates reversed has no days.
+    """
+    days = typed_requests(requests).where(F.col("from") <= F.col("to")).select(
         "dataset", "customerID", F.explode(F.sequence("from", "to")).alias("request_day")
     )
     width = F.coalesce(F.octet_length("dataset"), F.lit(0)) + F.coalesce(F.octet_length("customerID"), F.lit(0)) + 16
@@ -138,6 +148,7 @@ def extract_report(requests: DataFrame, counts: DataFrame) -> DataFrame:
 
     ``counts`` has ``dataset, n_rows``, from the written datasets (``dataset_catalog``) or from ``request_counts``.
     """
+    requests = typed_requests(requests)
     n_rows = F.coalesce("n_rows", F.lit(0).cast("bigint"))
     found = n_rows > 0
     asked = F.format_string(

@@ -44,5 +44,5 @@ def validate_requests(inputs: DataFrame, datasets: DataFrame) -> DataFrame:
 def accepted_reads(inputs: DataFrame, datasets: DataFrame) -> DataFrame:
     """Inputs that may be loaded: their dataset is listed and their import dates are in order."""
     listed = datasets.select("dataset").distinct()
-    in_order = F.col("import_from") <= F.col("import_to")
-    return inputs.where((F.col("dataset") != "") & in_order).join(listed, "dataset", "left_semi").select(*inputs.columns)
+    loadable = inputs.where((F.col("dataset") != "") & (F.col("import_from") <= F.col("import_to")))
+    return loadable.join(listed, "dataset", "left_semi").select(*inputs.columns)

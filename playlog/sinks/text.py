@@ -30,9 +30,9 @@ def export_csv(table: DataFrame, path: str, files: int | None = None, mode: str
     return path
 
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Read an export back."""
-    return spark.read.schema(schema).options(**CSV_FORMAT).csv(path)
+def read_csv(spark: SparkSession, path: str, schema: str, multi_line: bool = False) -> DataFrame:
+    """Read an export back; ``multi_line`` where a text may hold a line break, at the price of one task per file."""
+    return spark.read.schema(schema).options(**CSV_FORMAT, multiLine=multi_line).csv(path)
 
 
 def _append_log(rows: DataFrame, path: str, columns: list[str]) -> str:

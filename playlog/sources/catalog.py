@@ -58,7 +58,10 @@ def dataset_catalog(spark: SparkSession, root: str) -> DataFrame:
     day_folder = F.nullif(F.regexp_extract("path", r"/ymd=(\d{4}-\d{2}-\d{2})/", 1), F.lit(""))
     days = (
         files.select(
-            _dataset_of(F.col("path"), root).alias("folder"), F.coalesce("ymd", day_folder).alias("ymd"), "n", "customerID"
+            _dataset_of(F.col("path"), root).alias("folder"),
+            F.coalesce("ymd", day_folder).alias("ymd"),
+            "n",
+            "customerID",
         )
         .groupBy("folder", "ymd")
         .agg(F.sum("n").alias("n"), F.min("customerID").alias("customerID"))

@@ -64,7 +64,7 @@ def conform(stored: DataFrame) -> DataFrame:
             if not isinstance(found, T.NumericType):
                 raise ValueError(f"not a plays dataset, minsplayed is {found.simpleString()}")
             if isinstance(found, T.FractionalType) and not isinstance(found, T.DecimalType):
-                column = column.cast(MINUTES_TYPE)
+                column = column.try_cast(MINUTES_TYPE)
         elif not isinstance(found, (T.StringType, T.DateType, T.IntegralType, T.NullType)):
             raise ValueError(f"not a plays dataset, {field.name} is {found.simpleString()}")
         elif not isinstance(found, T.StringType):
@@ -93,7 +93,7 @@ def events_plays(spark: SparkSession, sf_dir: str, customer: str | None = None)
     return events.select(
         F.col("user_id").cast("string").alias("customerID"),
         F.col("event_type").alias("genre"),
-        F.col("value").cast(MINUTES_TYPE).alias("minsplayed"),
+        F.col("value").try_cast(MINUTES_TYPE).alias("minsplayed"),
         "ts",
     )
 
@@ -103,6 +103,6 @@ def lineitem_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_lineitem(spark, sf_dir).select(
         F.col("l_suppkey").cast("string").alias("customerID"),
         F.col("l_returnflag").alias("genre"),
-        F.col("l_quantity").cast(MINUTES_TYPE).alias("minsplayed"),
+        F.col("l_quantity").try_cast(MINUTES_TYPE).alias("minsplayed"),
         F.col("l_shipdate").alias("ts"),
     )

@@ -142,6 +142,12 @@ def test_plans_stay_in_the_jvm(spark, name):
     text = plan(QUERIES[name](spark, PUSHED))
     for word in ("Python", "Pandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert word not in text
+    # What aggregates plays does so by hashing: sorting is for the few rows after that.
+    lines = text.splitlines()
+    for number, line in enumerate(lines):
+        if "Scan parquet" in line:
+            above = [other for other in lines[:number] if "Aggregate(" in other or "Exchange" in other]
+            assert not above or "SortAggregate" not in above[-1]
 
 
 @pytest.mark.parametrize(

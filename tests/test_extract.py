@@ -149,6 +149,16 @@ def test_hot_customer_is_split_in_the_shuffle_join(spark, no_broadcast):
             spark.conf.unset(name)
 
 
+def test_requests_with_dates_as_text(spark):
+    plays = timestamped(spark, ROWS)
+    rows = [("a", "612", "20240109", "2024-01-10"), ("b", "612", "2024-01-10", "20240110"), ("c", "612", "soon", "20240110"), ("d", "612", "20240110", "20240109")]
+    requests = spark.createDataFrame(rows, "dataset string, customerID string, from string, to string")
+    counts = extract.request_counts(plays, requests)
+    assert {row["dataset"]: row["n_rows"] for row in counts.collect()} == {"a": 2, "b": 1}
+    report = {row["dataset"]: row["message"] for row in extract.extract_report(requests, counts).collect()}
+    assert report["a"].startswith("Customer 612, 09/01/2024 - 10/01/2024: ")
+
+
 def test_no_requests(spark):
     plays = timestamped(spark, ROWS)
     nothing = requests_of(spark, [])

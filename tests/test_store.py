@@ -1,6 +1,5 @@
 from __future__ import annotations
 
-import datetime as dt
 from collections import Counter
 
 import pytest
@@ -132,6 +131,10 @@ def test_load_checks_the_schema(spark, tmp_path):
     text_keyed(spark, ROWS).withColumn("minsplayed", F.lit("x")).write.parquet(str(tmp_path / "text"))
     with pytest.raises(ValueError, match="minsplayed is string"):
         load_plays(spark, str(tmp_path / "text"))
+    floats = text_keyed(spark, ROWS).withColumn("minsplayed", F.expr("if(genre = 'news', double('NaN'), 2.499)"))
+    floats.write.parquet(str(tmp_path / "floats"))
+    found = {row["genre"]: row["minsplayed"] for row in load_plays(spark, str(tmp_path / "floats")).collect()}
+    assert found["news"] is None and float(found["film"]) == 2.5
     wide = text_keyed(spark, ROWS).withColumns({"minsplayed": F.col("minsplayed").cast("decimal(29,0)"), "more": F.lit(1)})
     wide.write.parquet(str(tmp_path / "wide"))
     assert load_plays(spark, str(tmp_path / "wide")).dtypes[-1] == ("minsplayed", "decimal(29,0)")
@@ -164,6 +167,13 @@ def test_csv_format(spark, tmp_path):
     assert Counter(values(back)) == Counter(values(odd))
 
 
+def test_csv_with_line_breaks(spark, tmp_path):
+    table = spark.sql("select 'a\nb' genre, 1.5D minsplayed union all select '', null")
+    path = text.export_csv(table, str(tmp_path / "csv"))
+    back = text.read_csv(spark, path, "genre string, minsplayed double", multi_line=True)
+    assert Counter(values(back)) == Counter(values(table))
+
+
 def test_logs(spark, tmp_path):
     path = str(tmp_path / "requests")
     request = spark.sql(
