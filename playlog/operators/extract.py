@@ -9,7 +9,7 @@ import datetime as dt
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,7 +18,7 @@ from playlog.functions.keys import play_day, within_days
 from playlog.functions.minutes import shown, sum_minutes
 from playlog.messages import REPORT_EMPTY, REPORT_READY
 
-# Request days broadcast up to this size: about the bytes of their text and dates, before Java overhead.
+# What is broadcast has at most so many rows, and so many bytes of text and dates before Java's overhead.
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 
@@ -60,6 +60,8 @@ class RequestDays:
     first: dt.date | None
     last: dt.date | None
     small: bool
+    customers: DataFrame | None
+    """The requested customers, where the requests are not small but these are."""
 
     def join(self, plays: DataFrame) -> DataFrame:
         """Plays, or sums of plays, with the requests they belong to.
@@ -72,6 +74,15 @@ class RequestDays:
         days = F.broadcast(self.days) if self.small else self.days
         return plays.join(days, ["customerID", "request_day"], "inner")
 
+    def asked(self, plays: DataFrame) -> DataFrame:
+        """Plays without those that surely nobody asks for: they are dropped where they are read, before a shuffle."""
+        if self.small:
+            keys = ["customerID", "request_day"]
+            return plays.join(F.broadcast(self.days.select(*keys)), keys, "left_semi")
+        if self.customers is not None:
+            return plays.join(F.broadcast(self.customers), "customerID", "left_semi")
+        return plays
+
 
 def typed_requests(requests: DataFrame) -> DataFrame:
     """Requests with their dates as dates; null where a text is none."""
@@ -79,23 +90,33 @@ def typed_requests(requests: DataFrame) -> DataFrame:
     return requests.withColumns({name: parse_day(F.col(name)) for name in texts}) if texts else requests
 
 
+def _measure(frame: DataFrame, *more: Column) -> Row:
+    """Rows and bytes of a frame, and more aggregates, as one row."""
+    width = F.lit(16).cast("bigint")
+    for name in ("dataset", "customerID"):
+        if name in frame.columns:
+            width = width + F.coalesce(F.octet_length(name), F.lit(0))
+    return frame.agg(F.count("*").alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("size"), *more).first()
+
+
+def _fits(measured: Row) -> bool:
+    return measured["n"] <= BROADCAST_ROWS and measured["size"] <= BROADCAST_BYTES
+
+
 def request_days(requests: DataFrame) -> RequestDays:
-    """Spread requests over their days and measure them: one aggregated row comes to the driver.
+    """Spread requests over their days and measure them: single aggregated rows come to the driver.
 
-    A request without a customer, without dates or with its dates reversed has no days.
+    A request without dates, or with its dates reversed, has no days.
     """
-    days = typed_requests(requests).where(F.col("from") <= F.col("to")).select(
-        "dataset", "customerID", F.explode(F.sequence("from", "to")).alias("request_day")
-    )
-    width = F.coalesce(F.octet_length("dataset"), F.lit(0)) + F.coalesce(F.octet_length("customerID"), F.lit(0)) + 16
-    row = days.agg(
-        F.count("*").alias("n"),
-        F.sum(width.cast("bigint")).alias("size"),
-        F.min("request_day").alias("first"),
-        F.max("request_day").alias("last"),
-    ).first()
-    small = row["n"] <= BROADCAST_ROWS and (row["size"] or 0) <= BROADCAST_BYTES
-    return RequestDays(days, row["first"], row["last"], small)
+    requests = typed_requests(requests).where(F.col("from") <= F.col("to"))
+    days = requests.select("dataset", "customerID", F.explode(F.sequence("from", "to")).alias("request_day"))
+    measured = _measure(days, F.min("request_day").alias("first"), F.max("request_day").alias("last"))
+    small = _fits(measured)
+    customers = None
+    if not small:
+        distinct = requests.select("customerID").distinct()
+        customers = distinct if _fits(_measure(distinct)) else None
+    return RequestDays(days, measured["first"], measured["last"], small, customers)
 
 
 def _plays_of(source: DataFrame, wanted: RequestDays) -> DataFrame:
@@ -107,17 +128,16 @@ def _plays_of(source: DataFrame, wanted: RequestDays) -> DataFrame:
 def batch_extract(source: DataFrame, requests: DataFrame) -> DataFrame:
     """The plays of every request, led by ``dataset``. A play held by several requests is there once for each."""
     wanted = request_days(requests)
-    return wanted.join(_plays_of(source, wanted)).select("dataset", *source.columns)
+    plays = _plays_of(source, wanted)
+    if not wanted.small:
+        plays = wanted.asked(plays)
+    return wanted.join(plays).select("dataset", *source.columns)
 
 
 def _daily_sums(source: DataFrame, wanted: RequestDays) -> DataFrame:
-    """Rows and minutes per customer and day, of small requests for what they ask only."""
-    plays = _plays_of(source, wanted)
-    keys = ["customerID", "request_day"]
-    if wanted.small:
-        # Drops all other plays on the map side, before anything is shuffled.
-        plays = plays.join(F.broadcast(wanted.days.select(*keys)), keys, "left_semi")
-    return sum_minutes(plays, {key: F.col(key) for key in keys}, zero=False, count="n")
+    """Rows and minutes per customer and day."""
+    keys = {name: F.col(name) for name in ("customerID", "request_day")}
+    return sum_minutes(wanted.asked(_plays_of(source, wanted)), keys, zero=False, count="n")
 
 
 def request_counts(source: DataFrame, requests: DataFrame) -> DataFrame:

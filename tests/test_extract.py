@@ -125,6 +125,15 @@ def test_batch_without_broadcast_equals_brute_force(spark, shape, no_broadcast):
     assert "Broadcast" not in plan(check_batch(spark, shape))
 
 
+@pytest.mark.parametrize("shape", SHAPES)
+def test_batch_with_few_customers_drops_the_other_plays_first(spark, shape, no_broadcast, monkeypatch):
+    monkeypatch.setattr(extract, "BROADCAST_ROWS", 4)
+    text = plan(check_batch(spark, shape))
+    assert "LeftSemi" in text and text.index("SortMergeJoin") < text.index("BroadcastHashJoin")
+    monkeypatch.setattr(extract, "BROADCAST_BYTES", 60)
+    assert "Broadcast" not in plan(check_batch(spark, shape))
+
+
 def test_hot_customer_is_split_in_the_shuffle_join(spark, no_broadcast):
     settings = {
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
