@@ -183,6 +183,8 @@ WHERE date_trunc('minute', ts) BETWEEN TIMESTAMP '2024-01-10 08:00:00' AND TIMES
     "accepted_reads": f'SELECT dataset, "user", import_from, import_to FROM ({ACCEPTED}) accepted',
     "customer_extract": f"""
 {EVENT_ROWS} WHERE "customerID" = '149' AND CAST(ts AS DATE) BETWEEN DATE '2024-01-08' AND DATE '2024-01-21'""",
+    "source_extract": f"""
+{KEYED_ROWS} WHERE "customerID" = '149' AND ymd BETWEEN '2024-01-08' AND '2024-01-21'""",
     "daily_coverage": f"""
 WITH spine AS (
   SELECT CAST(day AS DATE) AS day

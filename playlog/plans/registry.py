@@ -11,7 +11,7 @@ from playlog.functions.keys import with_text_keys, within_days
 from playlog.functions.minutes import shown
 from playlog.operators import aggregate, export, extract, validate
 from playlog.plans import inputs
-from playlog.schema import EXPORT_COLUMNS, PLAYS, READ_LOG, REQUEST_LOG
+from playlog.schema import EXPORT_COLUMNS, PARTITION_COLUMNS, PLAYS, READ_LOG, REQUEST_LOG
 from playlog.session import work_folder
 from playlog.sinks import datasets, text
 from playlog.sources import catalog
@@ -123,6 +123,16 @@ def customer_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(extract.customer_extract(events_plays(spark, sf_dir, customer), customer, start, end))
 
 
+def source_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same extract from all plays laid out as the source table is, by year, month and day."""
+    plays = datasets.stored(events_plays(spark, sf_dir))
+    day = F.col("ymd").cast("date")
+    parts = plays.withColumns({"year": F.year(day), "month": F.month(day), "day": F.dayofmonth(day)})
+    path = work_folder(spark, "source")
+    parts.hint("rebalance", *PARTITION_COLUMNS).write.partitionBy(*PARTITION_COLUMNS).parquet(path)
+    return shown(extract.customer_extract(spark.read.parquet(path), *CUSTOMER).select(PLAYS.fieldNames()))
+
+
 def daily_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer, start, end = CUSTOMER
     return extract.daily_coverage(events_plays(spark, sf_dir, customer), customer, start, end)
@@ -249,6 +259,7 @@ QUERIES: dict[str, Query] = {
         validate_requests,
         accepted_reads,
         customer_extract,
+        source_extract,
         daily_coverage,
         batch_coverage,
         batch_extract,

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import tempfile
 from collections import Counter
+from types import SimpleNamespace
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -10,6 +12,7 @@ from helpers import plan, text_keyed, timestamped, values
 from playlog.functions.keys import within_days
 from playlog.operators import aggregate, export
 from playlog.schema import PLAYS, READ_LOG, REQUEST_LOG
+from playlog.session import work_folder
 from playlog.sinks import datasets, text
 from playlog.sources import catalog
 from playlog.sources.plays import load_plays
@@ -28,6 +31,17 @@ KEYED = Counter(
 )
 
 
+def session_with(settings):
+    return SimpleNamespace(conf=SimpleNamespace(get=settings.get))
+
+
+def test_work_folder_is_the_shared_one():
+    shared = session_with({"spark.checkpoint.dir": "hdfs://name/shared/"})
+    one, other = work_folder(shared, "x"), work_folder(shared, "x")
+    assert one.startswith("hdfs://name/shared/playlog-x-") and one != other
+    assert work_folder(session_with({}), "x").startswith(tempfile.gettempdir())
+
+
 def test_dataset_reads_back_as_written(spark, tmp_path):
     plays = timestamped(spark, ROWS)
     path = datasets.write_dataset(plays, str(tmp_path), "ann1")
