@@ -1,7 +1,8 @@
-"""Texts shown to people. Fixed values."""
+"""Texts shown to people."""
 
 from __future__ import annotations
 
+# Error messages, then the subjects of a report.
 NOT_FOUND = (
     "Error: Dataset not found, check ID again. \n"
     " If the dataset was requested over 4 weeks ago, it has been deleted and must be requested again."

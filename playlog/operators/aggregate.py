@@ -121,6 +121,13 @@ def genre_order(table: DataFrame) -> DataFrame:
     return genres.select("genre", rank.alias("genre_rank"))
 
 
+def with_genre_rank(table: DataFrame) -> DataFrame:
+    """A table with the rank of each row's genre as ``genre_rank``, largest minutes first."""
+    ranks = genre_order(table).withColumnRenamed("genre", "_genre")
+    ranked = table.join(ranks, F.col("genre").eqNullSafe(F.col("_genre")), "left").drop("_genre")
+    return largest_first(ranked)
+
+
 def genre_totals(plays: DataFrame, start: Day, end: Day) -> DataFrame:
     """``genre, minsplayed`` over a range, smallest first; equal totals in order of the genres' first appearance."""
     table = _buckets(plays, start, end)

@@ -135,6 +135,12 @@ SELECT genre AS dataset, min("customerID") AS "customerID", count(*) AS n_rows,
        strftime(min(ts), '%Y-%m-%d') AS first_day, strftime(max(ts), '%Y-%m-%d') AS last_day
 FROM ({EVENT_PLAYS}) plays GROUP BY genre"""
 
+GENRE_ORDER = f"""
+WITH days AS ({DAILY}),
+shown AS (SELECT genre, row_number() OVER (ORDER BY minsplayed DESC NULLS LAST, "Date", genre) AS line FROM days),
+firsts AS (SELECT genre, min(line) AS line FROM shown GROUP BY genre)
+SELECT genre, CAST(row_number() OVER (ORDER BY line) AS INTEGER) AS genre_rank FROM firsts"""
+
 EVENT_ROWS = f'SELECT "customerID", genre, CAST(minsplayed AS DOUBLE) AS minsplayed, ts FROM ({EVENT_PLAYS}) plays'
 
 REQUEST_LOG_ROWS = f"""
@@ -155,11 +161,10 @@ SELECT genre, coalesce(CAST(sum(minsplayed) AS DOUBLE), 0) AS minsplayed
 FROM ({EVENT_PLAYS}) plays
 WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'
 GROUP BY genre""",
-    "genre_order": f"""
-WITH days AS ({DAILY}),
-shown AS (SELECT genre, row_number() OVER (ORDER BY minsplayed DESC NULLS LAST, "Date", genre) AS line FROM days),
-firsts AS (SELECT genre, min(line) AS line FROM shown GROUP BY genre)
-SELECT genre, CAST(row_number() OVER (ORDER BY line) AS INTEGER) AS genre_rank FROM firsts""",
+    "genre_order": GENRE_ORDER,
+    "ranked_table": f"""
+SELECT days.*, genre_rank FROM ({DAILY}) days JOIN ({GENRE_ORDER}) ranks
+  ON days.genre IS NOT DISTINCT FROM ranks.genre""",
     "play_minutes": _sums(LINEITEM_PLAYS, _DAY, "Date", "1998-03-01", "1998-03-31"),
     "play_minutes_by_hour": HOURS_OF_DAY,
     "play_minutes_by_month": _month_rows(*_YEAR),

@@ -55,6 +55,10 @@ def genre_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregate.genre_order(daily_minutes(spark, sf_dir))
 
 
+def ranked_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregate.with_genre_rank(daily_minutes(spark, sf_dir))
+
+
 def play_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregate.play_minutes(lineitem_plays(spark, sf_dir), "1998-03-01", "1998-03-31")
 
@@ -246,6 +250,7 @@ QUERIES: dict[str, Query] = {
         monthly_minutes,
         genre_totals,
         genre_order,
+        ranked_table,
         play_minutes,
         play_minutes_by_hour,
         play_minutes_by_month,

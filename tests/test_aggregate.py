@@ -136,6 +136,8 @@ def test_genre_order_is_first_appearance(spark):
             shown = list(dict.fromkeys(row["genre"] for row in table.collect()))
             ranks = {row["genre"]: row["genre_rank"] for row in aggregate.genre_order(table).collect()}
             assert [ranks[genre] for genre in shown] == list(range(1, len(shown) + 1))
+            ranked = aggregate.with_genre_rank(table)
+            assert [row["genre_rank"] for row in ranked.collect()] == [ranks[row["genre"]] for row in table.collect()]
 
 
 def test_genre_totals_go_up_and_ties_follow_the_genre_order(spark):
