@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
+from collections import Counter
 from decimal import Decimal
 
 import pytest
@@ -194,3 +196,50 @@ def test_session_time_zone_does_not_matter(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert plays.count() == 1
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+@pytest.mark.parametrize("seed", [1, 2])
+def test_aggregates_equal_brute_force(spark, shape, seed):
+    pick = random.Random(seed)
+    rows = [
+        (
+            "612",
+            # One genre holds a third of the plays.
+            pick.choice(["hot", "hot", "a", "b", None, "c"]),
+            pick.choice([None, "0.00", "0.10", "1234567.89", f"{pick.randint(0, 500)}.{pick.randint(10, 99)}"]),
+            str(dt.datetime(2023, 12, 20) + dt.timedelta(seconds=pick.randint(0, 50 * 86_400))),
+        )
+        for _ in range(400)
+    ]
+    plays = shape(spark, rows)
+    start, end = "2023-12-25", "2024-01-31"
+    kept = [(g, m and Decimal(m), dt.datetime.fromisoformat(t)) for _, g, m, t in rows if start <= t[:10] <= end]
+
+    def expected(bucket, zero=True):
+        sums = {}
+        for genre, minutes, when in kept:
+            key = (bucket(when), genre)
+            if minutes is None:
+                sums.setdefault(key, None)
+            else:
+                sums[key] = (sums.get(key) or 0) + minutes
+        return {key: (0.0 if zero else None) if value is None else float(value) for key, value in sums.items()}
+
+    def found(table):
+        lines = [tuple(row) for row in table.collect()]
+        result = {(bucket, genre): minutes for bucket, genre, minutes in lines}
+        assert len(result) == len(lines)
+        return result
+
+    hour = lambda when: when.replace(minute=0, second=0)
+    assert found(aggregate.minute_minutes(plays, start, end)) == expected(lambda when: str(when)[:16], zero=False)
+    assert found(aggregate.hourly_minutes(plays, start, end)) == expected(hour)
+    assert found(aggregate.daily_minutes(plays, start, end)) == expected(dt.datetime.date)
+    assert found(aggregate.monthly_minutes(plays, start, end)) == expected(lambda when: when.date().replace(day=1))
+    days = expected(dt.datetime.date, zero=False)
+    table = aggregate.month_day_rows(plays, start, end)
+    assert Counter(values(table)) == Counter((day.replace(day=1), genre, m) for (day, genre), m in days.items())
+    totals = {genre: minutes for (_, genre), minutes in expected(lambda when: 0).items()}
+    lines = values(aggregate.genre_totals(plays, start, end))
+    assert dict(lines) == totals and [m for _, m in lines] == sorted(totals.values())
