@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from helpers import SHAPES, text_keyed, timestamped, values
 from playlog.functions.minutes import sum_minutes
 from playlog.operators import aggregate
+from playlog.schema import PLAYS
 
 ROWS = [
     ("612", "news", "10.50", "2024-01-10 08:05:10"),
@@ -74,13 +75,20 @@ def test_days_and_months(spark, shape):
 
 
 def test_range_ends_are_inclusive(spark):
-    plays = timestamped(spark, [("1", "a", "1", f"2024-01-0{d} {t}") for d in (1, 2, 3) for t in ("00:00:00", "23:59:59.999999")])
+    ends = ("00:00:00", "23:59:59.999999")
+    plays = timestamped(spark, [("1", "a", "1", f"2024-01-0{day} {time}") for day in (1, 2, 3) for time in ends])
     assert values(aggregate.daily_minutes(plays, "2024-01-02", "2024-01-02")) == [(D(2024, 1, 2), "a", 2.0)]
     assert len(values(aggregate.daily_minutes(plays, "2024-01-01", "2024-01-03"))) == 3
 
 
 @pytest.mark.parametrize(
-    "end, grain, bucket", [("2024-01-01", "hour", "Time"), ("2024-01-02", "day", "Date"), ("2024-01-31", "day", "Date"), ("2024-02-01", "month", "Month")]
+    "end, grain, bucket",
+    [
+        ("2024-01-01", "hour", "Time"),
+        ("2024-01-02", "day", "Date"),
+        ("2024-01-31", "day", "Date"),
+        ("2024-02-01", "month", "Month"),
+    ],
 )
 def test_grain_follows_the_length_of_the_range(spark, end, grain, bucket):
     assert aggregate.grain("2024-01-01", end) == grain
@@ -91,10 +99,16 @@ def test_grain_follows_the_length_of_the_range(spark, end, grain, bucket):
 
 
 def test_month_table_keeps_days_and_series_sums_them(spark):
-    plays = timestamped(spark, [("1", "a", "1", "2023-12-30 10:00:00"), ("1", "a", "2", "2023-12-31 10:00:00"), ("1", "a", "4", "2024-01-01 10:00:00")])
+    minutes = {"2023-12-30": "1", "2023-12-31": "2", "2024-01-01": "4"}
+    plays = timestamped(spark, [("1", "a", played, f"{day} 10:00:00") for day, played in minutes.items()])
     december, january = D(2023, 12, 1), D(2024, 1, 1)
-    assert values(aggregate.play_minutes(plays, "2023-12-01", "2024-01-31")) == [(january, "a", 4.0), (december, "a", 2.0), (december, "a", 1.0)]
-    assert values(aggregate.play_series(plays, "2023-12-01", "2024-01-31")) == [(january, "a", 4.0), (december, "a", 3.0)]
+    both = ("2023-12-01", "2024-01-31")
+    assert values(aggregate.play_minutes(plays, *both)) == [
+        (january, "a", 4.0),
+        (december, "a", 2.0),
+        (december, "a", 1.0),
+    ]
+    assert values(aggregate.play_series(plays, *both)) == [(january, "a", 4.0), (december, "a", 3.0)]
 
 
 def test_reversed_range_is_refused(spark):
@@ -111,7 +125,7 @@ def test_broken_keys(spark):
                 ("612", "2024-01", "2024-01-10", None, "2024-01-10", "odd", Decimal(3)),
                 ("612", "2024-01", "2024-01-10", None, "2024-01-10 25:00", "odd", Decimal(4)),
             ],
-            "customerID string, ym string, ymd string, ymdh string, ymdhm string, genre string, minsplayed decimal(18,2)",
+            PLAYS,
         )
     )
     assert values(aggregate.hourly_minutes(plays, "2024-01-10", "2024-01-10")) == [
@@ -157,45 +171,66 @@ def test_genre_totals_go_up_and_ties_follow_the_genre_order(spark):
 
 
 def test_grains_agree(spark):
-    plays = timestamped(
-        spark,
-        [(str(i % 3), "abc"[i % 3], f"{i}.{i % 100:02d}", str(dt.datetime(2024, 1, 1) + dt.timedelta(minutes=37 * i))) for i in range(900)],
-    )
+    first = dt.datetime(2024, 1, 1)
+    rows = [
+        (str(i % 3), "abc"[i % 3], f"{i}.{i % 100:02d}", str(first + dt.timedelta(minutes=37 * i))) for i in range(900)
+    ]
+    plays = timestamped(spark, rows)
     ends = ("2024-01-02", "2024-01-20")
 
     def total(table):
-        return {row["genre"]: round(row["s"], 2) for row in table.groupBy("genre").agg(F.sum("minsplayed").alias("s")).collect()}
+        sums = table.groupBy("genre").agg(F.sum("minsplayed").alias("sum"))
+        return {row["genre"]: round(row["sum"], 2) for row in sums.collect()}
 
     made = [
         f(plays, *ends)
-        for f in (aggregate.minute_minutes, aggregate.hourly_minutes, aggregate.daily_minutes, aggregate.monthly_minutes, aggregate.month_day_rows, aggregate.genre_totals)
+        for f in (
+            aggregate.minute_minutes,
+            aggregate.hourly_minutes,
+            aggregate.daily_minutes,
+            aggregate.monthly_minutes,
+            aggregate.month_day_rows,
+            aggregate.genre_totals,
+        )
     ]
     assert all(total(table) == total(made[0]) for table in made)
 
 
-@pytest.mark.parametrize("kind", ["decimal(29,0)", "decimal(18,2)", "decimal(38,10)", "decimal(5,2)", "int", "double"])
-def test_sums_of_all_widths(spark, kind):
-    big = {"decimal(29,0)": "12345678901234567890", "decimal(18,2)": "1234567890123.45", "decimal(38,10)": "99999999.0000000001", "decimal(5,2)": "999.99", "int": "2000000", "double": "0.5"}[kind]
+@pytest.mark.parametrize(
+    "kind, big",
+    [
+        ("decimal(29,0)", "12345678901234567890"),
+        ("decimal(18,2)", "1234567890123.45"),
+        ("decimal(38,10)", "99999999.0000000001"),
+        ("decimal(5,2)", "999.99"),
+        ("int", "2000000"),
+        ("double", "0.5"),
+    ],
+)
+def test_sums_of_all_widths(spark, kind, big):
     rows = [("a", big), ("a", "1"), ("a", None), ("a", "-" + big), ("a", big), ("b", None), ("c", "2")]
-    plays = spark.createDataFrame(rows, "genre string, m string").select("genre", F.col("m").cast(kind).alias("minsplayed"))
-    sums = sum_minutes(plays, {"genre": F.col("genre")}, zero=False)
-    got = {row["genre"]: row["minsplayed"] for row in sums.collect()}
-    assert Decimal(str(got["a"])) == Decimal(big) + 1
-    assert got["b"] is None and got["c"] == 2
-    assert {r["genre"]: r["minsplayed"] for r in sum_minutes(plays, {"genre": F.col("genre")}, zero=True).collect()}["b"] == 0
+    plays = spark.createDataFrame(rows, "genre string, minutes string").select(
+        "genre", F.col("minutes").cast(kind).alias("minsplayed")
+    )
+    for zero in (False, True):
+        sums = sum_minutes(plays, {"genre": F.col("genre")}, zero)
+        got = {row["genre"]: row["minsplayed"] for row in sums.collect()}
+        assert Decimal(str(got["a"])) == Decimal(big) + 1
+        assert got["b"] == (0 if zero else None) and got["c"] == 2
 
 
 def test_session_time_zone_does_not_matter(spark):
-    plays = timestamped(spark, [("1", "a", "1", "2024-03-31 02:30:00")])
+    rows = [("1", "a", "1", "2024-03-31 02:30:00")]
+    day = ("2024-03-31", "2024-03-31")
+    # There is no half past two on that day in Berlin.
     spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
     try:
         for shape in SHAPES:
-            frame = shape(spark, [("1", "a", "1", "2024-03-31 02:30:00")])
-            assert values(aggregate.hourly_minutes(frame, "2024-03-31", "2024-03-31")) == [(dt.datetime(2024, 3, 31, 2), "a", 1.0)]
-            assert values(aggregate.minute_minutes(frame, "2024-03-31", "2024-03-31"))[0][0] == "2024-03-31 02:30"
+            frame = shape(spark, rows)
+            assert values(aggregate.hourly_minutes(frame, *day)) == [(dt.datetime(2024, 3, 31, 2), "a", 1.0)]
+            assert values(aggregate.minute_minutes(frame, *day)) == [("2024-03-31 02:30", "a", 1.0)]
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-    assert plays.count() == 1
 
 
 @pytest.mark.parametrize("shape", SHAPES)

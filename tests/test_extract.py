@@ -34,7 +34,8 @@ def test_customer_ids_are_text(spark, shape):
     found = extract.customer_extract(plays, "0612", "20240108", "2024-01-10")
     assert found.columns == plays.columns
     assert sorted(row["minsplayed"] for row in found.collect()) == [1, 2]
-    assert [row["minsplayed"] for row in extract.customer_extract(plays, 612, "2024-01-08", "2024-01-09").collect()] == [4]
+    number = extract.customer_extract(plays, 612, "2024-01-08", "2024-01-09")
+    assert [row["minsplayed"] for row in number.collect()] == [4]
 
 
 @pytest.mark.parametrize("shape", SHAPES)
@@ -79,13 +80,19 @@ def random_batch(spark, shape):
     first = dt.datetime(2024, 1, 1)
     # One customer holds a good third of the plays, and of the requests.
     plays = [
-        (pick.choice(["hot", "a", "b"]), pick.choice("xyz"), str(pick.randint(0, 99)), str(first + dt.timedelta(minutes=pick.randint(0, 40_000))))
+        (
+            pick.choice(["hot", "a", "b"]),
+            pick.choice("xyz"),
+            str(pick.randint(0, 99)),
+            str(first + dt.timedelta(minutes=pick.randint(0, 40_000))),
+        )
         for _ in range(600)
     ]
     requests = []
     for number in range(30):
         start = D(2024, 1, 1) + dt.timedelta(days=pick.randint(-3, 30))
-        requests.append((f"d{number}", pick.choice(["hot", "a", "nobody"]), start, start + dt.timedelta(days=pick.randint(-2, 12))))
+        end = start + dt.timedelta(days=pick.randint(-2, 12))
+        requests.append((f"d{number}", pick.choice(["hot", "a", "nobody"]), start, end))
     requests += [("open", "hot", None, D(2024, 1, 3)), ("nameless", None, D(2024, 1, 1), D(2024, 1, 3))]
     expected = Counter(
         (dataset, when[:16], minutes)
@@ -147,9 +154,10 @@ def test_hot_customer_is_split_in_the_shuffle_join(spark, no_broadcast):
             F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("customerID"),
             F.lit("x").alias("genre"),
             F.lit(1).cast("decimal(18,2)").alias("minsplayed"),
-            (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("id") % 1000)).alias("ts"),
+            F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id % 1000)").alias("ts"),
         )
-        requests = requests_of(spark, [("d", "hot", D(2024, 1, 1), D(2024, 1, 2)), ("e", "1", D(2024, 1, 1), D(2024, 1, 2))])
+        days = (D(2024, 1, 1), D(2024, 1, 2))
+        requests = requests_of(spark, [("d", "hot", *days), ("e", "1", *days)])
         extracts = extract.batch_extract(plays, requests)
         assert len(extracts.collect()) == 20_001
         assert "skew=true" in plan(extracts)
@@ -160,7 +168,12 @@ def test_hot_customer_is_split_in_the_shuffle_join(spark, no_broadcast):
 
 def test_requests_with_dates_as_text(spark):
     plays = timestamped(spark, ROWS)
-    rows = [("a", "612", "20240109", "2024-01-10"), ("b", "612", "2024-01-10", "20240110"), ("c", "612", "soon", "20240110"), ("d", "612", "20240110", "20240109")]
+    rows = [
+        ("a", "612", "20240109", "2024-01-10"),
+        ("b", "612", "2024-01-10", "20240110"),
+        ("c", "612", "soon", "20240110"),
+        ("d", "612", "20240110", "20240109"),
+    ]
     requests = spark.createDataFrame(rows, "dataset string, customerID string, from string, to string")
     counts = extract.request_counts(plays, requests)
     assert {row["dataset"]: row["n_rows"] for row in counts.collect()} == {"a": 2, "b": 1}
@@ -199,8 +212,9 @@ def test_report_from_written_datasets(spark, tmp_path):
 
 @pytest.fixture
 def source_table(spark, tmp_path):
+    day = F.col("ymd").cast("date")
     plays = text_keyed(spark, ROWS).withColumns(
-        {"year": F.substring("ymd", 1, 4).cast("int"), "month": F.substring("ymd", 6, 2).cast("int"), "day": F.substring("ymd", 9, 2).cast("int")}
+        {"year": F.year(day), "month": F.month(day), "day": F.dayofmonth(day)}
     )
     plays.write.partitionBy("year", "month", "day").option("path", str(tmp_path / "plays")).saveAsTable("source_plays")
     yield "source_plays"
@@ -216,7 +230,6 @@ def test_source_table_is_pruned_by_day(spark, source_table):
     filters = text[text.index("PartitionFilters") : text.index("PushedFilters")]
     assert "year" in filters and "month" in filters and "day" in filters
     assert "EqualTo(customerID,612)" in text
-    assert found.select("genre").inputFiles()
     requests = requests_of(spark, [("d", "612", D(2024, 1, 10), D(2024, 1, 11))])
     assert [row["minsplayed"] for row in extract.batch_extract(source, requests).collect()] == [8]
     coverage = extract.daily_coverage(source, "612", "2024-01-09", "2024-01-11")
@@ -225,9 +238,8 @@ def test_source_table_is_pruned_by_day(spark, source_table):
 
 def test_job(spark, source_table, tmp_path):
     store = tmp_path / "store"
-    text = main(
-        f"--source {source_table} --root {store} --customerID 612 --start 20240108 --end 2024-01-10 --dataset ann1".split()
-    )
+    request = "--customerID 612 --start 20240108 --end 2024-01-10 --dataset ann1"
+    text = main(f"--source {source_table} --root {store} {request}".split())
     assert text.startswith("Your report is ready! Customer 612, 08/01/2024 - 10/01/2024")
     assert load_plays(spark, f"{store}/dataset=ann1").count() == 2
     empty = extract_dataset(play_source(spark, source_table), str(store), "ann2", "612", "2023-01-01", "2023-01-02")

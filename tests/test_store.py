@@ -78,7 +78,10 @@ def test_compaction_keeps_rows(spark, tmp_path):
 
 
 def test_hot_dataset_gets_many_files_and_small_ones_few(spark, tmp_path):
-    settings = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "40k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "20k"}
+    settings = {
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "40k",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "20k",
+    }
     for name, value in settings.items():
         spark.conf.set(name, value)
     try:
@@ -87,7 +90,7 @@ def test_hot_dataset_gets_many_files_and_small_ones_few(spark, tmp_path):
             F.col("id").cast("string").alias("customerID"),
             F.lit("x").alias("genre"),
             F.lit(1).cast("decimal(18,2)").alias("minsplayed"),
-            (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("id") * 7919) % 100_000)).alias("ts"),
+            F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id * 7919 % 100000)").alias("ts"),
         )
         datasets.write_batch(plays, str(tmp_path / "store"))
     finally:
@@ -149,7 +152,8 @@ def test_load_checks_the_schema(spark, tmp_path):
     floats.write.parquet(str(tmp_path / "floats"))
     found = {row["genre"]: row["minsplayed"] for row in load_plays(spark, str(tmp_path / "floats")).collect()}
     assert found["news"] is None and float(found["film"]) == 2.5
-    wide = text_keyed(spark, ROWS).withColumns({"minsplayed": F.col("minsplayed").cast("decimal(29,0)"), "more": F.lit(1)})
+    whole = F.col("minsplayed").cast("decimal(29,0)")
+    wide = text_keyed(spark, ROWS).withColumns({"minsplayed": whole, "more": F.lit(1)})
     wide.write.parquet(str(tmp_path / "wide"))
     assert load_plays(spark, str(tmp_path / "wide")).dtypes[-1] == ("minsplayed", "decimal(29,0)")
 
@@ -169,7 +173,9 @@ def test_view_is_cached_and_replaced(spark, tmp_path):
 
 def test_csv_format(spark, tmp_path):
     table = aggregate.hourly_minutes(timestamped(spark, ROWS[:1]), "2024-01-08", "2024-01-08")
-    odd = table.unionByName(spark.sql("select timestamp_ntz'2024-01-08 10:00:00' Time, ' a;\"b\" ' genre, cast(null as double) minsplayed"))
+    odd = table.unionByName(
+        spark.sql("select timestamp_ntz'2024-01-08 10:00:00' Time, ' a;\"b\" ' genre, double(null) minsplayed")
+    )
     path = text.export_csv(odd.orderBy("Time"), str(tmp_path / "csv"), files=1)
     (part,) = (tmp_path / "csv").glob("*.csv")
     assert part.read_text().splitlines() == [
@@ -191,8 +197,8 @@ def test_csv_with_line_breaks(spark, tmp_path):
 def test_logs(spark, tmp_path):
     path = str(tmp_path / "requests")
     request = spark.sql(
-        "select timestamp_ntz'2024-01-08 10:00:00.123' timestamp, 'ann' user, 'ann@example.com' email, '0612' customerID, "
-        "date'2024-01-01' `from`, date'2024-01-02' `to`"
+        "select timestamp_ntz'2024-01-08 10:00:00.123' timestamp, 'ann' user, 'ann@example.com' email, "
+        "'0612' customerID, date'2024-01-01' `from`, date'2024-01-02' `to`"
     )
     for _ in range(2):
         text.append_requests(request, path)
