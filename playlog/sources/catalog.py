@@ -14,14 +14,28 @@ from pyspark.sql import functions as F
 _SCHEME = r"^(?:[^/:]+:(?://[^/]*)?)?"
 
 
+# The characters Spark escapes in the name of a partition folder.
+_ESCAPED = re.compile(r"""[\x01-\x1f\x7f"#%'*/:=?\\{\[\]^]""")
+
+
 def dataset_path(root: str, dataset: str) -> str:
-    return f"{root.rstrip('/')}/dataset={dataset}"
+    """The folder of a dataset, named as by a write partitioned on ``dataset``."""
+    name = _ESCAPED.sub(lambda match: f"%{ord(match[0]):02X}", dataset)
+    return f"{root.rstrip('/')}/dataset={name}"
+
+
+def _unescaped(text: Column) -> Column:
+    """Text without its percent escapes. A plus sign, which is none, is kept."""
+    return F.try_url_decode(F.regexp_replace(text, r"\+", "%2B"))
 
 
 def _dataset_of(path: Column, root: str) -> Column:
-    """The folder right below the root, from the full path of a file."""
+    """The dataset named by the folder right below the root, from the full path of a file."""
     below = re.sub(_SCHEME, "", root.rstrip("/"))
-    return F.regexp_extract(path, rf"{_SCHEME}\Q{below}\E/(?:dataset=)?([^/]+)/", 1)
+    folder = F.regexp_extract(path, rf"{_SCHEME}\Q{below}\E/([^/]+)/", 1)
+    # Spark escapes what a partition folder's name must not hold.
+    value = _unescaped(F.regexp_extract(folder, "^dataset=(.*)$", 1))
+    return F.when(folder.startswith("dataset="), value).otherwise(folder)
 
 
 def dataset_listing(spark: SparkSession, root: str) -> DataFrame:
@@ -55,10 +69,12 @@ def dataset_catalog(spark: SparkSession, root: str) -> DataFrame:
         .select(F.col("_metadata.file_path").alias("path"), "customerID", "ymd")
     )
     files = plays.groupBy("path", "ymd", "customerID").agg(F.count("*").alias("n"))
-    day_folder = F.nullif(F.regexp_extract("path", r"/ymd=(\d{4}-\d{2}-\d{2})/", 1), F.lit(""))
+    # Unlike the path of a listing, this one is escaped as in an address.
+    path = _unescaped(F.col("path"))
+    day_folder = F.nullif(F.regexp_extract(path, r"/ymd=(\d{4}-\d{2}-\d{2})/", 1), F.lit(""))
     days = (
         files.select(
-            _dataset_of(F.col("path"), root).alias("folder"),
+            _dataset_of(path, root).alias("folder"),
             F.coalesce("ymd", day_folder).alias("ymd"),
             "n",
             "customerID",

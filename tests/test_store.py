@@ -119,20 +119,22 @@ def test_records_per_file(spark, tmp_path):
 
 
 def test_catalog_of_all_layouts(spark, tmp_path):
-    root = tmp_path / "store"
+    root = tmp_path / "a store+more"
     plays = timestamped(spark, ROWS)
     datasets.write_dataset(plays, str(root), "by_day")
+    datasets.write_batch(plays.withColumn("dataset", F.lit("odd: 50%+x")), str(root), mode="append")
     text_keyed(spark, ROWS[:2]).write.parquet(str(root / "flat"))
     (root / "empty").mkdir()
     text_keyed(spark, ROWS[:2]).coalesce(1).write.mode("append").parquet(str(root))
     expected = {
         ("by_day", "612", 3, 2, "2024-01-08", "2024-01-10"),
         ("flat", "612", 2, 1, "2024-01-08", "2024-01-08"),
+        ("odd: 50%+x", "612", 3, 2, "2024-01-08", "2024-01-10"),
     }
     for name in (str(root), f"{root}/", f"file:{root}", f"file://{root}"):
         assert set(values(catalog.dataset_catalog(spark, name))) == expected
         listing = {row["dataset"]: row for row in catalog.dataset_listing(spark, name).collect()}
-        assert set(listing) == {"by_day", "flat"}
+        assert set(listing) == {"by_day", "flat", "odd: 50%+x"}
         assert listing["by_day"]["n_files"] == 2 and listing["flat"]["n_bytes"] > 0
     counted = plan(catalog.dataset_catalog(spark, str(root))).splitlines()
     nearest_to_scan = [line for line in counted if "Aggregate" in line][-1]
@@ -141,6 +143,18 @@ def test_catalog_of_all_layouts(spark, tmp_path):
     assert "ReadSchema: struct<path:string,length:bigint>" in listed
 
 
+def test_dataset_names_are_escaped_alike(spark, tmp_path):
+    plays = timestamped(spark, ROWS)
+    for name in ("odd: 50%+x", "a/b=c", "ann.b-c_d@e"):
+        batch, single = str(tmp_path / "batch"), str(tmp_path / "single")
+        datasets.write_batch(plays.withColumn("dataset", F.lit(name)), batch, mode="append")
+        path = datasets.write_dataset(plays, single, name)
+        assert load_plays(spark, path).count() == 3
+        assert load_plays(spark, catalog.dataset_path(batch, name)).count() == 3
+        for root in (batch, single):
+            assert name in {row["dataset"] for row in catalog.dataset_catalog(spark, root).collect()}
+
+
 def test_load_checks_the_schema(spark, tmp_path):
     text_keyed(spark, ROWS).drop("ymdh").write.parquet(str(tmp_path / "short"))
     with pytest.raises(ValueError, match="columns missing: ymdh"):
