@@ -9,11 +9,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from playlog.plans.oracle import ORACLE
+from playlog.plans.registry import QUERIES
 
 DEFAULT = "/root/testdata/sf0.01"
 SF_DIR = os.environ.get("TEST_SF_DIR", DEFAULT)
-QUERIES = entry_points.queries()
-ORACLE = entry_points.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -27,6 +27,8 @@ def duck():
 
 def test_every_query_has_a_twin():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry_points.queries())
+    assert set(ORACLE) <= set(entry_points.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
