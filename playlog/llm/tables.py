@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,3 +89,22 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     path = work_folder(spark, name)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+_WORD_BYTE = np.ones(256, bool)
+_WORD_BYTE[[0x20, *range(0x09, 0x0E)]] = False
+
+
+def count_words(column: pa.Array) -> np.ndarray:
+    """The number of words of each text, null as none: starts of words, counted over the joined bytes of the column."""
+    column = pa.compute.fill_null(column.cast(pa.large_binary()), b"")
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    if not len(column) or ends[-1] == ends[0]:
+        return np.zeros(len(column), np.int64)
+    inside = _WORD_BYTE[np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]]]
+    starts = inside.copy()
+    starts[1:] &= ~inside[:-1]
+    first = (ends[:-1] - ends[0])[ends[1:] > ends[:-1]]
+    starts[first] = inside[first]
+    before = np.concatenate([[0], np.cumsum(starts)])
+    return np.diff(before[ends - ends[0]])
