@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playlog.llm import bpe_codec, token_counts
-from playlog.llm.tables import documents
+from playlog.llm import bpe_codec, hamming, html_text, mixing, token_counts
+from playlog.llm.tables import EMBEDDINGS, PAGES, documents, read
 
 TOKEN_LIMIT = 512
+TOP = 10
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,13 +20,77 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.extract_text(read(spark, sf_dir, "pages", PAGES))
+
+
+def op7_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest rows, by the signs of their components, of every hundredth row."""
+    codes = hamming.sign_codes(read(spark, sf_dir, "embeddings", EMBEDDINGS))
+    return hamming.nearest_codes(codes, codes.where(F.col("vec_id") % 100 == 0), TOP)
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of every whole text and of the text they decode to."""
     return bpe_codec.digests(bpe_codec.encode(documents(spark, sf_dir)))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, with the words that a mix of their sources takes of each."""
+    mixed = mixing.mix(documents(spark, sf_dir))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    query.__name__: query for query in (op1_token_counts, op9_bpe_codec)
+    query.__name__: query for query in (
+        op1_token_counts,
+        op5_html_text,
+        op7_hamming_top_k,
+        op9_bpe_codec,
+        op10_mixing,
+    )
 }
 
-ORACLE: dict[str, str] = {}
+_WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
+
+ORACLE: dict[str, str] = {
+    "op7_hamming_top_k": """
+WITH codes AS (
+  SELECT vec_id, CAST(list_aggregate(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), 'string_agg', '')
+                      AS BIT) AS code
+  FROM embeddings WHERE len(embedding) > 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(bit_count(xor(q.code, c.code)) AS INTEGER) AS distance
+  FROM codes q JOIN codes c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank FROM pairs)
+SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= 10""",
+    "op10_mixing": f"""
+WITH sized AS (
+  SELECT doc_id, source IS NULL AS no_source, coalesce(source, '') AS name, CAST({_WORDS} AS BIGINT) AS size FROM documents),
+sums AS (SELECT no_source, name, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY ALL),
+weighed AS (
+  SELECT *, source_size * 3 AS cap,
+         [5, 2, 1][((row_number() OVER (ORDER BY no_source, name) - 1) % 3 + 1)::INT] AS weight FROM sums),
+levels AS (
+  SELECT *, cap / weight AS ratio,
+    (sum(source_size) OVER () - coalesce(sum(cap) OVER (
+       ORDER BY cap / weight, no_source, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY cap / weight, no_source, name ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighed),
+targets AS (
+  SELECT no_source, name, source_size,
+    CASE WHEN ratio <= level THEN CAST(cap AS DOUBLE)
+         ELSE weight * max(CASE WHEN ratio > level THEN level END) OVER () END AS target,
+    CAST('0x' || substr(md5('1:' || no_source || ':' || name), 1, 4) AS INTEGER) / 65536 AS start
+  FROM levels),
+steps AS (
+  SELECT doc_id, size, source_size, target, start,
+    CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS share,
+    row_number() OVER (PARTITION BY no_source, name ORDER BY size, doc_id) AS place
+  FROM sized JOIN targets USING (no_source, name))
+SELECT doc_id, size, source_size, target,
+       size * CAST(floor(start + place * share) - floor(start + (place - 1) * share) AS BIGINT) AS taken
+FROM steps""",
+}
