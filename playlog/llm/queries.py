@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playlog.llm import bpe_codec, hamming, html_text, mixing, token_counts
+from playlog.llm import bpe_codec, hamming, html_text, language_id, mixing, token_counts
 from playlog.llm.tables import EMBEDDINGS, PAGES, documents, read
 
 TOKEN_LIMIT = 512
@@ -20,6 +20,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text, learned from the documents that are not held out."""
+    docs = documents(spark, sf_dir)
+    model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
+    predicted = language_id.predict(docs, model)
+    return predicted.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return html_text.extract_text(read(spark, sf_dir, "pages", PAGES))
@@ -45,6 +53,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query for query in (
         op1_token_counts,
+        op3_language_id,
         op5_html_text,
         op7_hamming_top_k,
         op9_bpe_codec,
