@@ -92,11 +92,10 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         stops = np.flatnonzero(solid & ~np.concatenate([solid[1:], [False]])) + 1
         length = stops - begins
         # A hash of each word's characters, which depends on their places in it.
-        place = np.arange(len(codes)) - np.repeat(begins, np.diff(begins, append=len(codes))).astype(np.int64)[: len(codes) - begins[0]] if begins[0] == 0 else None
-        if place is None:
-            place = np.arange(len(codes))
-            place[begins[0] :] -= np.repeat(begins, np.diff(begins, append=len(codes)))
-        mixed = (codes.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15) * (place.astype(np.uint64) + np.uint64(1))) * np.uint64(0xD6E8FEB86659FD93)
+        place = np.arange(len(codes))
+        place[begins[0] :] -= np.repeat(begins, np.diff(begins, append=len(codes)))
+        mixed = codes.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15) * (place.astype(np.uint64) + np.uint64(1))
+        mixed *= np.uint64(0xD6E8FEB86659FD93)
         mixed ^= mixed >> np.uint64(29)
         mixed[~solid] = 0
         words = np.add.reduceat(mixed * np.uint64(0x94D049BB133111EB), begins)
@@ -274,10 +273,15 @@ def held_out(doc_id: Column) -> Column:
     return remainder(doc_id, 5) == 0
 
 
-def learning_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, text, quality`` of the labelled documents that are not held out."""
-    known = labels.select("doc_id", "quality").where(~held_out(F.col("doc_id")) & F.col("quality").isNotNull())
-    return docs.select("doc_id", "text").join(known, "doc_id")
+def learning_rows(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
+    """``doc_id, text, quality`` of the labelled documents that are not held out, about ``most_rows`` at most.
+
+    The labels are sampled before the texts are fetched, so that what is broadcast is bounded by ``most_rows``: an id has
+    no more than two labels. A document with both is there with each.
+    """
+    known = labels.select("doc_id", "quality").where(~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1))
+    known = bounded_sample(known.distinct(), "doc_id", most_rows)
+    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
 
 
 def _keep(batches: Iterator[pa.RecordBatch], model: Model, least: float) -> Iterator[pa.RecordBatch]:

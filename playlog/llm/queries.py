@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playlog.llm import bpe_codec, hamming, html_text, language_id, mixing, token_counts
-from playlog.llm.tables import EMBEDDINGS, PAGES, documents, read
+from playlog.llm import bpe_codec, hamming, html_text, language_id, mixing, quality, token_counts
+from playlog.llm.tables import EMBEDDINGS, LABELS, PAGES, documents, read
 
 TOKEN_LIMIT = 512
 TOP = 10
@@ -28,6 +28,18 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every whole text, learned from the labelled documents that are not held out."""
+    docs = documents(spark, sf_dir)
+    model = quality.fit(quality.learning_rows(docs, read(spark, sf_dir, "labels", LABELS)))
+    return quality.score(docs, model).select(
+        "doc_id",
+        quality.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return html_text.extract_text(read(spark, sf_dir, "pages", PAGES))
@@ -54,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query for query in (
         op1_token_counts,
         op3_language_id,
+        op4_quality,
         op5_html_text,
         op7_hamming_top_k,
         op9_bpe_codec,
