@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playlog.llm import bpe_codec, hamming, html_text, language_id, mixing, quality, token_counts
+from playlog.llm import bpe_codec, hamming, html_text, language_id, mixing, near_dedup, quality, token_counts
 from playlog.llm.tables import EMBEDDINGS, LABELS, PAGES, documents, read
 
 TOKEN_LIMIT = 512
@@ -51,6 +51,11 @@ def op7_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.nearest_codes(codes, codes.where(F.col("vec_id") % 100 == 0), TOP)
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups of documents that share most of their shingles of three words."""
+    return near_dedup.near_duplicates(documents(spark, sf_dir), size=3, percent=85)
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of every whole text and of the text they decode to."""
     return bpe_codec.digests(bpe_codec.encode(documents(spark, sf_dir)))
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_quality,
         op5_html_text,
         op7_hamming_top_k,
+        op8_near_dedup,
         op9_bpe_codec,
         op10_mixing,
     )
@@ -88,6 +94,27 @@ pairs AS (
 ranked AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank FROM pairs)
 SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= 10""",
+    "op8_near_dedup": """
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS words FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i+2], ' ')) END) AS shingle
+  FROM worded WHERE len(words) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n
+  FROM shingles x JOIN shingles y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN sizes sa ON a = sa.doc_id JOIN sizes sb ON b = sb.doc_id
+  WHERE 100 * common.n >= 85 * (sa.n + sb.n - common.n)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION SELECT reached.doc_id, ways.b FROM reached JOIN ways ON reached.other = ways.a)
+SELECT doc_id, coalesce(max(sizes.n), 0) AS n_shingles, min(other) AS component_id, doc_id = min(other) AS kept
+FROM reached LEFT JOIN sizes USING (doc_id) GROUP BY doc_id""",
     "op10_mixing": f"""
 WITH sized AS (
   SELECT doc_id, source IS NULL AS no_source, coalesce(source, '') AS name, CAST({_WORDS} AS BIGINT) AS size FROM documents),
