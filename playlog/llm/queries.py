@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playlog.llm import bpe_codec, hamming, html_text, language_id, mixing, near_dedup, quality, token_counts
+from playlog.llm import bpe_codec, hamming, html_text, language_id, mixing, near_dedup, nearest, quality, token_counts
 from playlog.llm.tables import EMBEDDINGS, LABELS, PAGES, documents, read
 
 TOKEN_LIMIT = 512
@@ -45,6 +45,12 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(read(spark, sf_dir, "pages", PAGES))
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors of every hundredth one."""
+    vectors = read(spark, sf_dir, "embeddings", EMBEDDINGS)
+    return nearest.nearest_vectors(vectors, vectors.where(F.col("vec_id") % 100 == 0), TOP)
+
+
 def op7_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest rows, by the signs of their components, of every hundredth row."""
     codes = hamming.sign_codes(read(spark, sf_dir, "embeddings", EMBEDDINGS))
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_language_id,
         op4_quality,
         op5_html_text,
+        op6_nearest,
         op7_hamming_top_k,
         op8_near_dedup,
         op9_bpe_codec,
