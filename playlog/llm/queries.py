@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playlog.llm import bpe_codec, hamming, html_text, language_id, mixing, near_dedup, nearest, quality, token_counts
+from playlog.llm import bpe_codec, hamming, html_text, language_id, lm_scoring, mixing, near_dedup, nearest, quality, token_counts
 from playlog.llm.tables import EMBEDDINGS, LABELS, PAGES, documents, read
 
 TOKEN_LIMIT = 512
@@ -20,6 +20,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log10 probability of every whole text, by word counts and by the language model."""
+    docs = documents(spark, sf_dir)
+    held_out = lm_scoring.held_out(F.col("doc_id"))
+    scored = lm_scoring.score_texts(docs, ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), *scored.columns[1:])
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every whole text, learned from the documents that are not held out."""
     docs = documents(spark, sf_dir)
@@ -76,6 +84,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query for query in (
         op1_token_counts,
+        op2_lm_scoring,
         op3_language_id,
         op4_quality,
         op5_html_text,
