@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from playlog.llm.components import components
-from playlog.llm.tables import as_bytes, blocks, stored, words_of
+from playlog.llm.tables import as_bytes, bits_set, blocks, id_bit, id_bitmap, stored, words_of
 
 TREES = 16
 DEPTH = 8  # values of a signature in a tree
@@ -190,10 +190,12 @@ def candidates(signed: DataFrame) -> DataFrame:
     return pairs.unionByName(over).distinct()
 
 
-def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for block in blocks(batches, "text"):
-        sets = [shingle_set(text, size).tobytes() for text in as_bytes(block.column("text"))]
-        yield pa.record_batch({"id": block.column("doc_id"), "shingles": pa.array(sets, pa.binary())})
+def _sets(batches: Iterator[pa.RecordBatch], size: int, bitmap: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        batch = batch.filter(pa.array(bits_set(batch.column("bit"), bitmap)))
+        for block in blocks(iter([batch]), "text"):
+            sets = [shingle_set(text, size).tobytes() for text in as_bytes(block.column("text"))]
+            yield pa.record_batch({"id": block.column("doc_id"), "shingles": pa.array(sets, pa.binary())})
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -212,9 +214,12 @@ def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
 
 def confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """``a, b``: the pairs whose sets of shingles have at least ``percent`` of their union in common."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("id"), "left_semi")
-    sets = stored(wanted.mapInArrow(functools.partial(_sets, size=size), "id bigint, shingles binary"), "dedup-sets")
+    # Texts are not shuffled to find those of the pairs: they are told by a bitmap of ids where they are read.
+    bitmap = id_bitmap(pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    found = docs.select("doc_id", "text", id_bit(F.col("doc_id")).alias("bit")).mapInArrow(
+        functools.partial(_sets, size=size, bitmap=bitmap), "id bigint, shingles binary"
+    )
+    sets = stored(found, "dedup-sets")
     joined = pairs.join(sets.withColumnsRenamed({"id": "b", "shingles": "set_b"}), "b")
     joined = joined.join(sets.withColumnsRenamed({"id": "a", "shingles": "set_a"}), "a")
     return joined.select("a", "b", "set_a", "set_b").mapInArrow(
@@ -254,3 +259,27 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         .withColumn("component_id", component)
         .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
     )
+
+
+def _picked(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, wanted: bool, columns: list[str]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.select(columns).filter(pa.array(bits_set(batch.column("_bit"), bitmap) == wanted))
+
+
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The documents, all their columns, without those that are near-duplicates of one with a smaller id.
+
+    Of rows with the same id one stays; rows with a null id all stay. Only texts that may have to go are shuffled.
+    """
+    columns = docs.columns
+    decided = stored(near_duplicates(docs, size, percent).select("doc_id", "kept"), "dedup-decided")
+    going = decided.where("NOT kept").select("doc_id").distinct()
+    several = decided.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id")
+    bitmap = id_bitmap(going.union(several).toDF("id"))
+    told = docs.withColumn("_bit", id_bit(F.col("doc_id")))
+    staying, doubtful = (
+        told.mapInArrow(functools.partial(_picked, bitmap=bitmap, wanted=wanted, columns=columns), docs.schema)
+        for wanted in (False, True)
+    )
+    checked = doubtful.join(going, "doc_id", "left_anti").select(*columns).dropDuplicates(["doc_id"])
+    return staying.unionByName(checked)

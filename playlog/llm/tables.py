@@ -108,3 +108,36 @@ def count_words(column: pa.Array) -> np.ndarray:
     starts[first] = inside[first]
     before = np.concatenate([[0], np.cumsum(starts)])
     return np.diff(before[ends - ends[0]])
+
+
+# A set of ids is told apart in advance by so many bits: 2 MB, however large the set. Ids that meet a bit by chance are
+# sorted out by a join later, so the number of bits decides about time only.
+ID_BITS = 1 << 24
+_BITMAP_BITS = 32_768  # of one of Spark's bitmaps
+
+
+def id_bit(doc_id: Column) -> Column:
+    """The bit of an id; null for a null id."""
+    return F.when(doc_id.isNotNull(), F.pmod(F.xxhash64(F.lit("bit"), doc_id), F.lit(ID_BITS)))
+
+
+def id_bitmap(ids: DataFrame) -> np.ndarray:
+    """The bits of all ids of a column ``id``, as bytes. The bitmaps are filled in the tasks."""
+    place = id_bit(F.col("id")) + 1
+    bitmaps = (
+        ids.where(F.col("id").isNotNull())
+        .groupBy(F.bitmap_bucket_number(place).alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    )
+    out = np.zeros(ID_BITS // 8, np.uint8)
+    size = _BITMAP_BITS // 8
+    for row in bitmaps.collect():
+        start = (row["bucket"] - 1) * size
+        out[start : start + size] = np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
+def bits_set(column: pa.Array, bitmap: np.ndarray) -> np.ndarray:
+    """Which bits of a column are set; a null one is not."""
+    bits = pa.compute.fill_null(column, -1).to_numpy(zero_copy_only=False)
+    return (bits >= 0) & ((bitmap[np.maximum(bits, 0) >> 3] >> (bits & 7).astype(np.uint8)) & 1).astype(bool)
