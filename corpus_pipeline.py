@@ -1,25 +1,66 @@
-"""A training-data pipeline over ``documents``: its stages and their run one after the other."""
+"""A training-data pipeline over ``documents``: language ID, quality, near-duplicates, mixing, BPE encoding.
+
+Each stage takes the session, the documents left and the folder of the tables, and returns documents; the last returns
+their encoding. A stage learns from and decides on the documents it is given.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from playlog.llm import bpe_codec, language_id, mixing, near_dedup, quality
+from playlog.llm.tables import DOCUMENT_COLUMNS, LABELS, documents, read, stored
+
+# A document whose language is less likely than this is rejected; it is far below what any real text gets.
+LEAST_LANGUAGE = 0.5
+SHINGLE_WORDS = 5
+SIMILAR_PERCENT = 80
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents in a known language; those without a letter, or whose language can't be told, go."""
+    docs = docs.select(DOCUMENT_COLUMNS)
+    model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
+    return language_id.identified(docs, model, LEAST_LANGUAGE)
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the quality classifier accepts."""
+    docs = docs.select(DOCUMENT_COLUMNS)
+    model = quality.fit(quality.learning_rows(docs, read(spark, sf_dir, "labels", LABELS)))
+    return quality.good_documents(docs, model)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one with the smallest id."""
+    return near_dedup.one_of_each(docs.select(DOCUMENT_COLUMNS), SHINGLE_WORDS, SIMILAR_PERCENT)
+
 
-from playlog.llm import bpe_codec
-from playlog.llm.tables import documents, stored
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix, each as often as it is taken."""
+    return mixing.mixed_documents(docs.select(DOCUMENT_COLUMNS))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, ids`` of every document left."""
+    """``doc_id, ids``: the BPE encoding of every document left."""
     return bpe_codec.encode(docs)
 
 
-STAGES = [("bpe", encode)]
+STAGES = [
+    ("language", identify_language),
+    ("quality", keep_quality),
+    ("near-duplicates", drop_near_duplicates),
+    ("mixing", mix_sources),
+    ("bpe", encode),
+]
 
+# SQL can express neither the learned stages nor the encoding; the stages are tested one by one.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents after all stages."""
+    """The encoded documents after all stages, each written and read again."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")

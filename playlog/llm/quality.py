@@ -26,6 +26,7 @@ PASSAGE_WORDS = 48
 MOST_ROWS = 10_000
 SHARDS = 6
 HIDDEN = 16
+LEAST_STEPS = 120  # of each shard in a round
 THRESHOLD = 0.3
 
 KINDS = 14
@@ -196,6 +197,8 @@ class Model:
 def train(model: Model, bags: list[np.ndarray], labels: np.ndarray, epochs: int, rate: float, seed: int) -> Model:
     """Adam over the bags of one shard, 32 at a time in a random order."""
     random, flat = np.random.default_rng(seed), model.flat().copy()
+    # Small shards are gone over more often.
+    epochs = max(epochs, LEAST_STEPS * 32 // max(len(bags), 32))
     mean, square, step = np.zeros_like(flat), np.zeros_like(flat), 0
     for _ in range(epochs):
         for own in np.array_split(random.permutation(len(bags)), max(1, len(bags) // 32)):
