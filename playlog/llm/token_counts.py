@@ -15,6 +15,7 @@ import itertools
 import operator
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -25,7 +26,7 @@ from playlog.llm import bpe
 from playlog.llm.tables import as_texts, blocks
 
 VOCABULARY = "byte_bpe_50k.json"
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 
 # The pattern that cuts texts for byte-level vocabularies. White space is meant as Unicode defines it.
 _PIECES = regex.compile(
@@ -42,6 +43,10 @@ class PrefixCounter:
     def __init__(self, path: str) -> None:
         self.bpe = bpe.load(path)
         self._pieces: dict[str, list[int]] = {}
+        self._tokens = ahocorasick.Automaton()
+        for token, number in self.bpe.vocab.items():
+            self._tokens.add_word(token, (len(token), number))
+        self._tokens.make_automaton()
         self._first: dict[str, bytes | None] = {}
         self._later: dict[str, bytes | None] = {}
         self._special = regex.compile("|".join(map(regex.escape, self.bpe.special)) or r"(?!)")
@@ -53,32 +58,24 @@ class PrefixCounter:
         return self._pieces[piece]
 
     def _learn_pieces(self, pieces: set[str]) -> None:
-        """Count all prefixes of new pieces. In sorted order a piece takes over the prefixes it shares with the last one."""
+        """Count all prefixes of new pieces: at each end, the tokens that end there are tried, longest first."""
         if len(self._pieces) > REMEMBERED:
             self._pieces.clear()
-        vocab, fits, size, longest = self.bpe.vocab.get, self.bpe.fits, self.bpe.size, self.bpe.longest
-        known_fit = self.bpe.known_fits.get
-        last, counts, former = [-1], [0], ""
-        for spelled, piece in sorted((self.bpe.spelled(piece), piece) for piece in pieces):
-            shared = 0
-            for x, y in zip(former, spelled, strict=False):
-                if x != y:
-                    break
-                shared += 1
-            del last[shared + 1 :], counts[shared + 1 :]
-            for end in range(shared + 1, len(spelled) + 1):
-                for start in range(end - longest if end > longest else 0, end):
-                    token = vocab(spelled[start:end])
-                    if token is None:
+        fits, size, known_fit, ending = self.bpe.fits, self.bpe.size, self.bpe.known_fits.get, self._tokens.iter
+        for piece in pieces:
+            spelled = self.bpe.spelled(piece)
+            last, counts, done = [-1], [0], -1
+            for end, (length, token) in ending(spelled):
+                if end == done:
+                    continue
+                start = end + 1 - length
+                if start:
+                    fit = known_fit(last[start] * size + token)
+                    if fit is False or (fit is None and not fits(last[start], token)):
                         continue
-                    if start:
-                        fit = known_fit(last[start] * size + token)
-                        if fit is False or (fit is None and not fits(last[start], token)):
-                            continue
-                    last.append(token)
-                    counts.append(counts[start] + 1)
-                    break
-            former = spelled
+                last.append(token)
+                counts.append(counts[start] + 1)
+                done = end
             if len(spelled) == len(piece):
                 self._pieces[piece] = counts[1:]
             else:
