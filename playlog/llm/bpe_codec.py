@@ -22,7 +22,7 @@ from playlog.llm import bpe
 from playlog.llm.tables import as_texts, blocks
 
 VOCABULARY = "word_bpe_49k.json"
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 # The pattern that cuts texts into words for this vocabulary.
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
@@ -93,6 +93,10 @@ class Codec:
         for chunk, own in zip(new, words, strict=True):
             self._chunks[chunk] = b"".join([ids[word] for word in own])
 
+    def forget(self) -> None:
+        """Drop what is remembered, so that a worker's next task, which may be another operator's, has the memory."""
+        self._chunks.clear()
+
     def chunks(self, text: str) -> list[str]:
         """The normalised text, cut at white space: composed, and each letter in lower case by itself."""
         text = unicodedata.normalize("NFC", text) if not text.isascii() else text
@@ -158,9 +162,12 @@ def codec(path: str) -> Codec:
 
 def _encode(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.RecordBatch]:
     own = codec(public_tokenizers.path(vocabulary))
-    for block in blocks(batches, "text"):
-        ids = own.encode(as_texts(block.column("text")))
-        yield pa.record_batch({"doc_id": block.column("doc_id"), "ids": pa.array(ids, pa.binary())})
+    try:
+        for block in blocks(batches, "text"):
+            ids = own.encode(as_texts(block.column("text")))
+            yield pa.record_batch({"doc_id": block.column("doc_id"), "ids": pa.array(ids, pa.binary())})
+    finally:
+        own.forget()
 
 
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:

@@ -29,7 +29,7 @@ VALUE_BYTES = 2
 PATH_BYTES = 1 + DEPTH * VALUE_BYTES  # the tree's number leads
 REGION_BYTES = 1 + LEAST_DEPTH * VALUE_BYTES
 BLOCK_ROWS = 8_192  # of a region looked at together
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 SIGNED = "doc_id bigint, n_shingles bigint, key binary, signature binary"
 CANDIDATES = "a bigint, b bigint, region binary"
@@ -95,6 +95,7 @@ def _signed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
                 "signature": pa.array(signatures, pa.binary()),
             }
         )
+    _hashes.clear()
 
 
 def _core(paths: np.ndarray) -> int:
@@ -196,6 +197,7 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int, bitmap: np.ndarray) -> I
         for block in blocks(iter([batch]), "text"):
             sets = [shingle_set(text, size).tobytes() for text in as_bytes(block.column("text"))]
             yield pa.record_batch({"id": block.column("doc_id"), "shingles": pa.array(sets, pa.binary())})
+    _hashes.clear()
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:

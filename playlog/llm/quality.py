@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from playlog.llm.tables import as_texts, blocks, bounded_sample, remainder
 
 PASSAGE_WORDS = 48
+BLOCK_BYTES = 1 << 20  # of text looked at together: it takes a hundred times its size
 # At most about so many labelled rows are used.
 MOST_ROWS = 10_000
 SHARDS = 6
@@ -213,7 +214,7 @@ def train(model: Model, bags: list[np.ndarray], labels: np.ndarray, epochs: int,
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block in blocks(batches, "text"):
+    for block in blocks(batches, "text", BLOCK_BYTES):
         rows, bags = passages(as_texts(block.column("text")))
         rows = rows.astype(np.float16)
         own = [rows[a:b].tobytes() for a, b in zip(bags[:-1], bags[1:], strict=True)]
@@ -257,7 +258,7 @@ def fit(labelled: DataFrame, most_rows: int = MOST_ROWS, rounds: int = 5, epochs
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    for block in blocks(batches, "text"):
+    for block in blocks(batches, "text", BLOCK_BYTES):
         scores = model.scores(as_texts(block.column("text")))
         yield pa.record_batch({"doc_id": block.column("doc_id"), "score": pa.array(scores)})
 
@@ -288,7 +289,7 @@ def learning_rows(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS
 
 
 def _keep(batches: Iterator[pa.RecordBatch], model: Model, least: float) -> Iterator[pa.RecordBatch]:
-    for block in blocks(batches, "text"):
+    for block in blocks(batches, "text", BLOCK_BYTES):
         yield block.filter(pa.array(model.scores(as_texts(block.column("text"))) >= least))
 
 

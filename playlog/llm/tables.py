@@ -24,7 +24,7 @@ LABELS = "doc_id bigint, quality int, toxic int"
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 # Bytes of text that are worked on at once inside a task.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, schema: str) -> DataFrame:
@@ -59,15 +59,17 @@ def as_texts(column: pa.Array) -> list[str]:
     return ["" if text is None else text for text in column.to_pylist()]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """The rows of all batches in blocks of about ``BLOCK_BYTES`` of a text column, so that memory stays bounded."""
+def blocks(
+    batches: Iterator[pa.RecordBatch], column: str, most: int = BLOCK_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches in blocks of about ``most`` bytes of a text column, so that memory stays bounded."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
         sizes = [0 if n is None else n for n in pa.compute.binary_length(batch.column(column)).to_pylist()]
         start = held = 0
         for row, size in enumerate(sizes):
-            if held and held + size > BLOCK_BYTES:
+            if held and held + size > most:
                 yield batch.slice(start, row - start)
                 start, held = row, 0
             held += size
