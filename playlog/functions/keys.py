@@ -35,11 +35,39 @@ def with_text_keys(plays: DataFrame) -> DataFrame:
 
 def play_day(plays: DataFrame) -> Column:
     """The day of a play as a date; null when a stored key is no date."""
+    if is_partitioned(plays):
+        return number_day(day_number(plays))
     if is_timestamped(plays):
         return F.to_date("ts")
-    if "ymd" in plays.columns:
-        return F.col("ymd").try_cast("date")
-    return F.make_date(*PARTITION_COLUMNS)
+    return F.col("ymd").try_cast("date")
+
+
+def day_number(plays: DataFrame) -> Column:
+    """The day of a play as the number yyyymmdd, from the partition columns where there are any: these decide the day.
+
+    Null when a stored key is no date. A number is made of any partition values, so an impossible one cannot fail; it
+    just never equals a real day's.
+    """
+    if is_partitioned(plays):
+        year, month, day = (F.col(c).cast("int") for c in PARTITION_COLUMNS)
+        return year * 10000 + month * 100 + day
+    return date_number(play_day(plays))
+
+
+def date_number(day: Column) -> Column:
+    return F.year(day) * 10000 + F.month(day) * 100 + F.dayofmonth(day)
+
+
+def number_day(number: Column) -> Column:
+    """A day from its number; null when it is none."""
+    return F.try_to_timestamp(F.lpad(number.cast("string"), 8, "0"), F.lit("yyyyMMdd")).cast("date")
+
+
+def _in_partitions(plays: DataFrame, first: dt.date, last: dt.date) -> Column:
+    """A filter on the partition columns. The plain comparison on year is one a metastore can answer."""
+    year = F.col(PARTITION_COLUMNS[0]).cast("int")
+    ends = (int(day.strftime("%Y%m%d")) for day in (first, last))
+    return year.between(first.year, last.year) & day_number(plays).between(*ends)
 
 
 def play_time(plays: DataFrame) -> Column:
@@ -62,14 +90,7 @@ def within_days(plays: DataFrame, start: Day, end: Day) -> DataFrame:
     """
     first, last = as_day(start), as_day(end)
     if is_partitioned(plays):
-        year, month, day = (F.col(c).cast("int") for c in PARTITION_COLUMNS)
-        # The plain comparison on year is one a metastore can answer; the second one is exact. Both work on integers:
-        # building a date would fail on an impossible partition value.
-        number = year * 10000 + month * 100 + day
-        return plays.where(
-            year.between(first.year, last.year)
-            & number.between(int(first.strftime("%Y%m%d")), int(last.strftime("%Y%m%d")))
-        )
+        return plays.where(_in_partitions(plays, first, last))
     if is_timestamped(plays):
         return plays.where(F.to_date("ts").between(F.lit(first), F.lit(last)))
     return plays.where(F.col("ymd").between(first.isoformat(), last.isoformat()))
@@ -78,6 +99,8 @@ def within_days(plays: DataFrame, start: Day, end: Day) -> DataFrame:
 def within_minutes(plays: DataFrame, start: Moment, end: Moment) -> DataFrame:
     """Plays from start to end, both inclusive to the minute."""
     first, last = as_minute(start), as_minute(end)
+    if is_partitioned(plays):
+        plays = plays.where(_in_partitions(plays, first.date(), last.date()))
     if is_timestamped(plays):
         kind = plays.schema["ts"].dataType
         after = last + dt.timedelta(minutes=1)

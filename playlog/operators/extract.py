@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from playlog.functions.days import Day, day_range, parse_day, report_day
-from playlog.functions.keys import play_day, within_days
+from playlog.functions.keys import date_number, day_number, within_days
 from playlog.functions.minutes import shown, sum_minutes
 from playlog.messages import REPORT_EMPTY, REPORT_READY
 
@@ -43,11 +43,11 @@ def daily_coverage(source: DataFrame, customer: str, start: Day, end: Day) -> Da
     """``day, n_rows, has_data`` for every day of the range, days without plays included."""
     first, last = day_range(start, end)
     plays = customer_extract(source, customer, first, last)
-    counts = plays.groupBy(play_day(plays).alias("day")).agg(F.count("*").alias("n_rows"))
+    counts = plays.groupBy(day_number(plays).alias("_number")).agg(F.count("*").alias("n_rows"))
     spine = source.sparkSession.range(1).select(F.explode(F.sequence(F.lit(first), F.lit(last))).alias("day"))
     # The counts have at most one row per day of the range, so their size is set by the parameters.
     n_rows = F.coalesce("n_rows", F.lit(0).cast("bigint"))
-    return spine.join(F.broadcast(counts), "day", "left").select(
+    return spine.withColumn("_number", date_number(F.col("day"))).join(F.broadcast(counts), "_number", "left").select(
         "day", n_rows.alias("n_rows"), (n_rows > 0).alias("has_data")
     )
 
@@ -72,12 +72,12 @@ class RequestDays:
         the partitions that are still too large.
         """
         days = F.broadcast(self.days) if self.small else self.days
-        return plays.join(days, ["customerID", "request_day"], "inner")
+        return plays.join(days, ["customerID", "day_number"], "inner")
 
     def asked(self, plays: DataFrame) -> DataFrame:
         """Plays without those that surely nobody asks for: they are dropped where they are read, before a shuffle."""
         if self.small:
-            keys = ["customerID", "request_day"]
+            keys = ["customerID", "day_number"]
             return plays.join(F.broadcast(self.days.select(*keys)), keys, "left_semi")
         if self.customers is not None:
             return plays.join(F.broadcast(self.customers), "customerID", "left_semi")
@@ -110,6 +110,7 @@ def request_days(requests: DataFrame) -> RequestDays:
     """
     requests = typed_requests(requests).where(F.col("from") <= F.col("to"))
     days = requests.select("dataset", "customerID", F.explode(F.sequence("from", "to")).alias("request_day"))
+    days = days.withColumn("day_number", date_number(F.col("request_day")))
     measured = _measure(days, F.min("request_day").alias("first"), F.max("request_day").alias("last"))
     small = _fits(measured)
     customers = None
@@ -122,7 +123,7 @@ def request_days(requests: DataFrame) -> RequestDays:
 def _plays_of(source: DataFrame, wanted: RequestDays) -> DataFrame:
     """The plays inside the outer range of all requests, with their day."""
     plays = within_days(source, wanted.first, wanted.last) if wanted.first else source.where(F.lit(False))
-    return plays.withColumn("request_day", play_day(source))
+    return plays.withColumn("day_number", day_number(source))
 
 
 def batch_extract(source: DataFrame, requests: DataFrame) -> DataFrame:
@@ -136,7 +137,7 @@ def batch_extract(source: DataFrame, requests: DataFrame) -> DataFrame:
 
 def _daily_sums(source: DataFrame, wanted: RequestDays) -> DataFrame:
     """Rows and minutes per customer and day."""
-    keys = {name: F.col(name) for name in ("customerID", "request_day")}
+    keys = {name: F.col(name) for name in ("customerID", "day_number")}
     return sum_minutes(wanted.asked(_plays_of(source, wanted)), keys, zero=False, count="n")
 
 
@@ -154,7 +155,7 @@ def batch_coverage(source: DataFrame, requests: DataFrame) -> DataFrame:
     """``dataset, customerID, day, n_rows, has_data`` for every day of every request."""
     wanted = request_days(requests)
     n_rows = F.coalesce("n", F.lit(0).cast("bigint"))
-    return wanted.days.join(_daily_sums(source, wanted), ["customerID", "request_day"], "left").select(
+    return wanted.days.join(_daily_sums(source, wanted), ["customerID", "day_number"], "left").select(
         "dataset",
         "customerID",
         F.col("request_day").alias("day"),

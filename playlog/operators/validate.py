@@ -12,9 +12,14 @@ ERRORS = ["dataset_error", "import_error", "view_error", "range_error", "start_e
 
 
 def with_known(inputs: DataFrame, datasets: DataFrame) -> DataFrame:
-    """Inputs with ``known``: whether their dataset is in the listing. Inputs are kept whole."""
+    """Inputs with ``known``: whether their dataset is in the listing. Inputs are kept whole.
+
+    Inputs without a dataset, of which there may be many, stay out of the join.
+    """
     listed = datasets.select("dataset").distinct().withColumn("known", F.lit(True))
-    return inputs.join(listed, "dataset", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    named = F.coalesce(F.col("dataset") != "", F.lit(False))
+    joined = inputs.where(named).join(listed, "dataset", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    return joined.unionByName(inputs.where(~named).withColumn("known", F.lit(False)))
 
 
 def validate_requests(inputs: DataFrame, datasets: DataFrame) -> DataFrame:

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from playlog.functions.days import Day, day_range
 from playlog.operators.extract import customer_extract, extract_report
-from playlog.sinks.datasets import write_dataset
-from playlog.sources.catalog import dataset_path
+from playlog.session import use_utc
+from playlog.sinks.datasets import stored, write_dataset
 from playlog.sources.plays import play_source
 
 
@@ -29,12 +29,13 @@ def extract_dataset(source: DataFrame, root: str, dataset: str, customer: str, s
         F.lit(first).alias("from"),
         F.lit(last).alias("to"),
     )
-    if plays.isEmpty():
-        return extract_report(request, spark.createDataFrame([], "dataset string, n_rows bigint"))
-    write_dataset(plays, root, dataset)
-    # Counted in the files, whose footers hold the number of rows.
-    written = spark.read.parquet(dataset_path(root, dataset))
-    counts = written.agg(F.count("*").alias("n_rows")).select(F.lit(dataset).alias("dataset"), "n_rows")
+    # The source is scanned once: the rows are counted in the footers of the written files, of which there may be none.
+    path = write_dataset(plays, root, dataset)
+    n_rows = spark.read.schema(stored(plays).schema).parquet(path).count()
+    if not n_rows:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    counts = spark.range(1).select(F.lit(dataset).alias("dataset"), F.lit(n_rows).cast("bigint").alias("n_rows"))
     return extract_report(request, counts)
 
 
@@ -43,7 +44,7 @@ def main(arguments: list[str] | None = None) -> str:
     for name in ("source", "root", "customerID", "start", "end", "dataset"):
         parser.add_argument(f"--{name}", required=True)
     args = parser.parse_args(arguments)
-    spark = SparkSession.builder.appName("playlog-extract").getOrCreate()
+    spark = use_utc(SparkSession.builder.appName("playlog-extract").getOrCreate())
     report = extract_dataset(
         play_source(spark, args.source), args.root, args.dataset, args.customerID, args.start, args.end
     )

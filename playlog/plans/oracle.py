@@ -129,11 +129,36 @@ SELECT dataset, "customerID", n_rows,
        ELSE 'no data were found for this period. Data older than 6 months may have been deleted.' END AS message
 FROM joined"""
 
+def _request_rows(requests: str, plays: str) -> str:
+    return f"""
+SELECT dataset, plays.* FROM ({requests}) requests JOIN ({plays}) plays
+  ON plays."customerID" = requests."customerID" AND CAST(ts AS DATE) BETWEEN "from" AND "to" """
+
+
 CATALOG = f"""
-SELECT genre AS dataset, min("customerID") AS "customerID", count(*) AS n_rows,
+SELECT dataset, min("customerID") AS "customerID", count(*) AS n_rows,
        count(DISTINCT CAST(ts AS DATE)) AS n_days,
        strftime(min(ts), '%Y-%m-%d') AS first_day, strftime(max(ts), '%Y-%m-%d') AS last_day
-FROM ({EVENT_PLAYS}) plays GROUP BY genre"""
+FROM ({_request_rows(REQUESTS, EVENT_PLAYS)}) extracts GROUP BY dataset"""
+
+COVERAGE = f"""
+WITH days AS (
+  SELECT dataset, "customerID", CAST(unnest(generate_series("from", "to", INTERVAL 1 DAY)) AS DATE) AS day
+  FROM ({LATE_REQUESTS}) requests),
+counts AS (
+  SELECT "customerID", CAST(ts AS DATE) AS day, count(*) AS n FROM ({EVENT_PLAYS}) plays GROUP BY 1, 2)
+SELECT dataset, "customerID", day, coalesce(n, 0) AS n_rows, coalesce(n, 0) > 0 AS has_data
+FROM days LEFT JOIN counts USING ("customerID", day)"""
+
+TOTALS = f"""
+SELECT genre, coalesce(CAST(sum(minsplayed) AS DOUBLE), 0) AS minsplayed
+FROM ({EVENT_PLAYS}) plays
+WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'
+GROUP BY genre"""
+
+WINDOW = f"""
+SELECT "customerID", genre, minsplayed, ym, ymd, ymdh, ymdhm FROM ({KEYED_EVENTS}) keyed
+WHERE date_trunc('minute', ts) BETWEEN TIMESTAMP '2024-01-10 08:00:00' AND TIMESTAMP '2024-01-10 14:00:00'"""
 
 GENRE_ORDER = f"""
 WITH days AS ({DAILY}),
@@ -156,11 +181,7 @@ ORACLE: dict[str, str] = {
     ),
     "month_day_rows": _month_rows(*_YEARS),
     "monthly_minutes": MONTHLY,
-    "genre_totals": f"""
-SELECT genre, coalesce(CAST(sum(minsplayed) AS DOUBLE), 0) AS minsplayed
-FROM ({EVENT_PLAYS}) plays
-WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'
-GROUP BY genre""",
+    "genre_totals": TOTALS,
     "genre_order": GENRE_ORDER,
     "ranked_table": f"""
 SELECT days.*, genre_rank FROM ({DAILY}) days JOIN ({GENRE_ORDER}) ranks
@@ -181,11 +202,9 @@ SELECT month("Month") || '/' || year("Month") AS "Month", strftime("Month", '%b'
 FROM ({MONTHLY}) months""",
     "top_page": f'{DAILY} ORDER BY minsplayed DESC NULLS LAST, "Date", genre LIMIT 10',
     "next_page": f'{DAILY} ORDER BY minsplayed DESC NULLS LAST, "Date", genre LIMIT 10 OFFSET 10',
-    "raw_window": f"""
-SELECT "customerID", genre, minsplayed, ym, ymd, ymdh, ymdhm FROM ({KEYED_EVENTS}) keyed
-WHERE date_trunc('minute', ts) BETWEEN TIMESTAMP '2024-01-10 08:00:00' AND TIMESTAMP '2024-01-10 14:00:00'""",
+    "raw_window": WINDOW,
     "validate_requests": VALIDATED,
-    "accepted_reads": f'SELECT dataset, "user", import_from, import_to FROM ({ACCEPTED}) accepted',
+    "accepted_reads": f'SELECT dataset, "timestamp", "user", import_from, import_to FROM ({ACCEPTED}) accepted',
     "customer_extract": f"""
 {EVENT_ROWS} WHERE "customerID" = '149' AND CAST(ts AS DATE) BETWEEN DATE '2024-01-08' AND DATE '2024-01-21'""",
     "source_extract": f"""
@@ -197,25 +216,32 @@ WITH spine AS (
 counts AS (
   SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM ({EVENT_PLAYS}) plays WHERE "customerID" = '149' GROUP BY 1)
 SELECT day, coalesce(n, 0) AS n_rows, coalesce(n, 0) > 0 AS has_data FROM spine LEFT JOIN counts USING (day)""",
-    "batch_coverage": f"""
-WITH days AS (
-  SELECT dataset, "customerID", CAST(unnest(generate_series("from", "to", INTERVAL 1 DAY)) AS DATE) AS day
-  FROM ({LATE_REQUESTS}) requests),
-counts AS (
-  SELECT "customerID", CAST(ts AS DATE) AS day, count(*) AS n FROM ({EVENT_PLAYS}) plays GROUP BY 1, 2)
-SELECT dataset, "customerID", day, coalesce(n, 0) AS n_rows, coalesce(n, 0) > 0 AS has_data
-FROM days LEFT JOIN counts USING ("customerID", day)""",
-    "batch_extract": _request_sums(REQUESTS),
+    "batch_coverage": COVERAGE,
+    "batch_extract": f"""
+SELECT dataset, "customerID", genre, CAST(minsplayed AS DOUBLE) AS minsplayed, ts
+FROM ({_request_rows(REQUESTS, EVENT_PLAYS)}) extracts""",
+    "source_batch": f"""
+SELECT * EXCLUDE (ts) FROM ({_request_rows(LATE_REQUESTS, KEYED_EVENTS)}) extracts""",
+    "source_coverage": COVERAGE,
+    "source_window": f"""
+SELECT "customerID", genre, minsplayed, ym, ymd, ymdh, ymdhm FROM ({KEYED_EVENTS}) keyed
+WHERE date_trunc('minute', ts) BETWEEN TIMESTAMP '2024-01-10 22:00:00' AND TIMESTAMP '2024-01-11 04:00:00'""",
     "request_counts": _request_sums(LATE_REQUESTS),
     "extract_report": REPORT,
-    "merge_days": f"{EVENT_ROWS} WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-08' AND DATE '2024-01-10'",
+    "merge_days": f"{KEYED_ROWS} WHERE ymd BETWEEN '2024-01-08' AND '2024-01-10'",
     "write_roundtrip": KEYED_ROWS,
     "append_roundtrip": KEYED_ROWS,
     "load_range": _sums(EVENT_PLAYS, _DAY, "Date", "2024-01-05", "2024-01-10"),
     "loaded_hours": HOURLY,
     "compact_roundtrip": KEYED_ROWS,
     "dataset_catalog": CATALOG,
-    "dataset_listing": "SELECT DISTINCT event_type AS dataset, true AS has_data FROM events",
+    "dataset_listing": f"SELECT dataset, CAST(1 AS BIGINT) AS n_files, true AS has_data FROM ({CATALOG}) written",
+    "stored_report": REPORT,
+    "double_minutes": f'SELECT "Date", genre, round(minsplayed, 6) AS minsplayed FROM ({DAILY}) days',
+    "cached_view": _sums(EVENT_PLAYS, _DAY, "Date", "2024-01-05", "2024-01-20"),
+    "csv_buckets": HOURLY,
+    "csv_totals": TOTALS,
+    "csv_window": WINDOW,
     "csv_roundtrip": KEYED_ROWS,
     "log_append": f"{REQUEST_LOG_ROWS} UNION ALL {REQUEST_LOG_ROWS}",
     "read_log_append": f"""

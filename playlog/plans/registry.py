@@ -111,12 +111,17 @@ def raw_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def validate_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.validate_requests(inputs.form_inputs(spark, sf_dir), inputs.requests(spark, sf_dir))
+    listing = catalog.dataset_listing(spark, _request_store(spark, sf_dir))
+    return validate.validate_requests(inputs.form_inputs(spark, sf_dir), listing)
+
+
+def _accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listing = catalog.dataset_listing(spark, _request_store(spark, sf_dir))
+    return validate.accepted_reads(inputs.form_inputs(spark, sf_dir), listing)
 
 
 def accepted_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reads = validate.accepted_reads(inputs.form_inputs(spark, sf_dir), inputs.requests(spark, sf_dir))
-    return reads.select("dataset", "user", "import_from", "import_to")
+    return _accepted(spark, sf_dir).select("dataset", "timestamp", "user", "import_from", "import_to")
 
 
 # --- extraction -----------------------------------------------------------------------------------------------------
@@ -127,14 +132,35 @@ def customer_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(extract.customer_extract(events_plays(spark, sf_dir, customer), customer, start, end))
 
 
-def source_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same extract from all plays laid out as the source table is, by year, month and day."""
+def _partitioned(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """All plays laid out as the source table is, by year, month and day."""
     plays = datasets.stored(events_plays(spark, sf_dir))
     day = F.col("ymd").cast("date")
     parts = plays.withColumns({"year": F.year(day), "month": F.month(day), "day": F.dayofmonth(day)})
-    path = work_folder(spark, "source")
+    path = work_folder(spark, name)
     parts.hint("rebalance", *PARTITION_COLUMNS).write.partitionBy(*PARTITION_COLUMNS).parquet(path)
-    return shown(extract.customer_extract(spark.read.parquet(path), *CUSTOMER).select(PLAYS.fieldNames()))
+    return spark.read.parquet(path)
+
+
+def source_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = _partitioned(spark, sf_dir, "source")
+    return shown(extract.customer_extract(source, *CUSTOMER).select(PLAYS.fieldNames()))
+
+
+def source_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plays of all requests out of the partitioned source, of which only requested days are read."""
+    source = _partitioned(spark, sf_dir, "batch")
+    extracts = extract.batch_extract(source, inputs.late_requests(spark, sf_dir))
+    return shown(extracts.select("dataset", *PLAYS.fieldNames()))
+
+
+def source_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.batch_coverage(_partitioned(spark, sf_dir, "coverage"), inputs.late_requests(spark, sf_dir))
+
+
+def source_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = _partitioned(spark, sf_dir, "window")
+    return shown(export.raw_window(source, "2024-01-10 22:00", "2024-01-11 04:00", EXPORT_COLUMNS))
 
 
 def daily_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,9 +173,7 @@ def batch_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batch_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    extracts = extract.batch_extract(events_plays(spark, sf_dir), inputs.requests(spark, sf_dir))
-    sums = extracts.groupBy("dataset").agg(F.count("*").alias("n_rows"), F.sum("minsplayed").alias("minsplayed"))
-    return shown(sums)
+    return shown(extract.batch_extract(events_plays(spark, sf_dir), inputs.requests(spark, sf_dir)))
 
 
 def request_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,9 +185,10 @@ def extract_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plays = events_plays(spark, sf_dir)
+    """Three days of the partitioned source: each reads its own partition only."""
+    plays = _partitioned(spark, sf_dir, "merge").select(*PLAYS.fieldNames(), *PARTITION_COLUMNS)
     days = [within_days(plays, day, day) for day in ("2024-01-08", "2024-01-09", "2024-01-10")]
-    return shown(extract.merge_days(*days))
+    return shown(extract.merge_days(*days).select(PLAYS.fieldNames()))
 
 
 # --- datasets, exports and logs, written and read back --------------------------------------------------------------
@@ -178,12 +203,28 @@ def write_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def append_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first and the second half of the month, appended to one dataset."""
+    """All plays before a moment, and then all others, those without a time among them, appended to one dataset."""
     plays = events_plays(spark, sf_dir)
     root = work_folder(spark, "append")
-    datasets.append_dataset(within_days(plays, "2024-01-01", "2024-01-15"), root, "events")
-    path = datasets.append_dataset(within_days(plays, "2024-01-16", "2024-01-30"), root, "events")
-    return shown(load_plays(spark, path))
+    early = F.coalesce(F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz"), F.lit(False))
+    datasets.append_dataset(plays.where(early), root, "events")
+    return shown(load_plays(spark, datasets.append_dataset(plays.where(~early), root, "events")))
+
+
+def double_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Day sums of a dataset that was stored with floating minutes."""
+    plays = shown(events_plays(spark, sf_dir))
+    path = datasets.write_dataset(plays, work_folder(spark, "double"), "events")
+    table = aggregate.daily_minutes(load_plays(spark, path), *EVENTS)
+    return table.withColumn("minsplayed", F.round("minsplayed", 6))
+
+
+def cached_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Day sums of a cached view that replaced an earlier one of the same name."""
+    path = _written_events(spark, sf_dir, "cached")
+    load_plays(spark, path, "2024-01-01", "2024-01-03", view="cached_plays", cache=True)
+    load_plays(spark, path, "2024-01-05", "2024-01-20", view="cached_plays", cache=True)
+    return aggregate.daily_minutes(spark.table("cached_plays"), *EVENTS)
 
 
 def load_range(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,26 +244,52 @@ def compact_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(load_plays(spark, datasets.compact_dataset(spark, path, f"{path}-compact")))
 
 
-def _store_of_genres(spark: SparkSession, sf_dir: str, name: str) -> str:
-    """A store with one dataset per genre: their number does not grow with the tables, as one per user would."""
-    plays = events_plays(spark, sf_dir).withColumn("dataset", F.col("genre"))
-    return datasets.write_batch(plays, work_folder(spark, name))
+def _request_store(spark: SparkSession, sf_dir: str, requests: DataFrame | None = None) -> str:
+    """The store with the dataset of every request that has plays."""
+    requests = inputs.requests(spark, sf_dir) if requests is None else requests
+    extracts = extract.batch_extract(events_plays(spark, sf_dir), requests)
+    return datasets.write_batch(extracts, work_folder(spark, "store"), tasks=spark.sparkContext.defaultParallelism)
 
 
 def dataset_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.dataset_catalog(spark, _store_of_genres(spark, sf_dir, "catalog"))
+    return catalog.dataset_catalog(spark, _request_store(spark, sf_dir))
 
 
 def dataset_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listing = catalog.dataset_listing(spark, _store_of_genres(spark, sf_dir, "listing"))
-    return listing.select("dataset", (F.col("n_bytes") > 0).alias("has_data"))
+    listing = catalog.dataset_listing(spark, _request_store(spark, sf_dir))
+    return listing.select("dataset", "n_files", (F.col("n_bytes") > 0).alias("has_data"))
+
+
+def stored_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of all requests, counted from the datasets that were written."""
+    requests = inputs.late_requests(spark, sf_dir)
+    written = catalog.dataset_catalog(spark, _request_store(spark, sf_dir, requests))
+    return extract.extract_report(requests, written)
 
 
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     plays = with_text_keys(events_plays(spark, sf_dir)).select(PLAYS.fieldNames())
-    path = text.export_csv(plays, work_folder(spark, "csv"))
-    schema = ", ".join(f"{field.name} {field.dataType.simpleString()}" for field in PLAYS.fields)
-    return shown(text.read_csv(spark, path, schema))
+    return shown(_exported(plays, "csv"))
+
+
+def _exported(table: DataFrame, name: str, **options) -> DataFrame:
+    """A table written as CSV and read back."""
+    spark = table.sparkSession
+    path = text.export_csv(table, work_folder(spark, name), **options)
+    schema = ", ".join(f"{field.name} {field.dataType.simpleString()}" for field in table.schema)
+    return text.read_csv(spark, path, schema)
+
+
+def csv_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _exported(hourly_minutes(spark, sf_dir), "csv-buckets", files=1, order=[F.desc("minsplayed"), "Time", "genre"])
+
+
+def csv_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _exported(genre_totals(spark, sf_dir), "csv-totals", files=1, order=["minsplayed", "genre"])
+
+
+def csv_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _exported(raw_window(spark, sf_dir), "csv-window", files=2)
 
 
 def log_append(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,8 +303,7 @@ def log_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 def read_log_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The read log after every user tried to load a dataset."""
     path = work_folder(spark, "reads-log")
-    reads = validate.accepted_reads(inputs.form_inputs(spark, sf_dir), inputs.requests(spark, sf_dir))
-    return text.read_log(spark, text.append_reads(reads, path), READ_LOG)
+    return text.read_log(spark, text.append_reads(_accepted(spark, sf_dir), path), READ_LOG)
 
 
 QUERIES: dict[str, Query] = {
@@ -265,6 +331,9 @@ QUERIES: dict[str, Query] = {
         accepted_reads,
         customer_extract,
         source_extract,
+        source_batch,
+        source_coverage,
+        source_window,
         daily_coverage,
         batch_coverage,
         batch_extract,
@@ -273,12 +342,18 @@ QUERIES: dict[str, Query] = {
         merge_days,
         write_roundtrip,
         append_roundtrip,
+        double_minutes,
+        cached_view,
         load_range,
         loaded_hours,
         compact_roundtrip,
         dataset_catalog,
         dataset_listing,
+        stored_report,
         csv_roundtrip,
+        csv_buckets,
+        csv_totals,
+        csv_window,
         log_append,
         read_log_append,
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,8 +18,10 @@ def use_utc(spark: SparkSession) -> SparkSession:
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh path for written tables, below the shared folder the session names in ``spark.checkpoint.dir``.
 
-    Only where that setting is missing (a local test) is a temporary folder of this machine used.
+    Only where that setting is missing and all runs in one process is a temporary folder of this machine used.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     base = shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="playlog-")
     return f"{base}/playlog-{name}-{uuid.uuid4().hex}"

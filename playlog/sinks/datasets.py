@@ -53,15 +53,22 @@ def append_dataset(
     return write_dataset(plays, root, dataset, "append", max_records, rebalance)
 
 
-def write_batch(extracts: DataFrame, root: str, mode: str = "errorifexists", max_records: int = 0) -> str:
+def write_batch(
+    extracts: DataFrame, root: str, mode: str = "errorifexists", max_records: int = 0, tasks: int | None = None
+) -> str:
     """Write all datasets of a batch, each in its folder, and return the root.
 
+    Rows are rebalanced by size: many small datasets come into few tasks, and a large one is split. Where creating files
+    takes longer than writing rows, ``tasks`` deals the datasets out to so many tasks instead; a dataset is then written
+    by one of them.
+
     Days are not folders here, as many small datasets would make many tiny files; rows are sorted by minute inside a
     file, so that the statistics in it let a range of days skip what it does not need.
     """
     rows = stored(extracts)
     order = "ymdhm" if "ymdhm" in rows.columns else "ymd"
-    rows = rows.hint("rebalance", "dataset").sortWithinPartitions("dataset", order)
+    rows = rows.repartition(tasks, "dataset") if tasks else rows.hint("rebalance", "dataset")
+    rows = rows.sortWithinPartitions("dataset", order)
     _writer(rows, mode, max_records).partitionBy("dataset").parquet(root)
     return root
 
@@ -71,17 +78,18 @@ def compact_dataset(
 ) -> str:
     """Rewrite a dataset with few files and return its path.
 
-    By default the number of files follows the size; ``files`` asks for an exact number, 1 included.
+    By default the number of files follows the size; ``files`` asks for a number, 1 included. Files hold consecutive
+    ranges of minutes, so that a range of days is read from few of them.
     """
     plays = spark.read.parquet(source)
     if "ymd" in plays.columns:
         # Folder names are read as dates.
         plays = plays.withColumn("ymd", F.col("ymd").cast("string"))
-    if files is not None:
-        plays = plays.repartition(files)
-    elif "ymdhm" in plays.columns:
-        plays = plays.hint("rebalance", "ymd").sortWithinPartitions("ymdhm")
+    order = next((name for name in ("ymdhm", "ymd") if name in plays.columns), None)
+    if order is None:
+        plays = plays.hint("rebalance") if files is None else plays.repartition(files)
     else:
-        plays = plays.hint("rebalance")
+        dealt = plays.repartitionByRange(order) if files is None else plays.repartitionByRange(files, order)
+        plays = dealt.sortWithinPartitions(order)
     _writer(plays, "errorifexists", max_records).parquet(target)
     return target

@@ -38,8 +38,27 @@ def _dataset_of(path: Column, root: str) -> Column:
     return F.when(folder.startswith("dataset="), value).otherwise(folder)
 
 
+def _folders(spark: SparkSession, root: str) -> list[str] | None:
+    """The names of the folders right below a root; none where there is no root."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return None
+    names = [entry.getPath().getName() for entry in files.listStatus(path) if entry.isDirectory()]
+    return [name for name in names if not name.startswith(("_", "."))]
+
+
 def dataset_listing(spark: SparkSession, root: str) -> DataFrame:
-    """One row per dataset with its number of files and bytes, from the file listing alone: no file is opened."""
+    """One row per dataset with its number of files and bytes, from the file listing alone: no file is opened.
+
+    Every folder of the store is a dataset, an empty one too. A store that is not there lists nothing.
+    """
+    names = _folders(spark, root)
+    folders = spark.createDataFrame([(name,) for name in names or []], "folder string")
+    value = _unescaped(F.regexp_extract("folder", "^dataset=(.*)$", 1))
+    listed = folders.select(F.when(F.col("folder").startswith("dataset="), value).otherwise(F.col("folder")).alias("dataset"))
+    if not names:
+        return listed.select("dataset", F.lit(0).cast("bigint").alias("n_files"), F.lit(0).cast("bigint").alias("n_bytes"))
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
@@ -47,11 +66,9 @@ def dataset_listing(spark: SparkSession, root: str) -> DataFrame:
         .load(root)
         .select(_dataset_of(F.col("path"), root).alias("dataset"), "length")
     )
-    return (
-        files.where(F.col("dataset") != "")
-        .groupBy("dataset")
-        .agg(F.count("*").alias("n_files"), F.sum("length").alias("n_bytes"))
-    )
+    found = files.groupBy("dataset").agg(F.count("*").alias("n_files"), F.sum("length").alias("n_bytes"))
+    counts = [F.coalesce(name, F.lit(0).cast("bigint")).alias(name) for name in ("n_files", "n_bytes")]
+    return listed.join(found, "dataset", "left").select("dataset", *counts)
 
 
 def dataset_catalog(spark: SparkSession, root: str) -> DataFrame:

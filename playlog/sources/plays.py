@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,7 +51,7 @@ def conform(stored: DataFrame) -> DataFrame:
 
     A day key read from folder names arrives as a date (or as void, where no play has a day) and becomes text again;
     filters on it still prune partitions.
-    Minutes keep their width when they are whole numbers or decimals.
+    Minutes keep their width when they are whole numbers or decimals; floating ones stay doubles, and are summed as such.
     """
     missing = [name for name in PLAYS.fieldNames() if name not in stored.columns]
     if missing:
@@ -64,7 +64,7 @@ def conform(stored: DataFrame) -> DataFrame:
             if not isinstance(found, T.NumericType):
                 raise ValueError(f"not a plays dataset, minsplayed is {found.simpleString()}")
             if isinstance(found, T.FractionalType) and not isinstance(found, T.DecimalType):
-                column = column.try_cast(MINUTES_TYPE)
+                column = column.cast("double")
         elif not isinstance(found, (T.StringType, T.DateType, T.IntegralType, T.NullType)):
             raise ValueError(f"not a plays dataset, {field.name} is {found.simpleString()}")
         elif not isinstance(found, T.StringType):
@@ -73,6 +73,13 @@ def conform(stored: DataFrame) -> DataFrame:
     return stored.select(columns)
 
 
+def exact_minutes(value: Column) -> Column:
+    """A floating value as a decimal. One that has no equal among them fails; none is rounded or lost."""
+    exact = value.try_cast(MINUTES_TYPE)
+    wrong = F.raise_error(F.concat(F.lit(f"minutes that are no {MINUTES_TYPE.simpleString()}: "), value.cast("string")))
+    return F.when(value.isNull() | (exact.cast("double") == value), exact).otherwise(wrong.cast(MINUTES_TYPE))
+
+
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of ``events`` that plays come from. With the schema given, no file is opened to plan a query."""
     schema = "ts timestamp_ntz, user_id bigint, event_type string, value double"
@@ -93,7 +100,7 @@ def events_plays(spark: SparkSession, sf_dir: str, customer: str | None = None)
     return events.select(
         F.col("user_id").cast("string").alias("customerID"),
         F.col("event_type").alias("genre"),
-        F.col("value").try_cast(MINUTES_TYPE).alias("minsplayed"),
+        exact_minutes(F.col("value")).alias("minsplayed"),
         "ts",
     )
 
@@ -103,6 +110,6 @@ def lineitem_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_lineitem(spark, sf_dir).select(
         F.col("l_suppkey").cast("string").alias("customerID"),
         F.col("l_returnflag").alias("genre"),
-        F.col("l_quantity").try_cast(MINUTES_TYPE).alias("minsplayed"),
+        exact_minutes(F.col("l_quantity")).alias("minsplayed"),
         F.col("l_shipdate").alias("ts"),
     )

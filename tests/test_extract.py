@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime as dt
 import random
 from collections import Counter
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -245,3 +246,52 @@ def test_job(spark, source_table, tmp_path):
     empty = extract_dataset(play_source(spark, source_table), str(store), "ann2", "612", "2023-01-01", "2023-01-02")
     assert empty.first()["n_rows"] == 0
     assert not (store / "dataset=ann2").exists()
+
+
+def _source(spark, path, rows):
+    """A partitioned source; rows of customer, stored day key, year, month, day."""
+    frame = spark.createDataFrame(
+        [(c, "g", Decimal(1), key, y, m, d) for c, key, y, m, d in rows],
+        "customerID string, genre string, minsplayed decimal(18,2), ymd string, year int, month int, day int",
+    )
+    frame.write.partitionBy("year", "month", "day").parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
+def test_partitions_decide_the_day(spark, tmp_path):
+    """Whatever the stored day key says, and whatever impossible partitions there are."""
+    keys = [None, "20240110", "2023-05-05", "2024-01-10"]
+    rows = [("1", key, 2024, 1, 10) for key in keys] + [("1", "2024-02-31", 2024, 2, 31), ("2", None, 2024, 1, 10)]
+    source = _source(spark, str(tmp_path / "source"), rows)
+    requests = spark.createDataFrame([("d", "1", "20240101", "20240331")], 'dataset string, customerID string, `from` string, `to` string')
+    assert extract.customer_extract(source, "1", "20240110", "20240110").count() == 4
+    assert extract.batch_extract(source, requests).count() == 4
+    assert extract.request_counts(source, requests).first()["n_rows"] == 4
+    covered = extract.batch_coverage(source, requests).where("has_data").collect()
+    assert [(str(row["day"]), row["n_rows"]) for row in covered] == [("2024-01-10", 4)]
+    covered = extract.daily_coverage(source, "1", "20240101", "20240331").where("has_data").collect()
+    assert [(str(row["day"]), row["n_rows"]) for row in covered] == [("2024-01-10", 4)]
+
+
+def test_scattered_requests_prune_partitions(spark, tmp_path):
+    rows = [("1", f"2024-01-{day:02}", 2024, 1, day) for day in range(1, 31)]
+    source = _source(spark, str(tmp_path / "source"), rows)
+    requests = spark.createDataFrame(
+        [("a", "1", "20240102", "20240102"), ("b", "1", "20240129", "20240129")],
+        "dataset string, customerID string, `from` string, `to` string",
+    )
+    extracts = extract.batch_extract(source, requests)
+    assert extracts.count() == 2
+    assert "dynamicpruning" in plan(extracts)
+
+
+def test_window_prunes_partitions(spark, tmp_path):
+    from playlog.operators.export import raw_window
+
+    rows = [("1", f"2024-01-{day:02}", 2024, 1, day) for day in range(1, 31)]
+    source = _source(spark, str(tmp_path / "source"), rows)
+    source = source.selectExpr("*", "ymd || ' 00:00' AS ymdhm")
+    window = raw_window(source, "2024-01-10 22:00", "2024-01-11 04:00")
+    assert window.count() == 1
+    filters = next(line for line in plan(window).split("PartitionFilters")[1:])
+    assert "year" in filters.split("PushedFilters")[0]

@@ -32,7 +32,9 @@ KEYED = Counter(
 
 
 def session_with(settings):
-    return SimpleNamespace(conf=SimpleNamespace(get=settings.get))
+    return SimpleNamespace(
+        conf=SimpleNamespace(get=settings.get), sparkContext=SimpleNamespace(master="local[2]")
+    )
 
 
 def test_work_folder_is_the_shared_one():
