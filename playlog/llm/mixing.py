@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from playlog.llm.tables import count_words, stored
+from playlog.llm.tables import blocks, count_words, stored
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -22,9 +22,9 @@ _ROW_BITS = 33  # of the ids that Spark gives to the rows of a partition
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        columns = {name: batch.column(name) for name in ("doc_id", "no_source", "name")}
-        yield pa.record_batch(columns | {"size": pa.array(count_words(batch.column("text")))})
+    for block in blocks(batches, "text"):
+        columns = {name: block.column(name) for name in ("doc_id", "no_source", "name")}
+        yield pa.record_batch(columns | {"size": pa.array(count_words(block.column("text")))})
 
 
 def source_targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST) -> DataFrame:
