@@ -6,6 +6,13 @@ share a prefix of at least ``LEAST_DEPTH`` values form a region, and the candida
 document there and the core of its region. The core is found by going down the fullest branch, as deep as the region is
 dense. Cores differ from tree to tree, so that in a large group every document meets many others, though never all.
 Candidates are then confirmed on their full sets, and confirmed links joined to components.
+
+What the forest has missed is found by an exact step. Put in an order that all sets share, two linked sets have one of
+their first shingles in common: no more can be left out at the start of a set than it may lack of the other. Shingles at
+the start of sets of several components are looked up, and all pairs across components that meet there are confirmed on
+their full sets, unless their sizes or the places of the shingle rule a link out. Where many would have to meet, the
+documents with most links of their components meet all others first, so that stars fall together. Links inside a
+component are not looked for, as they change nothing.
 """
 
 from __future__ import annotations
@@ -20,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from playlog.llm.components import components
-from playlog.llm.tables import as_bytes, bits_set, blocks, id_bit, id_bitmap, stored, words_of
+from playlog.llm.tables import as_bytes, bits_set, blocks, bounded_sample, id_bit, id_bitmap, stored, words_of
 
 TREES = 16
 DEPTH = 8  # values of a signature in a tree
@@ -30,8 +37,11 @@ PATH_BYTES = 1 + DEPTH * VALUE_BYTES  # the tree's number leads
 REGION_BYTES = 1 + LEAST_DEPTH * VALUE_BYTES
 BLOCK_ROWS = 8_192  # of a region looked at together
 REMEMBERED = 250_000
+SAMPLE = 2_000  # documents that tell which shingles are common; the order of shingles decides about time only
+COMMON = 200_000
+MANY = 4  # pairs to look at, for each document, from which on hubs go first
 
-SIGNED = "doc_id bigint, n_shingles bigint, key binary, signature binary"
+SIGNED = "doc_id bigint, n_shingles bigint, key binary, signature binary, start binary"
 CANDIDATES = "a bigint, b bigint, region binary"
 
 _random = np.random.default_rng(20)
@@ -79,20 +89,55 @@ def signature(shingles: np.ndarray) -> bytes:
     return (least & np.uint64(0xFFFF)).astype(">u2").tobytes()
 
 
-def _signed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+def start_of(shingles: np.ndarray, percent: int, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first shingles of a set, rare ones before common ones: sets that are linked share one of their firsts."""
+    known, counts = common
+    order = np.arange(len(shingles))
+    if len(known):
+        place = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+        order = np.argsort(np.where(known[place] == shingles, counts[place], 0), kind="stable")
+    least = -(-percent * len(shingles) // 100)
+    return shingles[order[: len(shingles) - least + 1]]
+
+
+def _tally(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    for block in blocks(batches, "text"):
+        sets = [shingle_set(text, size) for text in as_bytes(block.column("text"))]
+        found, counts = np.unique(np.concatenate(sets), return_counts=True)
+        yield pa.record_batch({"shingle": pa.array(found.view(np.int64)), "n": pa.array(counts.astype(np.int64))})
+    _hashes.clear()
+
+
+def common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several documents of a bounded sample have, sorted, and in how many."""
+    sample = bounded_sample(docs, "doc_id", SAMPLE).select("text")
+    tallied = sample.mapInArrow(functools.partial(_tally, size=size), "shingle bigint, n bigint")
+    tallied = tallied.groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 1")
+    found = tallied.orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
+    shingles, counts = (found.column(name).to_numpy() for name in ("shingle", "n"))
+    shingles = shingles.astype(np.int64).view(np.uint64)
+    order = np.argsort(shingles)
+    return shingles[order], counts.astype(np.int64)[order]
+
+
+def _signed(
+    batches: Iterator[pa.RecordBatch], size: int, percent: int, common: tuple[np.ndarray, np.ndarray]
+) -> Iterator[pa.RecordBatch]:
     for block in blocks(batches, "text"):
-        counts, keys, signatures = [], [], []
+        counts, keys, signatures, starts = [], [], [], []
         for text in as_bytes(block.column("text")):
             shingles = shingle_set(text, size)
             counts.append(len(shingles))
             keys.append(xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None)
             signatures.append(signature(shingles) if len(shingles) else None)
+            starts.append(start_of(shingles, percent, common).tobytes() if len(shingles) else None)
         yield pa.record_batch(
             {
                 "doc_id": block.column("doc_id"),
                 "n_shingles": pa.array(counts, pa.int64()),
                 "key": pa.array(keys, pa.binary()),
                 "signature": pa.array(signatures, pa.binary()),
+                "start": pa.array(starts, pa.binary()),
             }
         )
     _hashes.clear()
@@ -229,6 +274,89 @@ def confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Dat
     )
 
 
+def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle at the start of a set, with its place there."""
+    for batch in batches:
+        starts = batch.column("start").to_pylist()
+        sizes = np.array([len(start) // 8 for start in starts], np.int64)
+        ends = np.cumsum(sizes)
+        row = np.repeat(np.arange(len(starts)), sizes)
+        columns = {
+            "shingle": pa.array(np.frombuffer(b"".join(starts), np.int64)),
+            "place": pa.array((np.arange(len(row)) - np.repeat(ends - sizes, sizes)).astype(np.int32)),
+        }
+        yield pa.record_batch({name: batch.column(name).take(pa.array(row)) for name in ("id", "n", "component")} | columns)
+
+
+FIRSTS = "id bigint, n bigint, component bigint, shingle bigint, place int"
+
+
+def _meeting(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: pairs across components that share a first shingle and may be linked by their sizes and its places."""
+    left = left.select("shingle", *[F.col(name).alias(f"{name}_l") for name in left.columns if name != "shingle"])
+    right = right.select("shingle", *[F.col(name).alias(f"{name}_r") for name in right.columns if name != "shingle"])
+    # At the first shingle that two sets share, no more than the rest of either can follow in common.
+    most = 1 + F.least(F.col("n_l") - F.col("place_l") - 1, F.col("n_r") - F.col("place_r") - 1)
+    fits = 100 * most >= percent * (F.col("n_l") + F.col("n_r") - most)
+    pairs = left.join(right, (left["shingle"] == right["shingle"]) & (left["component_l"] != right["component_r"]) & fits)
+    return pairs.select(F.least("id_l", "id_r").alias("a"), F.greatest("id_l", "id_r").alias("b")).distinct()
+
+
+def _merged(vertices: DataFrame, links: DataFrame) -> DataFrame:
+    """The vertices with their components joined over further links."""
+    own = vertices.select("id", "component")
+    ends = links.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    joined = components(ends).toDF("component", "to")
+    merged = vertices.join(joined, "component", "left").withColumn("component", F.coalesce("to", "component"))
+    return stored(merged.select(*vertices.columns), "dedup-vertices")
+
+
+def completed(docs: DataFrame, vertices: DataFrame, links: DataFrame, size: int, percent: int) -> DataFrame:
+    """``id, component``: components joined over all links that are not in ``links`` yet.
+
+    ``vertices`` has ``id, n, start, component`` of every distinct set, components being those of ``links``.
+    """
+    firsts = vertices.select("id", "n", "component", "start").mapInArrow(_firsts, FIRSTS)
+    contested = firsts.groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    contested = stored(contested.where("least < most").select("shingle"), "dedup-contested")
+    # Few shingles are contested: the others are left where they are, told by a bitmap.
+    bitmap = id_bitmap(contested.select(F.col("shingle").alias("id")))
+    names = ["id", "n", "component", "shingle", "place"]
+    told = firsts.withColumn("_bit", id_bit(F.col("shingle")))
+    told = told.mapInArrow(functools.partial(_picked, bitmap=bitmap, wanted=True, columns=names), FIRSTS)
+    meet = stored(told.join(contested, "shingle").select("id", "n", "shingle", "place"), "dedup-meet")
+    # Texts of one id that differ are several sets, but one vertex.
+    vertices = stored(vertices.select("id", "component").distinct(), "dedup-vertices")
+    total = vertices.count()
+    with_hubs = True
+    while True:
+        rows = stored(meet.join(vertices, "id"), "dedup-rows")
+        # In each place the members of the largest component need not meet one another.
+        counted = rows.groupBy("shingle", "component").agg(F.count("*").alias("own"))
+        main = counted.groupBy("shingle").agg(F.max(F.struct("own", "component")).alias("main"), F.sum("own").alias("all"))
+        main = stored(main.where("main.own < all").select("shingle", "main.own", F.col("main.component").alias("main"), "all"), "dedup-main")
+        work = main.agg(F.sum(F.col("all").cast("double") * (F.col("all") - F.col("own")))).first()[0] or 0.0
+        if not work:
+            return vertices
+        rows = rows.join(main.select("shingle", "main"), "shingle")
+        members = rows.select("shingle", "id", "n", "place", "component")
+        last = not with_hubs or work <= MANY * total
+        if last:
+            strays = rows.where("component <> main").drop("main")
+            pairs = _meeting(strays, members, percent)
+        else:
+            degrees = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").count().join(vertices, "id")
+            hubs = degrees.groupBy("component").agg(F.max_by("id", F.struct("count", -F.col("id"))).alias("id")).select("id")
+            pairs = _meeting(members.join(hubs, "id"), members, percent)
+        pairs = stored(pairs, "dedup-pairs")
+        if not pairs.isEmpty():
+            found = stored(confirmed(docs, pairs, size, percent), "dedup-links")
+            vertices = _merged(vertices, found)
+        if last:
+            return vertices
+        with_hubs = False
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``, a row for each input row.
 
@@ -240,21 +368,28 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     Shingles are compared by 64-bit hashes.
     """
-    signed = docs.select("doc_id", "text").mapInArrow(functools.partial(_signed, size=size), SIGNED)
+    sign = functools.partial(_signed, size=size, percent=percent, common=common_shingles(docs, size))
+    signed = docs.select("doc_id", "text").mapInArrow(sign, SIGNED)
     signed = stored(signed, "dedup-signed")
     usable = signed.where(F.col("doc_id").isNotNull() & F.col("key").isNotNull())
     # Equal sets are one vertex, named by the smallest id.
-    same = usable.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("signature").alias("signature"))
+    same = usable.groupBy("key").agg(
+        F.min("doc_id").alias("first_id"), *[F.first(name).alias(name) for name in ("signature", "n_shingles", "start")]
+    )
     same = stored(same, "dedup-same")
     pairs = candidates(same.select(F.col("first_id").alias("doc_id"), "signature"))
     pairs = stored(pairs, "dedup-pairs")
-    links = confirmed(docs.where(F.col("doc_id").isNotNull()), pairs, size, percent)
+    named = docs.where(F.col("doc_id").isNotNull())
+    links = confirmed(named, pairs, size, percent)
     # Rows of one id whose texts differ are one document, so what they stand for is linked.
-    placed = signed.join(same.select("key", "first_id"), "key", "left")
+    placed = signed.drop("signature", "start").join(same.select("key", "first_id"), "key", "left")
     several = placed.groupBy("doc_id").agg(F.min("first_id").alias("a"), F.max("first_id").alias("b"))
     several = several.where("a < b").select("doc_id", "a")
     links = links.unionByName(placed.join(several, "doc_id").select("a", F.col("first_id").alias("b")))
-    found = components(links)
+    links = stored(links, "dedup-links")
+    vertices = same.select(F.col("first_id").alias("id"), F.col("n_shingles").alias("n"), "start")
+    vertices = vertices.join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    found = completed(named, stored(vertices, "dedup-starts"), links, size, percent)
     component = F.coalesce("component", "first_id", "doc_id")
     return (
         placed.join(found.withColumnRenamed("id", "first_id"), "first_id", "left")

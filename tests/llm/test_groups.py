@@ -81,6 +81,28 @@ def test_large_group_of_near_copies(spark):
     assert found == brute_groups(rows, 3, 85)
 
 
+def test_star_around_a_middle_id(spark):
+    """Copies that are linked with the original only, which is neither first nor last."""
+    draw = random.Random(4)
+    base = " ".join(f"w{k}" for k in range(100))
+    rows = [(k, base if k == 217 else changed(base, 2, draw)) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {row["doc_id"]: row["component_id"] for row in near_dedup.near_duplicates(docs, 3, 85).collect()}
+    assert found == brute_groups(rows, 3, 85)
+
+
+def test_linked_sets_share_a_start():
+    draw = np.random.default_rng(6)
+    none = np.empty(0, np.uint64), np.empty(0, np.int64)
+    for _ in range(300):
+        both = draw.integers(0, 1 << 63, draw.integers(1, 60), np.uint64)
+        some = [np.unique(np.append(both, draw.integers(0, 1 << 63, draw.integers(0, 9), np.uint64))) for _ in range(2)]
+        common = np.sort(both[: len(both) // 2]), np.full(len(both) // 2, 3)
+        if 100 * len(both) >= 80 * len(np.union1d(*some)):
+            for known in (none, common):
+                assert len(np.intersect1d(*[near_dedup.start_of(own, 80, known) for own in some]))
+
+
 @pytest.mark.parametrize("table", ["docs", "clashing"])
 def test_odd_rows(request, table):
     rows = request.getfixturevalue(table)
