@@ -41,7 +41,7 @@ SAMPLE = 2_000  # documents that tell which shingles are common; the order of sh
 COMMON = 200_000
 MANY = 4  # pairs to look at, for each document, from which on hubs go first
 
-SIGNED = "doc_id bigint, n_shingles bigint, key binary, signature binary, start binary"
+SIGNED = "doc_id bigint, n_shingles bigint, key binary, signature binary, start binary, parity binary"
 CANDIDATES = "a bigint, b bigint, region binary"
 
 _random = np.random.default_rng(20)
@@ -100,6 +100,24 @@ def start_of(shingles: np.ndarray, percent: int, common: tuple[np.ndarray, np.nd
     return shingles[order[: len(shingles) - least + 1]]
 
 
+def parity_of(shingles: np.ndarray) -> bytes:
+    """For each of some bits, a power of two that grows with the set, whether an odd number of shingles fall on it."""
+    bits = 64 << max(0, (len(shingles) // 16).bit_length() - 1)
+    own = np.bincount((shingles >> np.uint64(7)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(own.astype(np.uint8), bitorder="little").tobytes()
+
+
+def at_most_common(one: bytes, other: bytes, n: int) -> int:
+    """How many shingles two sets of ``n`` together can have in common: each odd bit is one that only one of them has."""
+    while len(one) != len(other):
+        # Bits that become one are as odd as their sum.
+        long = max(one, other, key=len)
+        half = len(long) // 2
+        folded = (int.from_bytes(long[:half], "little") ^ int.from_bytes(long[half:], "little")).to_bytes(half, "little")
+        one, other = (folded, other) if long is one else (one, folded)
+    return (n - (int.from_bytes(one, "little") ^ int.from_bytes(other, "little")).bit_count()) // 2
+
+
 def _tally(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for block in blocks(batches, "text"):
         sets = [shingle_set(text, size) for text in as_bytes(block.column("text"))]
@@ -124,13 +142,14 @@ def _signed(
     batches: Iterator[pa.RecordBatch], size: int, percent: int, common: tuple[np.ndarray, np.ndarray]
 ) -> Iterator[pa.RecordBatch]:
     for block in blocks(batches, "text"):
-        counts, keys, signatures, starts = [], [], [], []
+        counts, keys, signatures, starts, parities = [], [], [], [], []
         for text in as_bytes(block.column("text")):
             shingles = shingle_set(text, size)
             counts.append(len(shingles))
             keys.append(xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None)
             signatures.append(signature(shingles) if len(shingles) else None)
             starts.append(start_of(shingles, percent, common).tobytes() if len(shingles) else None)
+            parities.append(parity_of(shingles) if len(shingles) else None)
         yield pa.record_batch(
             {
                 "doc_id": block.column("doc_id"),
@@ -138,6 +157,7 @@ def _signed(
                 "key": pa.array(keys, pa.binary()),
                 "signature": pa.array(signatures, pa.binary()),
                 "start": pa.array(starts, pa.binary()),
+                "parity": pa.array(parities, pa.binary()),
             }
         )
     _hashes.clear()
@@ -302,6 +322,23 @@ def _meeting(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("id_l", "id_r").alias("a"), F.greatest("id_l", "id_r").alias("b")).distinct()
 
 
+def _possible(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        good = []
+        for one, other, n in zip(*(batch.column(name).to_pylist() for name in ("parity_a", "parity_b", "n")), strict=True):
+            most = at_most_common(one, other, n)
+            good.append(100 * most >= percent * (n - most))
+        yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+
+def possible(pairs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
+    """The pairs that the parities of their sets do not rule out: far fewer, so that few full sets are shuffled."""
+    own = vertices.select("id", "n", "parity")
+    joined = pairs.join(own.toDF("a", "n_a", "parity_a"), "a").join(own.toDF("b", "n_b", "parity_b"), "b")
+    joined = joined.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "parity_a", "parity_b")
+    return joined.mapInArrow(functools.partial(_possible, percent=percent), "a bigint, b bigint").distinct()
+
+
 def _merged(vertices: DataFrame, links: DataFrame) -> DataFrame:
     """The vertices with their components joined over further links."""
     own = vertices.select("id", "component")
@@ -314,9 +351,10 @@ def _merged(vertices: DataFrame, links: DataFrame) -> DataFrame:
 def completed(docs: DataFrame, vertices: DataFrame, links: DataFrame, size: int, percent: int) -> DataFrame:
     """``id, component``: components joined over all links that are not in ``links`` yet.
 
-    ``vertices`` has ``id, n, start, component`` of every distinct set, components being those of ``links``.
+    ``vertices`` has ``id, n, start, parity, component`` of every distinct set, components being those of ``links``.
     """
-    firsts = vertices.select("id", "n", "component", "start").mapInArrow(_firsts, FIRSTS)
+    sets = vertices
+    firsts = sets.select("id", "n", "component", "start").mapInArrow(_firsts, FIRSTS)
     contested = firsts.groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("most"))
     contested = stored(contested.where("least < most").select("shingle"), "dedup-contested")
     # Few shingles are contested: the others are left where they are, told by a bitmap.
@@ -348,7 +386,7 @@ def completed(docs: DataFrame, vertices: DataFrame, links: DataFrame, size: int,
             degrees = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").count().join(vertices, "id")
             hubs = degrees.groupBy("component").agg(F.max_by("id", F.struct("count", -F.col("id"))).alias("id")).select("id")
             pairs = _meeting(members.join(hubs, "id"), members, percent)
-        pairs = stored(pairs, "dedup-pairs")
+        pairs = stored(possible(stored(pairs, "dedup-pairs"), sets, percent), "dedup-possible")
         if not pairs.isEmpty():
             found = stored(confirmed(docs, pairs, size, percent), "dedup-links")
             vertices = _merged(vertices, found)
@@ -374,7 +412,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     usable = signed.where(F.col("doc_id").isNotNull() & F.col("key").isNotNull())
     # Equal sets are one vertex, named by the smallest id.
     same = usable.groupBy("key").agg(
-        F.min("doc_id").alias("first_id"), *[F.first(name).alias(name) for name in ("signature", "n_shingles", "start")]
+        F.min("doc_id").alias("first_id"), *[F.first(name).alias(name) for name in ("signature", "n_shingles", "start", "parity")]
     )
     same = stored(same, "dedup-same")
     pairs = candidates(same.select(F.col("first_id").alias("doc_id"), "signature"))
@@ -382,12 +420,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     named = docs.where(F.col("doc_id").isNotNull())
     links = confirmed(named, pairs, size, percent)
     # Rows of one id whose texts differ are one document, so what they stand for is linked.
-    placed = signed.drop("signature", "start").join(same.select("key", "first_id"), "key", "left")
+    placed = signed.drop("signature", "start", "parity").join(same.select("key", "first_id"), "key", "left")
     several = placed.groupBy("doc_id").agg(F.min("first_id").alias("a"), F.max("first_id").alias("b"))
     several = several.where("a < b").select("doc_id", "a")
     links = links.unionByName(placed.join(several, "doc_id").select("a", F.col("first_id").alias("b")))
     links = stored(links, "dedup-links")
-    vertices = same.select(F.col("first_id").alias("id"), F.col("n_shingles").alias("n"), "start")
+    vertices = same.select(F.col("first_id").alias("id"), F.col("n_shingles").alias("n"), "start", "parity")
     vertices = vertices.join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
     found = completed(named, stored(vertices, "dedup-starts"), links, size, percent)
     component = F.coalesce("component", "first_id", "doc_id")

@@ -101,6 +101,8 @@ def test_linked_sets_share_a_start():
         if 100 * len(both) >= 80 * len(np.union1d(*some)):
             for known in (none, common):
                 assert len(np.intersect1d(*[near_dedup.start_of(own, 80, known) for own in some]))
+        parities = [near_dedup.parity_of(own) for own in some]
+        assert near_dedup.at_most_common(*parities, sum(map(len, some))) >= len(np.intersect1d(*some))
 
 
 @pytest.mark.parametrize("table", ["docs", "clashing"])
