@@ -4,8 +4,10 @@ Markup is stripped and the page becomes lines, one for each block of text. The l
 sliding windows. Where the sums surge, running text starts, and where they dive, it ends; what lies between is kept.
 
 Lines are not all worth the same. Text in elements that hold no article, such as menus, headers, footers, sidebars,
-notices, forms and comments by readers, and lines that consist mostly of links, have length 0 and are never kept. Where
-a page marks its article, lines inside the mark are never so short that the text could dive between them.
+notices, forms and comments by readers have length 0 and are never kept, and neither are lines outside a marked article
+that consist mostly of links. A name like "no-sidebar" on what encloses the article, or most of the page, says nothing
+about the text inside. Where a page marks its article, lines inside the mark are never so short that the text could dive
+between them: on such pages the marks decide, not the windows.
 """
 
 from __future__ import annotations
@@ -51,38 +53,53 @@ _MARKUP = re.compile(
 _NAMED = re.compile(r"""(?:^|[\s"'])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _PARTS = re.compile(r"[a-z]+")
+_NAME, _PART, _UNSHOWN = 1, 2, 3  # what closes an element off: its kind or a whole name, a part of a name, being hidden
 _SPACE = re.compile(r"\s+")
 
 EXTRACTED = "page_id bigint, url string, text string, n_chars bigint"
 
 
 class _Page:
-    """The lines of a page: text, letters inside links, and whether they are outside or inside the marked article."""
+    """The lines of a page: text, letters inside links, whether inside a marked article; and what closes lines off."""
 
     def __init__(self) -> None:
-        self.lines: list[tuple[str, int, bool, bool]] = []
+        self.lines: list[tuple[str, int, bool]] = []
+        # First and last line of the elements that close off, why, and the articles inside: the first and the last.
+        self.offs: list[list[int]] = []
+        # First and last line of the articles that are not off by themselves.
+        self.articles: list[list[int]] = []
         self._text: list[str] = []
         self._linked = 0
-        # Open elements: name, whether it closes off, whether it marks the article, whether it is a link.
-        self._open: list[tuple[str, bool, bool, bool]] = []
-        self._counts = [0, 0, 0]
+        # Open elements: name, whether it marks the article, whether it is a link; and what is to be told their end.
+        self._open: list[tuple[str, bool, bool]] = []
+        self._ends: list[tuple[list[int] | None, list[int] | None]] = []
+        self._counts = [0, 0]
 
     def _close(self, place: int) -> None:
         """Close the open elements from a place on."""
         for _, *marks in self._open[place:]:
             self._counts = [n - mark for n, mark in zip(self._counts, marks, strict=True)]
-        del self._open[place:]
+        for off, article in self._ends[place:]:
+            if off:
+                off[1], off[4] = len(self.lines), len(self.articles)
+            if article:
+                article[1] = len(self.lines)
+        del self._open[place:], self._ends[place:]
+
+    def finish(self) -> None:
+        self.end_line()
+        self._close(0)
 
     def end_line(self) -> None:
         text = _SPACE.sub(" ", "".join(self._text)).strip()
         if text:
-            self.lines.append((text, self._linked, self._counts[0] > 0, self._counts[1] > 0))
+            self.lines.append((text, self._linked, self._counts[0] > 0))
         self._text, self._linked = [], 0
 
     def text(self, text: str) -> None:
         text = unescape(text)
         self._text.append(text)
-        if self._counts[2]:
+        if self._counts[1]:
             self._linked += len("".join(text.split()))
 
     def start(self, name: str, attributes: str) -> None:
@@ -93,20 +110,32 @@ class _Page:
             self.end_line()
         if name in _VOID or attributes.endswith("/"):
             return
-        names = {
-            part
-            for found in _NAMED.finditer(attributes)
-            for part in _PARTS.findall(next(x for x in found.groups() if x is not None).lower())
-        }
+        named = [next(x for x in found.groups() if x is not None).lower() for found in _NAMED.finditer(attributes)]
         article = name in _ARTICLE
         # The header of an article holds its title.
-        off = (name in _ASIDE and not (name == "header" and self._counts[1])) or bool(_HIDDEN.search(attributes))
-        if name not in ("body", "html"):
-            off = off or not names.isdisjoint(_NO_ARTICLE if article else _NAMES)
+        off = 0
+        if _HIDDEN.search(attributes):
+            off = _UNSHOWN
+        elif name in _ASIDE and not (name == "header" and self._counts[0]):
+            off = _NAME
+        elif name not in ("body", "html"):
+            listed = _NO_ARTICLE if article else _NAMES
+            if any(not set(own.split()).isdisjoint(listed) for own in named):
+                off = _NAME
+            elif any(not set(_PARTS.findall(own)).isdisjoint(listed) for own in named):
+                off = _PART
         # A paragraph ends where the next block starts, as its closing tag may be left out.
         if name not in _INLINE and self._open and self._open[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
             self._close(len(self._open) - 1)
-        self._open.append((name, off, article, name == "a"))
+        here, ends = len(self.lines), (None, None)
+        if off:
+            ends = ([here, here, off, len(self.articles), 0], None)
+            self.offs.append(ends[0])
+        elif article:
+            ends = (None, [here, here])
+            self.articles.append(ends[1])
+        self._ends.append(ends)
+        self._open.append((name, article, name == "a"))
         self._counts = [n + mark for n, mark in zip(self._counts, self._open[-1][1:], strict=True)]
 
     def end(self, name: str) -> None:
@@ -119,7 +148,7 @@ class _Page:
                 break
 
 
-def _lines(html: str) -> list[tuple[str, int, bool, bool]]:
+def _page(html: str) -> _Page:
     page, at = _Page(), 0
     while match := _MARKUP.search(html, at):
         if match.start() > at:
@@ -137,20 +166,43 @@ def _lines(html: str) -> list[tuple[str, int, bool, bool]]:
         elif name:
             page.start(name, match[3])
     page.text(html[at:])
-    page.end_line()
-    return page.lines
+    page.finish()
+    return page
+
+
+def _off(page: _Page, letters: np.ndarray) -> np.ndarray:
+    """Which lines are closed off; what encloses the article, or most of the page, may not mean what its names say."""
+    before = np.concatenate([[0], np.cumsum(letters)])
+    sizes = [int(before[last] - before[first]) for first, last in page.articles]
+    inner, reached = 0, 0
+    for (first, last), size in zip(page.articles, sizes, strict=True):
+        # Articles inside others are counted with them.
+        if first >= reached:
+            inner, reached = inner + size, last
+    chief = np.concatenate([[0], np.cumsum([2 * size > inner for size in sizes])])
+    most = np.concatenate([[0], np.cumsum([2 * size > before[-1] for size in sizes])])
+    changes = np.zeros(len(letters) + 1, np.int64)
+    for first, last, why, start, end in page.offs:
+        if why == _NAME and most[end] > most[start]:
+            continue
+        if why == _PART and (chief[end] > chief[start] or 2 * (before[last] - before[first]) > before[-1]):
+            continue
+        changes[first] += 1
+        changes[last] -= 1
+    return np.cumsum(changes[:-1]) > 0
 
 
 def main_text(html: str) -> str:
     """The main text of a page, a block a line; empty where there is none."""
-    lines = _lines(html)
+    page = _page(html)
+    lines = page.lines
     if not lines:
         return ""
     letters = np.array([len(text.replace(" ", "")) for text, *_ in lines])
-    linked = np.array([own for _, own, *_ in lines])
-    off = np.array([own for *_, own, _ in lines])
+    linked = np.array([own for _, own, _ in lines])
+    off = _off(page, letters)
     marked = np.array([own for *_, own in lines]) & ~off
-    good = ~off & (2 * linked <= letters)
+    good = ~off & (marked | (2 * linked <= letters))
     if marked.any():
         good &= marked
     lengths = np.where(good, np.maximum(letters, SURGE) if marked.any() else letters, 0)

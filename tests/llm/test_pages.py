@@ -39,6 +39,22 @@ def test_markup_that_is_no_text():
     assert main_text(page) == "A & B\none two threefour\n<five> é six"
 
 
+def test_names_of_what_encloses_the_article():
+    names = ("content no-sidebar", "has-sidebar", "page-with-header", "share-enabled", "search-results-off")
+    for name in names:
+        side = f"<div class='related-posts'><article>no</article></div><div class='sidebar'>{PROSE}</div>"
+        page = f"<body><div class='{name}'><article><h1>A</h1><p>{PROSE}</p></article>{side}</div></body>"
+        assert main_text(page) == f"A\n{PROSE.strip()}"
+        assert main_text(f"<div class='{name}'><p>{PROSE}</p></div><footer>no</footer>") == PROSE.strip()
+    assert main_text(f"<p>{PROSE}</p><div class='comment-list'><p>{PROSE[:50]}</p></div>") == PROSE.strip()
+    assert main_text(f"<div hidden><article>{PROSE}</article></div>") == ""
+
+
+def test_links_inside_the_article():
+    page = f"<article><p>{PROSE}</p><ul><li><a href='/r'>Reference one</a></li></ul></article><p><a href='/n'>next</a></p>"
+    assert main_text(page) == f"{PROSE.strip()}\nReference one"
+
+
 def test_broken_pages():
     for page in ("", "<", "<p", "<article>", "</p></div>", "<!--", "<script>", "<p a='", "&amp", "<a" * 2000, "<b>" * 5000):
         assert isinstance(main_text(page), str)
