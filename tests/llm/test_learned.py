@@ -152,6 +152,23 @@ def test_scores_beat_word_counts(spark):
     assert sum(row["score"] for row in found) > sum(row["base_score"] for row in found)
 
 
+def test_all_tokens_of_a_shared_bucket_count():
+    """After one step the bias points where the sum over all tokens does."""
+    import pyarrow as pa
+
+    words = [b"w%d" % k for k in range(lm_scoring.OWN_MEMBERS - 1)]
+    text = b" ".join(words[k % 100] for k in range(3000))
+    batch = pa.record_batch({"text": pa.array([text.decode()])})
+    rows = pa.Table.from_batches(list(lm_scoring._train(iter([batch]), words))).to_pylist()
+    bias = next(row for row in rows if row["layer"] == 0 and row["bucket"] == 0)
+    vocabulary = lm_scoring.Vocabulary(words)
+    classes = [vocabulary.member(word) // lm_scoring.MEMBERS for word in [*text.split(), lm_scoring.END]]
+    slope = np.bincount(classes, minlength=lm_scoring.CLASSES) - len(classes) / lm_scoring.CLASSES
+    found = np.array([bias[f"w{k}"] for k in range(lm_scoring.CLASSES)])
+    assert found @ slope >= 0.999 * np.linalg.norm(found) * np.linalg.norm(slope)
+    assert bias["seen"] == 3001
+
+
 def test_shares_sum_to_one():
     """Over all members, whatever the words before."""
     vocabulary = lm_scoring.Vocabulary([b"the", b"of"])
