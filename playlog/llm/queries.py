@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playlog.llm import bpe_codec, hamming, html_text, language_id, lm_scoring, mixing, near_dedup, nearest, quality, token_counts
+from playlog.llm import (
+    bpe_codec,
+    centroids,
+    hamming,
+    html_text,
+    language_id,
+    lm_scoring,
+    mixing,
+    near_dedup,
+    nearest,
+    quality,
+    secret_spans,
+    spellings,
+    token_counts,
+)
 from playlog.llm.tables import EMBEDDINGS, LABELS, PAGES, documents, read
 
 TOKEN_LIMIT = 512
@@ -81,6 +95,23 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors of 64 components with the nearest of 40 centroids after 5 rounds."""
+    return centroids.cluster_vectors(read(spark, sf_dir, "embeddings", EMBEDDINGS)).drop("centroid")
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets in every whole text, by patterns and by character models that learn from what these find."""
+    docs = documents(spark, sf_dir)
+    model = secret_spans.fit(secret_spans.labelled_samples(docs))
+    return secret_spans.find_secrets(docs, model).drop("found")
+
+
+def op13_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all texts, each with the far more frequent word one edit away that it may stand for."""
+    return spellings.spelling_variants(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query for query in (
         op1_token_counts,
@@ -93,12 +124,93 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_near_dedup,
         op9_bpe_codec,
         op10_mixing,
+        op11_centroids,
+        op12_secrets,
+        op13_spellings,
     )
 }
 
+_CLUSTER_START = """
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS row, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY first, x) - 1 AS INTEGER) AS cluster, x AS c
+  FROM (SELECT sha256('2:' || vec_id) AS first, x FROM kept ORDER BY first, x LIMIT 40) firsts)"""
+
+
+def _cluster_round(k: int) -> str:
+    """The vectors assigned to the centroids of round ``k``, and the centroids after it."""
+    return f"""
+a{k} AS MATERIALIZED (
+  SELECT row, min(struct_pack(d, cluster)) AS best
+  FROM (SELECT row, cluster, list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d
+        FROM kept, c{k}) distances
+  GROUP BY row),
+s{k} AS (
+  SELECT best.cluster AS cluster, place, CAST(sum(x[place]) AS BIGINT) AS total, count(*) AS n
+  FROM kept JOIN a{k} USING (row), range(1, 65) places(place) GROUP BY ALL),
+m{k} AS (
+  SELECT cluster, list((total - ((total % n) + n) % n) // n ORDER BY place) AS c FROM s{k} GROUP BY cluster),
+c{k + 1} AS MATERIALIZED (
+  SELECT cluster, coalesce(m{k}.c, c{k}.c) AS c FROM c{k} LEFT JOIN m{k} USING (cluster))"""
+
+
+_CLUSTERS = (
+    ",".join([_CLUSTER_START, *(_cluster_round(k) for k in range(centroids.ROUNDS + 1))])
+    + f""",
+assigned AS (
+  SELECT vec_id, best.cluster AS cluster, CAST(best.d AS BIGINT) AS distance
+  FROM kept JOIN a{centroids.ROUNDS} USING (row))
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM assigned JOIN c{centroids.ROUNDS} USING (cluster)"""
+)
+
+_SPELLINGS = """
+WITH RECURSIVE steps AS (
+  SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)
+              ORDER BY i) AS t FROM range(256) bytes(i)),
+runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')),
+                           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+long AS (SELECT doc_id, run, count(*) AS n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS h
+         FROM runs WHERE length(run) >= 7 GROUP BY ALL),
+summed AS (
+  SELECT run, n, xor(4294967295, list_reduce(
+    list_transform(range(1, length(h), 2), lambda i: CAST('0x' || substr(h, i, 2) AS BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295)) AS crc
+  FROM long, steps),
+counted AS (
+  SELECT CASE WHEN crc % 31 <> 0 THEN run
+              ELSE substr(run, 1, crc % length(run)) || substr(run, crc % length(run) + 2) END AS word, n
+  FROM summed),
+words AS MATERIALIZED (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM counted WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cut AS MATERIALIZED (
+  SELECT word, n, place, substr(word, 1, place - 1) || substr(word, place + 1) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS place FROM words) places),
+near AS (
+  SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.place = b.place AND a.word <> b.word
+  UNION SELECT w.word, w.n, c.word, c.n FROM words w JOIN cut c ON w.word = c.rest
+  UNION SELECT c.word, c.n, w.word, w.n FROM words w JOIN cut c ON w.word = c.rest),
+best AS (
+  SELECT word, n, count(*) AS n_near, min(struct_pack(k := -near_n, near)) AS best FROM near GROUP BY word, n),
+forms AS MATERIALIZED (
+  SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.k >= 10 * words.n THEN best.near END AS form,
+         CASE WHEN -best.k >= 10 * words.n THEN -best.k END AS form_n
+  FROM words LEFT JOIN best ON words.word = best.word),
+ways AS (
+  SELECT word, word AS root, form AS next FROM forms
+  UNION ALL SELECT ways.word, forms.word, forms.form FROM ways JOIN forms ON ways.next = forms.word)
+SELECT forms.word, form, root, n, n_near, form_n FROM forms JOIN ways ON forms.word = ways.word AND ways.next IS NULL"""
+
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
 ORACLE: dict[str, str] = {
+    "op11_centroids": _CLUSTERS,
+    "op13_spellings": _SPELLINGS,
     "op7_hamming_top_k": """
 WITH codes AS (
   SELECT vec_id, CAST(list_aggregate(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), 'string_agg', '')

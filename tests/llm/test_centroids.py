@@ -1,0 +1,120 @@
+"""Bit planes, and centroid clustering against plain whole numbers."""
+
+from __future__ import annotations
+
+import hashlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from playlog.llm import centroids
+
+VECTORS = "vec_id bigint, embedding array<float>, label int"
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 26), st.integers(0, 26), st.integers(0, 1 << 30))
+def test_planes_give_exact_products(bits, other_bits, seed):
+    draw = np.random.default_rng(seed)
+    one = draw.integers(-(1 << bits), 1 << bits, (5, 64), endpoint=True)
+    other = draw.integers(-(1 << other_bits), 1 << other_bits, (3, 64), endpoint=True)
+    planes, more = centroids.pack(one), centroids.pack(other)
+    assert (centroids.dot(planes, more) == one @ other.T).all()
+    assert (centroids.squares(planes) == (one * one).sum(axis=1)).all()
+    assert (centroids.sum_of(planes) == one.sum(axis=0)).all()
+    wide = centroids.widen(planes, planes.shape[1] + 3)
+    assert (centroids.dot(wide, more) == one @ other.T).all()
+    _, distances = centroids.Centroids(other).nearest(planes)
+    assert (distances == ((one[:, None] - other[None]) ** 2).sum(axis=2).min(axis=1)).all()
+
+
+def test_ends_and_fractions():
+    values = np.array([0.0, -0.001, 0.5, 1e30, -1e30, 2.0**18])
+    assert centroids.whole_numbers(values).tolist() == [0, -1, 128, 1 << 26, -(1 << 26), 1 << 26]
+    assert centroids.pack(np.zeros((2, 64), np.int64)).shape == (2, 1)
+
+
+def brute_clusters(rows, k, rounds, seed=2):
+    """``vec_id, cluster, distance`` and the final centroids, by plain arithmetic."""
+    kept = [(i, x) for i, x in rows if x is not None and len(x) == 64 and all(y is not None and np.isfinite(y) for y in x)]
+    if not kept:
+        return [], []
+    numbers = np.floor(np.array([x for _, x in kept], np.float32).astype(float) * 256).astype(np.int64)
+    order = sorted(
+        range(len(kept)),
+        key=lambda row: (
+            kept[row][0] is None,
+            hashlib.sha256(f"{seed}:{kept[row][0]}".encode()).hexdigest() if kept[row][0] is not None else "",
+        ),
+    )
+    own = [[int(y) for y in numbers[row]] for row in order[:k]]
+
+    def assign():
+        found = []
+        for vector in numbers.tolist():
+            distances = [sum((a - b) ** 2 for a, b in zip(vector, centroid, strict=True)) for centroid in own]
+            best = min(range(len(own)), key=lambda c: (distances[c], c))
+            found.append((best, distances[best]))
+        return found
+
+    for _ in range(rounds):
+        found = assign()
+        for cluster in range(len(own)):
+            members = [numbers[row].tolist() for row, (best, _) in enumerate(found) if best == cluster]
+            if members:
+                own[cluster] = [sum(column) // len(members) for column in zip(*members, strict=True)]
+    return [(i, *best) for (i, _), best in zip(kept, assign(), strict=True)], own
+
+
+def check(spark, rows, k, rounds):
+    frame = spark.createDataFrame([(i, x, 0) for i, x in rows], VECTORS)
+    found = centroids.cluster_vectors(frame.repartition(3), k, rounds).collect()
+    expected, own = brute_clusters(rows, k, rounds)
+    assert Counter((row["vec_id"], row["cluster"], row["distance"]) for row in found) == Counter(expected)
+    by_cluster = Counter()
+    for _, cluster, distance in expected:
+        by_cluster[cluster] += distance
+    for row in found:
+        assert row["cluster_inertia"] == by_cluster[row["cluster"]]
+        assert row["inertia"] == sum(by_cluster.values())
+        centroid = own[row["cluster"]]
+        assert row["centroid"] == centroid
+        assert row["centroid_sha256"] == hashlib.sha256(",".join(map(str, centroid)).encode()).hexdigest()
+
+
+def test_clusters(spark):
+    draw = np.random.default_rng(3)
+    middles = draw.normal(0, 2, (6, 64))
+    rows = [(k, (middles[k % 6] + draw.normal(0, 0.3, 64)).tolist()) for k in range(200)]
+    check(spark, rows, 10, 5)
+
+
+def test_odd_vectors(spark):
+    one, nan, inf = [0.5] * 64, [0.5] * 63 + [float("nan")], [float("inf")] + [0.5] * 63
+    rows = [(1, one), (1, one), (2, one), (3, None), (4, []), (5, one[:-1]), (6, [None, *one[1:]]), (7, nan), (8, inf)]
+    rows += [(9, [-x for x in one]), (None, [1e30] * 64), (10, [0.0] * 64), (11, [0.001] * 64), (12, one + one)]
+    frame = spark.createDataFrame([(i, x, 0) for i, x in rows], VECTORS)
+    found = centroids.cluster_vectors(frame, 40, 2).collect()
+    assert Counter(row["vec_id"] for row in found) == Counter([1, 1, 2, 9, None, 10, 11])
+    # Equal vectors are equal centroids: all of their rows go to the first of them.
+    assert len({row["cluster"] for row in found if row["vec_id"] in (1, 2)}) == 1
+    held = [row for row in found if row["vec_id"] is None]
+    assert held[0]["distance"] == 0 and held[0]["centroid"] == [1 << 26] * 64
+    check(spark, [row for row in rows if row[0] is not None], 3, 2)
+
+
+def test_clashing_columns_and_no_vectors(spark):
+    frame = spark.createDataFrame([(k, [k / 7] * 64, 0) for k in range(9)], VECTORS)
+    plain = centroids.cluster_vectors(frame, 4, 2)
+    more = frame.selectExpr("1 planes", "2 first", "3 cluster", "4 distance", "5 inertia", "embedding", "vec_id", "6 n")
+    assert sorted(centroids.cluster_vectors(more, 4, 2).collect()) == sorted(plain.collect())
+    none = centroids.cluster_vectors(frame.limit(0))
+    assert none.count() == 0 and none.dtypes == plain.dtypes
+
+
+@pytest.mark.parametrize("rows", [1, 2])
+def test_fewer_vectors_than_centroids(spark, rows):
+    check(spark, [(k, [float(k)] * 64) for k in range(rows)], 40, 5)

@@ -1,0 +1,143 @@
+"""Spelling variants against brute force."""
+
+from __future__ import annotations
+
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from playlog.llm import spellings
+
+
+def apart(one, other):
+    """Whether two words differ by exactly one inserted, deleted or replaced letter."""
+    if len(one) == len(other):
+        return sum(a != b for a, b in zip(one, other, strict=True)) == 1
+    short, long = sorted((one, other), key=len)
+    return len(long) == len(short) + 1 and any(long[:k] + long[k + 1 :] == short for k in range(len(long)))
+
+
+def brute_variants(rows):
+    counts = Counter()
+    for doc_id, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = "".join(letter.lower() if letter < "\x80" else letter for letter in run)
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+            if h % 31 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            counts[run] += 1
+    words = {word: n for word, n in counts.items() if len(word) >= 7 and n >= 2}
+    near = {word: [other for other in words if other != word and apart(word, other)] for word in words}
+    form = {}
+    for word, found in near.items():
+        best = min(found, key=lambda other: (-words[other], other), default=None)
+        form[word] = best if best is not None and words[best] >= 10 * words[word] else None
+
+    def root(word):
+        while form[word] is not None:
+            word = form[word]
+        return word
+
+    return {word: (n, form[word], words.get(form[word]), len(near[word]), root(word)) for word, n in words.items()}
+
+
+def found_variants(frame):
+    found = spellings.spelling_variants(frame).collect()
+    assert len({row["word"] for row in found}) == len(found)
+    return {row["word"]: (row["n"], row["form"], row["form_n"], row["n_near"], row["root"]) for row in found}
+
+
+def edited(word, draw, letters="abcé"):
+    at, letter = draw.randrange(len(word) + 1), draw.choice(letters)
+    return draw.choice([word[:at] + letter + word[at:], word[:at] + word[at + 1 :], word[:at] + letter + word[at + 1 :]])
+
+
+@pytest.fixture(scope="module")
+def texts():
+    """Words of few letters, so that many are near, with chains of forms, long words, and ties."""
+    draw = random.Random(12)
+    bases = ["".join(draw.choice("abcéÀ") for _ in range(draw.randrange(7, 11))) for _ in range(25)]
+    bases += ["aaaaaaa", "aaaaaaaa", "aaaaaaaaa", "prefix" + "ab" * 40, "prefix" + "ab" * 40 + "c"]
+    words = []
+    for base in bases:
+        words += [base.title()] * draw.choice([2, 30, 300])
+        for _ in range(8):
+            other = edited(base, draw)
+            words += [other] * draw.choice([1, 2, 3, 20])
+            words += [edited(other, draw)] * 2
+    draw.shuffle(words)
+    return [(k, " ".join(words[k::60]) + " x1y short 数 don't") for k in range(60)]
+
+
+@pytest.mark.parametrize("large", [512, 4])
+def test_variants(spark, texts, monkeypatch, large):
+    monkeypatch.setattr(spellings, "LARGE_GROUP", large)
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(5)
+    found, expected = found_variants(docs), brute_variants(texts)
+    assert found == expected
+    # Some words lead on from form to form.
+    assert any(form != root for _, form, _, _, root in expected.values() if form)
+
+
+def test_one_hot_start(spark):
+    """Words that all begin alike, in groups that are dealt out again, stay exact, and no group stays large."""
+    draw = random.Random(4)
+    words = {"beginning" + "".join(draw.choice("abcdefgh") for _ in range(draw.choice([4, 5]))) for _ in range(3_000)}
+    rows = [(None, f"{word} {word.upper()}") for word in sorted(words)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    counted = {row["word"]: row["n"] for row in spellings.vocabulary(docs).collect()}
+    dealt = spellings.groups(spellings.vocabulary(docs))
+    sizes = dealt.groupBy("base", "low", "high", "intact").count()
+    assert sizes.agg({"count": "max"}).first()[0] <= spellings.LARGE_GROUP
+    found = spellings.near_words(spellings.vocabulary(docs)).collect()
+    pairs = {(row["word"], row["near"]) for row in found}
+    assert len(pairs) == len(found)
+    by_length = {}
+    for word in counted:
+        by_length.setdefault(len(word), set()).add(word)
+    expected = set()
+    for word in counted:
+        around = {word[:k] + c + word[k + 1 :] for k in range(len(word)) for c in "abcdefghnig"} - {word}
+        around |= {word[:k] + word[k + 1 :] for k in range(len(word))}
+        around |= {word[:k] + c + word[k:] for k in range(len(word) + 1) for c in "abcdefghnig"}
+        expected |= {(word, other) for other in around & counted.keys()}
+    assert pairs == expected
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(1, 6), st.lists(st.tuples(st.integers(0, 2), st.text("ab", min_size=6, max_size=6), st.booleans(), st.sampled_from("ab")), min_size=1, max_size=12))
+def test_one_block(length, rows):
+    group = np.array([number for number, *_ in rows])
+    rests = [text[:length] + (letter if longer else "") for _, text, longer, letter in rows]
+    longer = np.array([longer for _, _, longer, _ in rows])
+    left, right = spellings.one_edit_apart(group, rests, longer)
+    expected = {
+        (a, b)
+        for a in range(len(rows))
+        for b in range(len(rows))
+        if not longer[a] and group[a] == group[b] and rests[a] != rests[b] and apart(rests[a], rests[b])
+    }
+    assert sorted(zip(left.tolist(), right.tolist(), strict=True)) == sorted(expected)
+
+
+@pytest.mark.parametrize("table", ["docs", "clashing"])
+def test_odd_rows(request, table):
+    rows = request.getfixturevalue(table)
+    expected = brute_variants([(row["doc_id"], row["text"]) for row in rows.select("doc_id", "text").collect()])
+    assert found_variants(rows) == expected
+
+
+def test_long_words_and_no_documents(spark, no_docs):
+    assert spellings.spelling_variants(no_docs).count() == 0
+    long = "abcdefghij" * 5_000
+    rows = [(k, f"{long} {long}z {long[:777]}x{long[778:]} {long[:9]}{long[10:]}") for k in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found, expected = found_variants(docs), brute_variants(rows)
+    # The word with a further letter has lost one in a document, so it occurs only once.
+    assert found == expected and found[long][3] == 2
