@@ -2,15 +2,19 @@
 
 Character n-grams are hashed into buckets, weighted by TF-IDF and scaled to length 1. The model is trained with
 follow-the-regularised-leader (FTRL-proximal): each coordinate has its own learning rate, an absolute penalty that keeps
-weights at exactly 0 until they are worth it and a squared one, together the elastic net. Learning rows are dealt into
-shards; every shard trains by itself and the weights are averaged. One temperature, chosen on learning rows that took no
-part in training, then turns scores into calibrated probabilities.
+weights at exactly 0 until they are worth it and a squared one, together the elastic net. One temperature, chosen on
+learning rows that took no part in training, then turns scores into calibrated probabilities.
+
+Languages and document frequencies are counted over all learning rows. Weights are fitted on a bounded sample that takes
+the same number of rows of each language, or all where there are fewer; the rows of a rare language are repeated. Learning rows
+are dealt into shards; every shard trains by itself, and the average of the weights is taken by bucket and language in the
+executors, from the weights that are not 0. The driver gets one model, however many rows or shards there are.
 """
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from playlog.llm.tables import as_texts, blocks, bounded_sample, remainder
+from playlog.llm.tables import as_texts, blocks, drawn, remainder
 
 UNKNOWN = "und"
 # At most about so many learning rows are used; more of them change the model little.
@@ -28,6 +32,8 @@ SHARDS = 6
 BUCKETS = 1 << 15
 SIZES = (1, 2, 3)
 CALIBRATING = 5  # a learning row out of so many calibrates instead of training
+RARE = 50  # a language with fewer rows has none to spare for that
+LEAST_ROWS = 1_200  # rows of a language are repeated to about so many
 TEMPERATURES = np.geomspace(0.02, 5, 60)
 
 _LETTER = regex.compile(r"\p{L}")
@@ -121,72 +127,115 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], n_langs: int, ftrl: Ft
     return weights[:-1], weights[-1]
 
 
-def _sum(rows: DataFrame, work: Callable[[list[str], list], np.ndarray], extra: str) -> list[np.ndarray]:
-    """What a function gives for the texts of each partition and a further column: one array each."""
+def quotas(counts: dict[str, int], most_rows: int) -> dict[str, int]:
+    """How many rows of each language are taken: the same number of all, or all where there are fewer."""
+    left, quota = most_rows, {}
+    for place, (lang, n) in enumerate(sorted(counts.items(), key=lambda item: (item[1], item[0]))):
+        quota[lang] = min(n, left // (len(counts) - place))
+        left -= quota[lang]
+    return quota
+
+
+def _summed(rows: DataFrame, work: Callable[[Iterator[tuple[str, object]]], Iterator[tuple[np.ndarray, np.ndarray]]], extra: str) -> tuple[np.ndarray, np.ndarray]:
+    """Places and the sums of their values over all partitions; ``work`` gives places and values for the texts of one.
+
+    Only places that occur are shuffled, and one row for each comes to the driver.
+    """
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = (
+            pair
+            for block in blocks(batches, "text")
+            for pair in zip(as_texts(block.column("text")), block.column(extra).to_pylist(), strict=True)
+        )
+        for place, value in work(texts):
+            yield pa.record_batch({"place": pa.array(place, pa.int64()), "value": pa.array(value, pa.float64())})
+
+    found = rows.select("text", extra).mapInArrow(cells, "place bigint, value double")
+    found = found.groupBy("place").agg(F.sum("value").alias("value")).toArrow()
+    return found["place"].to_numpy(), found["value"].to_numpy()
+
 
-    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts: list[str] = []
-        extras: list = []
-        for batch in batches:
-            texts += as_texts(batch.column("text"))
-            extras += batch.column(extra).to_pylist()
-        if texts:
-            yield pa.record_batch({"out": pa.array([work(texts, extras).astype("<f8").tobytes()], pa.binary())})
+def _document_counts(texts: Iterator[tuple[str, object]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    counts = np.zeros(BUCKETS + 1)
+    for text, _ in texts:
+        counts[grams(text)[0]] += 1
+        counts[-1] += 1
+    place = np.flatnonzero(counts)
+    yield place, counts[place]
 
-    return [np.frombuffer(row["out"], "<f8") for row in rows.mapInArrow(arrays, "out binary").collect()]
+
+def inverse_frequencies(rows: DataFrame) -> np.ndarray:
+    """The weight of each bucket by the number of all rows that have it."""
+    counts = np.zeros(BUCKETS + 1)
+    place, value = _summed(rows, _document_counts, "lang")
+    counts[place] = value
+    return np.log((1 + counts[-1]) / (1 + counts[:-1])) + 1
+
+
+def _shard_weights(
+    texts: Iterator[tuple[str, object]], numbers: dict[str, int], idf: np.ndarray, ftrl: Ftrl
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    rows = [(*weighted(text, idf), numbers[lang]) for text, lang in texts]
+    if rows:
+        weights, bias = train(rows, len(numbers), ftrl)
+        flat = np.concatenate([weights.ravel(), bias, [1.0]]) * len(rows)
+        place = np.flatnonzero(flat)
+        yield place, flat[place]
+
+
+def averaged_weights(rows: DataFrame, langs: Sequence[str], idf: np.ndarray, ftrl: Ftrl) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and biases, averaged over the models of all partitions by their rows."""
+    numbers = {lang: number for number, lang in enumerate(langs)}
+    work = functools.partial(_shard_weights, numbers=numbers, idf=idf, ftrl=ftrl)
+    flat = np.zeros((BUCKETS + 1) * len(langs) + 1)
+    place, value = _summed(rows, work, "lang")
+    flat[place] = value
+    flat = flat[:-1] / max(flat[-1], 1)
+    return flat[: -len(langs)].reshape(BUCKETS, -1), flat[-len(langs) :]
+
+
+def _losses(texts: Iterator[tuple[str, object]], numbers: dict[str, int], model: Model) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    loss = np.zeros(len(TEMPERATURES))
+    for text, lang in texts:
+        logits = model.logits([text])
+        loss -= [np.log(softmax(logits / t)[0, numbers[lang]] + 1e-12) for t in TEMPERATURES]
+    yield np.arange(len(loss)), loss
 
 
 def fit(docs: DataFrame, most_rows: int = MOST_ROWS, ftrl: Ftrl | None = None) -> Model:
     """Learn from ``text`` and ``lang`` of the documents given; rows without either or without a letter are left out.
 
-    At most about ``most_rows`` rows are used, picked by a hash of ``doc_id``. What comes to the driver are arrays whose
-    size is set by the number of buckets, shards and languages.
+    All of them count for the languages and the document frequencies. The weights are fitted on at most about
+    ``most_rows`` rows, the same number of each language. What comes to the driver has the size of the model.
     """
     ftrl = ftrl or Ftrl()
     usable = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    sample = bounded_sample(usable, "doc_id", most_rows)
-    role = F.pmod(F.xxhash64(F.lit("role"), "doc_id"), F.lit(CALIBRATING)) == 0
-    sample = sample.withColumn("calibrates", role).repartition(SHARDS, "doc_id")
-    sample = sample.sortWithinPartitions("doc_id", "text", "lang").persist()
-    try:
-        langs = sorted(row["lang"] for row in sample.select("lang").distinct().collect())
-        if not langs:
-            return Model([], np.zeros(BUCKETS), np.zeros((BUCKETS, 0)), np.zeros(0))
-        numbers = {lang: number for number, lang in enumerate(langs)}
-
-        def document_counts(texts: list[str], _: list) -> np.ndarray:
-            counts = np.zeros(BUCKETS + 1)
-            counts[-1] = len(texts)
-            for text in texts:
-                counts[grams(text)[0]] += 1
-            return counts
-
-        found = np.sum(_sum(sample.select("text", "lang"), document_counts, "lang"), axis=0)
-        idf = np.log((1 + found[-1]) / (1 + found[:-1])) + 1
-
-        def shard(texts: list[str], own: list) -> np.ndarray:
-            rows = [(*weighted(text, idf), numbers[lang]) for text, lang in zip(texts, own, strict=True)]
-            weights, bias = train(rows, len(langs), ftrl)
-            return np.concatenate([weights.ravel(), bias, [len(rows)]])
-
-        learning = sample.where(~F.col("calibrates"))
-        trained = _sum(learning.select("text", "lang"), shard, "lang") or _sum(sample.select("text", "lang"), shard, "lang")
-        shares = np.array([own[-1] for own in trained])
-        mean = np.average([own[:-1] for own in trained], axis=0, weights=shares)
-        model = Model(langs, idf, mean[: -len(langs)].reshape(BUCKETS, -1), mean[-len(langs) :])
-
-        def losses(texts: list[str], own: list) -> np.ndarray:
-            logits = model.logits(texts)
-            right = np.array([numbers[lang] for lang in own])
-            rows = np.arange(len(texts))
-            return np.array([-np.log(softmax(logits / t)[rows, right] + 1e-12).sum() for t in TEMPERATURES])
-
-        found = _sum(sample.where("calibrates").select("text", "lang"), losses, "lang")
-        if found:
-            model.temperature = float(TEMPERATURES[np.argmin(np.sum(found, axis=0))])
-        return model
-    finally:
-        sample.unpersist()
+    counts = {row["lang"]: row["n"] for row in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    langs = sorted(counts)
+    if not langs:
+        return Model([], np.zeros(BUCKETS), np.zeros((BUCKETS, 0)), np.zeros(0))
+    idf = inverse_frequencies(usable)
+
+    quota = quotas(counts, max(most_rows, len(langs)))
+    facts = [
+        (lang, 1.0 if quota[lang] == counts[lang] else quota[lang] / counts[lang], max(1, LEAST_ROWS // max(1, quota[lang])))
+        for lang in langs
+    ]
+    shares = docs.sparkSession.createDataFrame(facts, "lang string, share double, times int")
+    sample = drawn(usable, "doc_id", "drawn").join(F.broadcast(shares), "lang").where("drawn < share")
+    # Rows are dealt out by what was drawn for them, so that rows without an id, or of the same, come apart too.
+    role = (F.floor(F.col("drawn") * (1 << 29)) % CALIBRATING == 0) & (F.col("times") * RARE <= LEAST_ROWS)
+    sample = sample.withColumn("calibrates", role)
+    learning = sample.where(~F.col("calibrates")).withColumn("copy", F.explode(F.sequence(F.lit(1), "times")))
+    learning = learning.repartition(SHARDS, F.xxhash64("drawn", "copy")).sortWithinPartitions("drawn", "copy")
+    model = Model(langs, idf, *averaged_weights(learning, langs, idf, ftrl))
+
+    work = functools.partial(_losses, numbers={lang: number for number, lang in enumerate(langs)}, model=model)
+    place, loss = _summed(sample.where("calibrates"), work, "lang")
+    if loss.any():
+        model.temperature = float(TEMPERATURES[place[loss.argmin()]])
+    return model
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
@@ -232,5 +281,10 @@ def _keep(batches: Iterator[pa.RecordBatch], model: Model, least: float) -> Iter
 
 
 def identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The documents, all their columns, whose language is known with a probability of at least ``least``."""
+    """The documents, all their columns, whose language is known with a probability of at least ``least``.
+
+    Texts that are null, empty or without a letter go, also with ``least`` 0. Whole texts decide, however long. Rows with a
+    null id stay if their text does, repeated rows share their fate, columns of any name are kept, an empty table gives an
+    empty one. There is no shuffle.
+    """
     return docs.mapInArrow(functools.partial(_keep, model=model, least=least), docs.schema)

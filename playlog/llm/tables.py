@@ -76,13 +76,29 @@ def blocks(
         yield batch.slice(start)
 
 
+def drawn(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """Rows with a column ``name`` from 0 to below 1, drawn for each row: from its key, and its place, as keys may repeat or
+    be missing. It is the same on every run over the same files."""
+    steps = 1 << 30
+    number = F.pmod(F.xxhash64(F.lit("sample"), F.col(key), F.monotonically_increasing_id()), F.lit(steps))
+    return rows.withColumn(name, number / steps)
+
+
+def free_name(frame: DataFrame, name: str) -> str:
+    """A column name that the frame has not, whatever the case."""
+    taken = {column.lower() for column in frame.columns}
+    while name.lower() in taken:
+        name = f"{name}_"
+    return name
+
+
 def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
-    """About ``most`` rows at most, picked by a hash of their key: the same rows on every run, all where they are few."""
+    """About ``most`` rows at most, drawn by their key and place: all where they are few."""
     n = rows.count()
     if n <= most:
         return rows
-    share = int(most / n * (1 << 30))
-    return rows.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) < share)
+    name = free_name(rows, "drawn")
+    return drawn(rows, key, name).where(F.col(name) < most / n).drop(name)
 
 
 def stored(frame: DataFrame, name: str) -> DataFrame:

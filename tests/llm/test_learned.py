@@ -186,3 +186,52 @@ def test_shares_sum_to_one():
 
 def test_scores_of_an_empty_table(no_docs):
     assert lm_scoring.score_texts(no_docs, F.lit(True)).count() == 0
+
+
+def test_rare_language(spark):
+    """A language with a handful of rows among very many is learned."""
+    english, polish = "the quick brown fox and the lazy dog went over hill", "szczęście źdźbło żółć więc będziemy się śmiać często"
+    frame = spark.range(30_000).select(
+        F.col("id").alias("doc_id"),
+        F.concat(F.lit(english), F.lit(" "), (F.col("id") % 977).cast("string")).alias("text"),
+        F.lit("en").alias("lang"),
+    )
+    more = spark.createDataFrame([(40_000 + k, f"{polish} {k}", "pl") for k in range(4)], frame.schema)
+    model = language_id.fit(frame.union(more))
+    asked = spark.createDataFrame([(1, "więc się często śmiać"), (2, "the dog and the fox")], "doc_id bigint, text string")
+    found = {row["doc_id"]: row for row in language_id.predict(asked, model).collect()}
+    assert (found[1]["lang_pred"], found[2]["lang_pred"]) == ("pl", "en")
+
+
+def test_quotas():
+    assert language_id.quotas({"a": 30_000, "b": 4, "c": 50}, 1_000) == {"b": 4, "c": 50, "a": 946}
+    assert language_id.quotas({"a": 10, "b": 10}, 1_000) == {"a": 10, "b": 10}
+    assert sum(language_id.quotas({str(k): 999 for k in range(7)}, 1_000).values()) == 1_000
+
+
+def test_one_model_from_many_partitions(spark, corpus, monkeypatch):
+    """However many partitions learn, a row for each weight comes to the driver."""
+    monkeypatch.setattr(language_id, "SHARDS", 40)
+    sent = []
+    original = language_id._summed
+
+    def watched(*args):
+        place, value = original(*args)
+        sent.append(len(place))
+        assert len(set(place.tolist())) == len(place)
+        return place, value
+
+    monkeypatch.setattr(language_id, "_summed", watched)
+    model = language_id.fit(corpus.repartition(60))
+    assert len(sent) == 3 and max(sent) <= (language_id.BUCKETS + 1) * len(model.langs) + 1
+    found = language_id.predict(corpus, model).join(corpus.select("doc_id", "lang"), "doc_id")
+    assert found.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.97
+
+
+def test_sample_of_missing_and_repeated_ids(spark):
+    from playlog.llm.tables import bounded_sample
+
+    for key in (F.lit(None).cast("bigint"), F.lit(1).cast("bigint"), F.col("id")):
+        rows = spark.range(100_000).select(key.alias("doc_id"), F.lit("x").alias("Drawn"))
+        sample = bounded_sample(rows, "doc_id", 8_000)
+        assert sample.columns == rows.columns and 7_000 < sample.count() < 9_000
