@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from playlog.llm.tables import blocks, count_words, stored
+from playlog.llm.tables import blocks, count_words, free_name, stored
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -23,7 +23,7 @@ _ROW_BITS = 33  # of the ids that Spark gives to the rows of a partition
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in blocks(batches, "text"):
-        columns = {name: block.column(name) for name in ("doc_id", "no_source", "name")}
+        columns = {name: block.column(name) for name in block.schema.names if name != "text"}
         yield pa.record_batch(columns | {"size": pa.array(count_words(block.column("text")))})
 
 
@@ -67,15 +67,29 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, see
     A source is never brought together in one place: rows are dealt by ranges of source, size and id, and numbered by
     adding the counts of the ranges before.
     """
+    return _mixed(docs, weights, most, seed, {}).select(
+        "doc_id",
+        F.when(~F.col("no_source"), F.col("name")).alias("source"),
+        "size",
+        "source_size",
+        "target",
+        "copies",
+        (F.col("copies") * F.col("size")).alias("taken"),
+    )
+
+
+def _mixed(docs: DataFrame, weights: Sequence[int], most: int, seed: int, keys: dict[str, Column]) -> DataFrame:
+    """The sizes and copies of all rows, with further whole numbers that decide between rows of one size and id."""
     named = docs.select(
         "doc_id",
         F.col("source").isNull().alias("no_source"),
         F.coalesce("source", F.lit("")).alias("name"),
+        *[key.alias(name) for name, key in keys.items()],
         "text",
     )
-    schema = "doc_id bigint, no_source boolean, name string, size bigint"
+    schema = ", ".join(["doc_id bigint, no_source boolean, name string", *[f"{name} bigint" for name in keys], "size bigint"])
     sized = stored(named.mapInArrow(_sizes, schema), "mixing-sizes")
-    order = ["no_source", "name", "size", "doc_id"]
+    order = ["no_source", "name", "size", "doc_id", *keys]
     dealt = sized.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = stored(dealt.withColumn("row", F.monotonically_increasing_id()), "mixing-order")
     placed = placed.withColumn("part", F.shiftright("row", _ROW_BITS))
@@ -100,32 +114,29 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, see
     index = F.col("before") + F.col("row") - F.col("first")
     start = offset(F.col("no_source"), F.col("name"), seed)
     copies = F.floor(start + (index + 1) * share) - F.floor(start + index * share)
-    return (
-        placed.join(facts, ["no_source", "name", "part"])
-        .withColumn("copies", copies)
-        .select(
-            "doc_id",
-            F.when(~F.col("no_source"), F.col("name")).alias("source"),
-            "size",
-            "source_size",
-            "target",
-            "copies",
-            (F.col("copies") * F.col("size")).alias("taken"),
-        )
-    )
+    return placed.join(facts, ["no_source", "name", "part"]).withColumn("copies", copies)
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, seed: int = 1) -> DataFrame:
     """The documents of a mix: all columns of ``docs``, each row as often as it is taken.
 
-    Documents are told apart by id and source: where rows agree in both, each is taken as often as the first of them by
-    size.
+    Every row has a decision of its own, found again by a digest of all its columns (but maps), so rows without an id, or of one id,
+    are told apart; rows that agree in everything are taken as often as all of them together. Null texts and sources,
+    sources without words, and an empty table are as for ``mix``. Columns of any name are kept.
     """
-    keys = ["_id", "_source"]
-    taken = mix(docs, weights, most, seed)
-    taken = taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "size", "copies")
-    taken = taken.groupBy(*keys).agg(F.min_by("copies", "size").alias("_copies"))
-    taken = taken.where(F.col("_copies") > 0)
-    same = docs["doc_id"].eqNullSafe(taken["_id"]) & docs["source"].eqNullSafe(taken["_source"])
-    copied = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))
-    return docs.join(taken, same).withColumn("_copy", copied).select(*docs.columns)
+    hashed = [F.col(f"`{name}`") for name, kind in docs.dtypes if "map<" not in kind]
+    keys = {f"key_{place}": F.xxhash64(F.lit(place), *hashed) for place in range(2)}
+    taken = _mixed(docs, weights, most, seed, keys).groupBy(*keys).agg(F.sum("copies").alias("copies"), F.count("*").alias("n"))
+    taken = stored(taken.where("copies > 0"), "mixing-taken")
+    copies, copy = free_name(docs, "copies"), free_name(docs, "copy")
+    names = [free_name(docs, name) for name in keys]
+    keyed = docs.withColumns(dict(zip(names, keys.values(), strict=True)))
+
+    def found(where: str) -> DataFrame:
+        return keyed.join(taken.where(where).drop("n").toDF(*names, copies), names)
+
+    rows = found("n = 1")
+    if not taken.where("n > 1").isEmpty():
+        rows = rows.unionByName(found("n > 1").dropDuplicates(names))
+    copied = F.explode(F.sequence(F.lit(1), F.col(f"`{copies}`").cast("int")))
+    return rows.withColumn(copy, copied).select(*[F.col(f"`{name}`") for name in docs.columns])

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from playlog.llm.components import components
-from playlog.llm.tables import as_bytes, bits_set, blocks, bounded_sample, id_bit, id_bitmap, stored, words_of
+from playlog.llm.tables import as_bytes, bits_set, blocks, bounded_sample, free_name, id_bit, id_bitmap, stored, words_of
 
 TREES = 16
 DEPTH = 8  # values of a signature in a tree
@@ -359,9 +359,8 @@ def completed(docs: DataFrame, vertices: DataFrame, links: DataFrame, size: int,
     contested = stored(contested.where("least < most").select("shingle"), "dedup-contested")
     # Few shingles are contested: the others are left where they are, told by a bitmap.
     bitmap = id_bitmap(contested.select(F.col("shingle").alias("id")))
-    names = ["id", "n", "component", "shingle", "place"]
-    told = firsts.withColumn("_bit", id_bit(F.col("shingle")))
-    told = told.mapInArrow(functools.partial(_picked, bitmap=bitmap, wanted=True, columns=names), FIRSTS)
+    told = firsts.withColumn("bit", id_bit(F.col("shingle")))
+    told = told.mapInArrow(functools.partial(_picked, bitmap=bitmap, wanted=True), FIRSTS)
     meet = stored(told.join(contested, "shingle").select("id", "n", "shingle", "place"), "dedup-meet")
     # Texts of one id that differ are several sets, but one vertex.
     vertices = stored(vertices.select("id", "component").distinct(), "dedup-vertices")
@@ -436,24 +435,27 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     )
 
 
-def _picked(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, wanted: bool, columns: list[str]) -> Iterator[pa.RecordBatch]:
+def _picked(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, wanted: bool) -> Iterator[pa.RecordBatch]:
+    """The rows whose bit, in their last column, is set, or not; without that column."""
     for batch in batches:
-        yield batch.select(columns).filter(pa.array(bits_set(batch.column("_bit"), bitmap) == wanted))
+        columns = batch.schema.names[:-1]
+        yield batch.select(columns).filter(pa.array(bits_set(batch.column(len(columns)), bitmap) == wanted))
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The documents, all their columns, without those that are near-duplicates of one with a smaller id.
 
-    Of rows with the same id one stays; rows with a null id all stay. Only texts that may have to go are shuffled.
+    Of rows with the same id one stays; rows with a null id all stay, as do null and empty texts of different ids. Columns of
+    any name are kept as they are, an empty table gives an empty one. Only texts that may have to go are shuffled.
     """
-    columns = docs.columns
+    columns = [F.col(f"`{name}`") for name in docs.columns]
     decided = stored(near_duplicates(docs, size, percent).select("doc_id", "kept"), "dedup-decided")
     going = decided.where("NOT kept").select("doc_id").distinct()
     several = decided.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id")
     bitmap = id_bitmap(going.union(several).toDF("id"))
-    told = docs.withColumn("_bit", id_bit(F.col("doc_id")))
+    told = docs.withColumn(free_name(docs, "bit"), id_bit(F.col("doc_id")))
     staying, doubtful = (
-        told.mapInArrow(functools.partial(_picked, bitmap=bitmap, wanted=wanted, columns=columns), docs.schema)
+        told.mapInArrow(functools.partial(_picked, bitmap=bitmap, wanted=wanted), docs.schema)
         for wanted in (False, True)
     )
     checked = doubtful.join(going, "doc_id", "left_anti").select(*columns).dropDuplicates(["doc_id"])

@@ -31,6 +31,7 @@ def clashing(docs):
     from pyspark.sql import functions as F
 
     names = ["score", "n_tokens", "size", "key", "_id", "bit", "copies", "steps", "leaf", "rank", "learns", "name", "row"]
+    names += ["_bit", "copy", "_copy", "_copies", "_source", "no_source", "part", "n", "key_0", "KEY_1", "drawn"]
     return docs.select(*[F.lit(0).alias(name) for name in names], *reversed(docs.columns))
 
 

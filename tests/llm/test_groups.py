@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from playlog.llm import mixing, near_dedup
 from playlog.llm.components import components
@@ -201,3 +202,32 @@ def test_mix_of_odd_rows(request, table):
     assert {row["source"] for row in found} == {None, "", "a", "b", "c"}
     assert all(row["taken"] <= 3 * row["size"] for row in found)
     assert mixing.mixed_documents(request.getfixturevalue(table)).count() == sum(row["copies"] for row in found)
+
+
+@pytest.mark.parametrize("ids", ["null", "one", "some"])
+def test_mix_of_rows_that_share_an_id(spark, ids):
+    """Every row has its own decision, and the mix meets its targets, also where rows are equal in everything."""
+    draw = random.Random(6)
+    doc_id = {"null": lambda _: None, "one": lambda _: 1, "some": lambda k: k % 3}[ids]
+    rows = [(doc_id(k), "w " * draw.randrange(1, 30), draw.choice("aab")) for k in range(80)]
+    docs = spark.createDataFrame([(*row, 70, 7, None) for row in rows], "doc_id bigint, text string, source string, _copy int, Copies int, _source string")
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    found = mixed.collect()
+    assert {(row["_copy"], row["Copies"], row["_source"]) for row in found} == {(70, 7, None)}
+    words = Counter()
+    for row in found:
+        words[row["source"]] += len(row["text"].split())
+    expected = Counter()
+    for row in mixing.mix(docs).collect():
+        expected[row["source"]] += row["taken"]
+        assert abs(expected[row["source"]]) <= 1e9
+    assert words == expected
+    assert sorted(found) == sorted(mixing.mixed_documents(docs.repartition(5)).collect())
+
+
+def test_columns_of_any_name_stay(clashing):
+    rows = clashing.withColumn("_bit", F.lit(7)).withColumn("BIT", F.lit("x"))
+    for kept in (near_dedup.one_of_each(rows, 3, 85), mixing.mixed_documents(rows)):
+        assert kept.columns == rows.columns
+        assert {(row["_bit"], row["BIT"], row["_copies"]) for row in kept.collect()} == {(7, "x", 0)}
