@@ -17,6 +17,7 @@ import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from playlog.llm import bpe
 from playlog.llm.tables import as_texts, blocks
@@ -30,9 +31,37 @@ _SPACE = regex.compile(r"\p{White_Space}+")
 # White space to Python's split, but not to Unicode.
 _SEPARATORS = regex.compile(r"[\x1c-\x1f]")
 
+# A mark whose place among others differs between versions of Unicode.
+_RECLASSED = "\u1df6"
+_COMPOSED, _LOWER = normalizers.NFC(), normalizers.Lowercase()
+# What stands for a code point that Python doesn't know, by its class. One for private use is in none of them.
+_LETTER, _NUMBER, _NO_CLASS = "a", "0", "\ue000"
+_CLASSES = [(pre_tokenizers.Split(Regex(p), "removed", invert=True), x) for p, x in ((r"\p{L}", _LETTER), (r"\p{N}", _NUMBER))]
+
 ENCODED = "doc_id bigint, ids binary"
 
 
+@functools.lru_cache(1 << 16)
+def _known(point: str) -> tuple[str, str]:
+    """A code point in lower case, and one of the same class that every version of Unicode knows.
+
+    The libraries know different versions; where Python knows a code point, all of them agree.
+    """
+    if unicodedata.category(point) != "Cn":
+        return point, point
+    lower = _LOWER.normalize_str(point)
+    return lower, next((x for split, x in _CLASSES if split.pre_tokenize_str(lower)), _NO_CLASS)
+
+
+def split_words(chunk: str) -> list[str]:
+    """The words of a chunk of normalised text without white space."""
+    if chunk.isascii() or all(unicodedata.category(point) != "Cn" for point in set(chunk)):
+        return _WORDS.findall(chunk)
+    points = [_known(point) for point in _COMPOSED.normalize_str(chunk)]
+    lower = "".join(point for point, _ in points)
+    return [lower[match.start() : match.end()] for match in _WORDS.finditer("".join(stand_in for _, stand_in in points))]
+
+
 class Codec:
     """Encoding and decoding with one vocabulary."""
 
@@ -85,7 +114,7 @@ class Codec:
         if len(self._chunks) > REMEMBERED:
             self._chunks.clear()
         new = [chunk for chunk in chunks if chunk not in self._chunks]
-        words = [_WORDS.findall(chunk) for chunk in new]
+        words = [split_words(chunk) for chunk in new]
         distinct = list({word for own in words for word in own})
         ids = {
             word: np.array(own, "<u4").tobytes() for word, own in zip(distinct, self.words(distinct), strict=True)
@@ -99,7 +128,8 @@ class Codec:
 
     def chunks(self, text: str) -> list[str]:
         """The normalised text, cut at white space: composed, and each letter in lower case by itself."""
-        text = unicodedata.normalize("NFC", text) if not text.isascii() else text
+        if not text.isascii() and (_RECLASSED in text or not unicodedata.is_normalized("NFC", text)):
+            text = _COMPOSED.normalize_str(text)
         # Python writes a sigma at the end of a word in another form; letters here are taken one by one.
         text = text.replace("Σ", "σ").lower()
         return text.split() if not _SEPARATORS.search(text) else [x for x in _SPACE.split(text) if x]

@@ -40,6 +40,17 @@ def test_encoding_and_decoding(text):
     assert CODEC.decode(encoded).decode() == WORDS.decode(ids, skip_special_tokens=False)
 
 
+def test_code_points_of_all_planes():
+    """Every code point, assigned in whatever version or not, alone and between letters, in one text a block of 256."""
+    for start in range(0, 0x110000, 256):
+        points = [chr(k) for k in range(start, start + 256) if not 0xD800 <= k < 0xE000]
+        text = " ".join(f"{x} a{x}b :{x} {x}\u0307" for x in points)
+        if points and (start < 0x40000 or start % 0x4000 == 0):
+            ids = WORDS.encode(text, add_special_tokens=False).ids
+            assert np.frombuffer(CODEC.encode([text])[0], "<u4").tolist() == ids, hex(start)
+    CODEC.forget()
+
+
 def test_long_words():
     text = "ab" * 3000 + "é" * 500 + " " + "a" * 300
     assert np.frombuffer(CODEC.encode([text])[0], "<u4").tolist() == WORDS.encode(text, add_special_tokens=False).ids
