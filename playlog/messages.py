@@ -14,3 +14,13 @@ END_INVALID = "Error: End time is not valid"
 
 REPORT_READY = "Your report is ready!"
 REPORT_EMPTY = "Data request: No data found"
+
+# The sentence of a report after the customer and the days; and why a request of a batch was not taken.
+REPORT_FOUND = "the data are available under dataset ID %s."
+REPORT_NONE = "no data were found for this period. Data older than 6 months may have been deleted."
+REQUEST_REJECTED = "Data request: Not accepted"
+NO_DATASET = "Error: The request has no dataset ID"
+NO_CUSTOMER = "Error: The request has no customer"
+DATES_INVALID = "Error: The request needs two valid dates"
+DATASET_REPEATED = "Error: Several requests have this dataset ID"
+DATASET_EXISTS = "Error: The dataset ID exists already"

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from playlog.functions.days import Day, day_range, parse_day, report_day
 from playlog.functions.keys import date_number, day_number, within_days
 from playlog.functions.minutes import shown, sum_minutes
-from playlog.messages import REPORT_EMPTY, REPORT_READY
+from playlog.messages import REPORT_EMPTY, REPORT_FOUND, REPORT_NONE, REPORT_READY
 
 # What is broadcast has at most so many rows, and so many bytes of text and dates before Java's overhead.
 BROADCAST_ROWS = 1_000_000
@@ -182,8 +182,6 @@ def extract_report(requests: DataFrame, counts: DataFrame) -> DataFrame:
         F.when(found, REPORT_READY).otherwise(REPORT_EMPTY).alias("subject"),
         F.concat(
             asked,
-            F.when(found, F.format_string("the data are available under dataset ID %s.", F.col("dataset"))).otherwise(
-                "no data were found for this period. Data older than 6 months may have been deleted."
-            ),
+            F.when(found, F.format_string(REPORT_FOUND, F.col("dataset"))).otherwise(REPORT_NONE),
         ).alias("message"),
     )

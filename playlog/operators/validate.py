@@ -6,7 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from playlog.functions.days import parse_minute
-from playlog.messages import DATES_REVERSED, END_INVALID, NOT_FOUND, RANGE_TOO_LONG, START_INVALID
+from playlog.messages import (
+    DATASET_EXISTS,
+    DATASET_REPEATED,
+    DATES_INVALID,
+    DATES_REVERSED,
+    END_INVALID,
+    NO_CUSTOMER,
+    NO_DATASET,
+    NOT_FOUND,
+    RANGE_TOO_LONG,
+    START_INVALID,
+)
+from playlog.operators.extract import typed_requests
 
 ERRORS = ["dataset_error", "import_error", "view_error", "range_error", "start_error", "end_error"]
 
@@ -51,3 +63,24 @@ def accepted_reads(inputs: DataFrame, datasets: DataFrame) -> DataFrame:
     listed = datasets.select("dataset").distinct()
     loadable = inputs.where((F.col("dataset") != "") & (F.col("import_from") <= F.col("import_to")))
     return loadable.join(listed, "dataset", "left_semi").select(*inputs.columns)
+
+
+def checked_requests(requests: DataFrame, datasets: DataFrame) -> DataFrame:
+    """Requests with their dates as dates and an ``error``: why one can't be taken, null where it can.
+
+    Taken are requests with a dataset ID that no other request has and that is not in ``datasets`` yet, a customer, and two
+    dates in order. All requests of a repeated ID are refused, as none of them can be told to be the right one.
+    """
+    requests = typed_requests(requests)
+    repeated = requests.groupBy("dataset").agg(F.count("*").alias("_n")).where("_n > 1")
+    repeated = repeated.select("dataset", F.lit(True).alias("_repeated"))
+    marked = with_known(requests, datasets).join(repeated, "dataset", "left")
+    error = (
+        F.when(F.coalesce(F.col("dataset"), F.lit("")) == "", NO_DATASET)
+        .when(F.coalesce(F.col("customerID"), F.lit("")) == "", NO_CUSTOMER)
+        .when(F.col("from").isNull() | F.col("to").isNull(), DATES_INVALID)
+        .when(F.col("to") < F.col("from"), DATES_REVERSED)
+        .when(F.col("_repeated"), DATASET_REPEATED)
+        .when(F.col("known"), DATASET_EXISTS)
+    )
+    return marked.select(*[F.col(f"`{name}`") for name in requests.columns], error.alias("error"))

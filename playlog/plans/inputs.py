@@ -33,6 +33,17 @@ def late_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def typed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The late requests as typed texts, with mistakes spread over the users."""
+    user = F.col("customerID").cast("bigint")
+    return late_requests(spark, sf_dir).select(
+        F.when(user % 17 == 0, "").when(user % 19 == 0, "same").otherwise(F.col("dataset")).alias("dataset"),
+        "customerID",
+        F.when(user % 13 == 0, "2024-02-30").otherwise(F.date_format("from", "yyyyMMdd")).alias("from"),
+        F.when(user % 11 == 0, F.date_add("from", -1)).otherwise(F.col("to")).cast("string").alias("to"),
+    )
+
+
 def form_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each user typed, with mistakes spread over the users."""
     user = F.col("customerID").cast("bigint")

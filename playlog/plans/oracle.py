@@ -125,10 +125,37 @@ joined AS (
 SELECT dataset, "customerID", n_rows,
   CASE WHEN n_rows > 0 THEN {_text(messages.REPORT_READY)} ELSE {_text(messages.REPORT_EMPTY)} END AS subject,
   'Customer ' || "customerID" || ', ' || strftime("from", '%d/%m/%Y') || ' - ' || strftime("to", '%d/%m/%Y') || ': ' ||
-  CASE WHEN n_rows > 0 THEN 'the data are available under dataset ID ' || dataset || '.'
-       ELSE 'no data were found for this period. Data older than 6 months may have been deleted.' END AS message
+  CASE WHEN n_rows > 0 THEN replace({_text(messages.REPORT_FOUND)}, '%s', dataset)
+       ELSE {_text(messages.REPORT_NONE)} END AS message
 FROM joined"""
 
+
+TYPED_REQUESTS = f"""
+SELECT CASE WHEN user_id % 17 = 0 THEN '' WHEN user_id % 19 = 0 THEN 'same' ELSE dataset END AS dataset, "customerID",
+       CASE WHEN user_id % 13 <> 0 THEN "from" END AS "from",
+       CASE WHEN user_id % 11 = 0 THEN "from" - 1 ELSE "to" END AS "to"
+FROM (SELECT *, CAST("customerID" AS BIGINT) AS user_id FROM ({LATE_REQUESTS}) late) requests"""
+
+BATCH_REPORT = f"""
+WITH requests AS ({TYPED_REQUESTS}), counts AS ({_request_sums('SELECT * FROM requests')}),
+checked AS (
+  SELECT requests.*, coalesce(n_rows, 0) AS found,
+    CASE WHEN dataset = '' THEN {_text(messages.NO_DATASET)}
+         WHEN "from" IS NULL THEN {_text(messages.DATES_INVALID)}
+         WHEN "to" < "from" THEN {_text(messages.DATES_REVERSED)}
+         WHEN count(*) OVER (PARTITION BY dataset) > 1 THEN {_text(messages.DATASET_REPEATED)} END AS error
+  FROM requests LEFT JOIN counts USING (dataset))
+SELECT dataset, "customerID", CASE WHEN error IS NULL THEN found ELSE 0 END AS n_rows,
+  CASE WHEN error IS NOT NULL THEN 'rejected' WHEN found > 0 THEN 'ready' ELSE 'empty' END AS status,
+  CASE WHEN error IS NOT NULL THEN {_text(messages.REQUEST_REJECTED)}
+       WHEN found > 0 THEN {_text(messages.REPORT_READY)} ELSE {_text(messages.REPORT_EMPTY)} END AS subject,
+  coalesce(error,
+    'Customer ' || "customerID" || ', ' || strftime("from", '%d/%m/%Y') || ' - ' || strftime("to", '%d/%m/%Y') || ': ' ||
+    CASE WHEN found > 0 THEN replace({_text(messages.REPORT_FOUND)}, '%s', dataset)
+         ELSE {_text(messages.REPORT_NONE)} END) AS message
+FROM checked"""
+
+
 def _request_rows(requests: str, plays: str) -> str:
     return f"""
 SELECT dataset, plays.* FROM ({requests}) requests JOIN ({plays}) plays
@@ -237,6 +264,11 @@ WHERE date_trunc('minute', ts) BETWEEN TIMESTAMP '2024-01-10 22:00:00' AND TIMES
     "dataset_catalog": CATALOG,
     "dataset_listing": f"SELECT dataset, CAST(1 AS BIGINT) AS n_files, true AS has_data FROM ({CATALOG}) written",
     "stored_report": REPORT,
+    "batch_report": BATCH_REPORT,
+    "known_coverage": COVERAGE,
+    "packed_store": f"{KEYED_ROWS} WHERE ymd BETWEEN '2024-01-05' AND '2024-01-25'",
+    "store_minutes": _request_sums(REQUESTS),
+    "store_drift": "SELECT 'part-' || k AS commit, 'unknown' AS state, true AS found FROM range(3) parts(k)",
     "double_minutes": f'SELECT "Date", genre, round(minsplayed, 6) AS minsplayed FROM ({DAILY}) days',
     "cached_view": _sums(EVENT_PLAYS, _DAY, "Date", "2024-01-05", "2024-01-20"),
     "csv_buckets": HOURLY,

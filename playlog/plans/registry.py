@@ -11,10 +11,12 @@ from playlog.functions.keys import with_text_keys, within_days
 from playlog.functions.minutes import shown
 from playlog.operators import aggregate, export, extract, validate
 from playlog.plans import inputs
+from playlog.plans.job import extract_batch
 from playlog.schema import EXPORT_COLUMNS, PARTITION_COLUMNS, PLAYS, READ_LOG, REQUEST_LOG
 from playlog.session import work_folder
 from playlog.sinks import datasets, text
-from playlog.sources import catalog
+from playlog.sinks.store import pack, publish
+from playlog.sources import store
 from playlog.sources.plays import events_plays, lineitem_plays, load_plays
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,12 +113,12 @@ def raw_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def validate_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listing = catalog.dataset_listing(spark, _request_store(spark, sf_dir))
+    listing = store.dataset_listing(spark, _request_store(spark, sf_dir))
     return validate.validate_requests(inputs.form_inputs(spark, sf_dir), listing)
 
 
 def _accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listing = catalog.dataset_listing(spark, _request_store(spark, sf_dir))
+    listing = store.dataset_listing(spark, _request_store(spark, sf_dir))
     return validate.accepted_reads(inputs.form_inputs(spark, sf_dir), listing)
 
 
@@ -245,28 +247,75 @@ def compact_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _request_store(spark: SparkSession, sf_dir: str, requests: DataFrame | None = None) -> str:
-    """The store with the dataset of every request that has plays."""
+    """The store with the dataset of every request."""
     requests = inputs.requests(spark, sf_dir) if requests is None else requests
     extracts = extract.batch_extract(events_plays(spark, sf_dir), requests)
-    return datasets.write_batch(extracts, work_folder(spark, "store"), tasks=spark.sparkContext.defaultParallelism)
+    root = work_folder(spark, "store")
+    return publish(extracts, root, "first", requests, tasks=spark.sparkContext.defaultParallelism)
 
 
 def dataset_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.dataset_catalog(spark, _request_store(spark, sf_dir))
+    return store.dataset_catalog(spark, _request_store(spark, sf_dir))
 
 
 def dataset_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listing = catalog.dataset_listing(spark, _request_store(spark, sf_dir))
+    listing = store.dataset_listing(spark, _request_store(spark, sf_dir))
     return listing.select("dataset", "n_files", (F.col("n_bytes") > 0).alias("has_data"))
 
 
 def stored_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report of all requests, counted from the datasets that were written."""
     requests = inputs.late_requests(spark, sf_dir)
-    written = catalog.dataset_catalog(spark, _request_store(spark, sf_dir, requests))
+    written = store.dataset_catalog(spark, _request_store(spark, sf_dir, requests))
     return extract.extract_report(requests, written)
 
 
+def batch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of a batch in which some requests can't be taken, with a status for each."""
+    requests = inputs.typed_requests(spark, sf_dir)
+    return extract_batch(events_plays(spark, sf_dir), requests, work_folder(spark, "batch-store"), "batch")
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """All plays in three parts by day."""
+    plays = events_plays(spark, sf_dir)
+    ends = [("2024-01-01", "2024-01-10"), ("2024-01-11", "2024-01-20"), ("2024-01-21", "2024-01-30")]
+    return [within_days(plays, *days) for days in ends]
+
+
+def _appended_store(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """A store with one dataset that three commits have added to."""
+    root = work_folder(spark, name)
+    for number, part in enumerate(_parts(spark, sf_dir)):
+        publish(part.withColumn("dataset", F.lit("all")), root, f"part-{number}", append=True)
+    return root
+
+
+def known_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The coverage of all requests, from the counts that were kept with three appended commits."""
+    root = _appended_store(spark, sf_dir, "coverage-store")
+    return store.known_coverage(inputs.late_requests(spark, sf_dir), store.manifest(spark, root))
+
+
+def packed_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dataset of three commits, packed into one, read back for a range of days."""
+    root = _appended_store(spark, sf_dir, "packed-store")
+    pack(spark, root, "packed")
+    return shown(store.load_dataset(spark, root, "all", "2024-01-05", "2024-01-25"))
+
+
+def store_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and minutes of every dataset of the store, in one scan."""
+    return store.store_minutes(spark, _request_store(spark, sf_dir))
+
+
+def store_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the manifest of a packed store and its files do not agree on: the files of the replaced commits, by commit."""
+    root = _appended_store(spark, sf_dir, "drift-store")
+    pack(spark, root, "packed")
+    return store.drift(spark, root).groupBy("commit", "state").agg((F.count("*") > 0).alias("found"))
+
+
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     plays = with_text_keys(events_plays(spark, sf_dir)).select(PLAYS.fieldNames())
     return shown(_exported(plays, "csv"))
@@ -350,6 +399,11 @@ QUERIES: dict[str, Query] = {
         dataset_catalog,
         dataset_listing,
         stored_report,
+        batch_report,
+        known_coverage,
+        packed_store,
+        store_minutes,
+        store_drift,
         csv_roundtrip,
         csv_buckets,
         csv_totals,

@@ -7,7 +7,7 @@ a small folder gets one file, and splits a large one over many tasks and files.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from playlog.functions.keys import play_day, with_text_keys
@@ -33,15 +33,19 @@ def write_dataset(
     mode: str = "errorifexists",
     max_records: int = 0,
     rebalance: bool = True,
+    seen: Observation | None = None,
 ) -> str:
     """Write a dataset with one folder per day and return its path. A dataset that exists is an error.
 
+    ``seen`` gets the number of rows as ``n_rows``, counted while they are written.
+
     ``rebalance=False`` writes rows where they were read, without a shuffle: for an extract that keeps a large part of
     a source laid out by day. A small extract would get a small file from each task of the scan.
     """
     path = dataset_path(root, dataset)
     rows = stored(plays)
     rows = rows.hint("rebalance", "ymd") if rebalance else rows
+    rows = rows.observe(seen, F.count(F.lit(1)).alias("n_rows")) if seen else rows
     _writer(rows, mode, max_records).partitionBy("ymd").parquet(path)
     return path
 
