@@ -19,20 +19,21 @@ def sum_minutes(plays: DataFrame, keys: dict[str, Column], zero: bool, count: st
     """
     grouped = plays.groupBy(*[column.alias(name) for name, column in keys.items()])
     counts = [F.count("*").alias(count)] if count else []
-    kind = plays.schema["minsplayed"].dataType
+    sums, total = minute_sums(plays.schema["minsplayed"].dataType)
+    total = F.coalesce(total, F.lit(0)) if zero else total
+    return grouped.agg(*sums, *counts).select(*keys, total.alias("minsplayed"), *([count] if count else []))
+
+
+def minute_sums(kind: T.DataType) -> tuple[list[Column], Column]:
+    """The aggregates that sum minutes of a type, and the sum from them, null for a group without any minutes."""
     if isinstance(kind, T.DecimalType) and kind.precision > _LONG_DIGITS and kind.scale < _LONG_DIGITS:
         short = f"decimal({_LONG_DIGITS},{kind.scale})"
-        sums = grouped.agg(
+        sums = [
             F.sum(F.col("minsplayed").try_cast(short)).alias("_short"),
             F.expr(f"sum(minsplayed) FILTER (WHERE try_cast(minsplayed AS {short}) IS NULL)").alias("_long"),
-            *counts,
-        )
-        total = F.coalesce(F.col("_short") + F.col("_long"), F.col("_short"), F.col("_long"))
-    else:
-        sums = grouped.agg(F.sum("minsplayed").alias("_sum"), *counts)
-        total = F.col("_sum")
-    total = F.coalesce(total, F.lit(0)) if zero else total
-    return sums.select(*keys, total.alias("minsplayed"), *([count] if count else []))
+        ]
+        return sums, F.coalesce(F.col("_short") + F.col("_long"), F.col("_short"), F.col("_long"))
+    return [F.sum("minsplayed").alias("_sum")], F.col("_sum")
 
 
 def shown(table: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from playlog.functions.days import Day, day_range
 from playlog.functions.keys import is_timestamped, play_day, play_time, within_days
-from playlog.functions.minutes import shown, sum_minutes
+from playlog.functions.minutes import minute_sums, shown, sum_minutes
 
 BUCKETS = ["Time", "Date", "Month"]
 
@@ -143,3 +143,60 @@ def genre_totals(plays: DataFrame, start: Day, end: Day) -> DataFrame:
         _standing(table).alias("_standing"),
     )
     return shown(totals).orderBy("minsplayed", "_standing", "genre").select("genre", "minsplayed")
+
+
+PARTS = ("table", "series", "totals")
+
+
+def all_parts(plays: DataFrame, start: Day, end: Day) -> DataFrame:
+    """``part, bucket, genre, minsplayed``: table, chart and totals of a range, summed in one scan and one shuffle.
+
+    The parts are grouping sets: by bucket and genre, by month and genre where the chart has months, and by genre. ``bucket``
+    is a time for hours and a date otherwise, kept as a timestamp; it is null for totals. ``part_of`` gives a part in the form of
+    its own query. To use several parts, cache the frame: it has a row per bucket and genre.
+    """
+    chosen = grain(start, end)
+    plays = within_days(plays, *day_range(start, end))
+    day = play_day(plays)
+    keys = {"_day": day, "_hour": F.lit(0), "_month": F.trunc(day, "month"), "genre": F.col("genre")}
+    if chosen == "hour":
+        plays = plays.withColumn("_time", play_time(plays))
+        keys |= {"_day": F.to_date("_time"), "_hour": F.hour("_time")}
+    named = plays.select(*[column.alias(name) for name, column in keys.items()], "minsplayed")
+    sets = [["_day", "_hour", "genre"], *([["_month", "genre"]] if chosen == "month" else []), ["genre"]]
+    summed, counts = minute_sums(plays.schema["minsplayed"].dataType)
+    grouped = named.groupingSets([[F.col(name) for name in own] for own in sets], *keys).agg(*summed, F.grouping_id().alias("_set"))
+    # The bits of the columns that a set leaves out, the last column's the lowest.
+    table, series = (sum(1 << k for k, name in enumerate(reversed(list(keys))) if name not in own) for own in (sets[0], sets[-2]))
+    part = F.when(F.col("_set") == table, "table").when(F.col("_set") == series, "series").otherwise("totals")
+    # As in their own queries, only the day rows of a table of months may have no minutes at all.
+    minutes = counts if chosen == "month" else F.coalesce(counts, F.lit(0))
+    minutes = F.when(part == "table", minutes).otherwise(F.coalesce(counts, F.lit(0)))
+    time = F.col("_day").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.col("_hour"))
+    bucket = F.when(part == "table", time).when(part == "series", F.col("_month").cast("timestamp_ntz"))
+    return shown(grouped.select(part.alias("part"), bucket.alias("bucket"), "genre", minutes.alias("minsplayed")))
+
+
+def part_of(parts: DataFrame, part: str, start: Day, end: Day) -> DataFrame:
+    """A part of ``all_parts`` as ``play_minutes``, ``play_series`` or ``genre_totals`` gives it, in their order."""
+    chosen = grain(start, end)
+    if part == "totals":
+        # Equal totals in order of the genres' first appearance in the table.
+        ranks = genre_order(_bucketed(parts.where(F.col("part") == "table"), chosen)).withColumnRenamed("genre", "_genre")
+        totals = parts.where(F.col("part") == "totals").select("genre", "minsplayed")
+        totals = totals.join(ranks, F.col("genre").eqNullSafe(F.col("_genre")), "left")
+        return totals.orderBy("minsplayed", "genre_rank").select("genre", "minsplayed")
+    if part not in PARTS:
+        raise ValueError(f"a part is one of {', '.join(PARTS)}, not {part}")
+    # Only months have a chart of their own.
+    rows = parts.where(F.col("part") == (part if chosen == "month" else "table"))
+    return largest_first(_bucketed(rows, chosen))
+
+
+def _bucketed(rows: DataFrame, chosen: str) -> DataFrame:
+    bucket = {
+        "hour": F.col("bucket").alias("Time"),
+        "day": F.col("bucket").cast("date").alias("Date"),
+        "month": F.trunc(F.col("bucket").cast("date"), "month").alias("Month"),
+    }[chosen]
+    return rows.select(bucket, "genre", "minsplayed")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from playlog.functions.days import Moment, as_minute
@@ -37,6 +38,42 @@ def page(table: DataFrame, number: int, order: Sequence[str | Column], size: int
     return table.orderBy(*order).offset(number * size).limit(size)
 
 
+@dataclass(frozen=True)
+class SortKey:
+    """A column of an order; nulls come last either way."""
+
+    name: str
+    descending: bool = False
+
+    def order(self) -> Column:
+        return F.desc_nulls_last(self.name) if self.descending else F.asc_nulls_last(self.name)
+
+    def same(self, value: object) -> Column:
+        return F.col(self.name).eqNullSafe(F.lit(value))
+
+    def after(self, value: object) -> Column:
+        """Whether a row comes later by this column than a value."""
+        if value is None:
+            return F.lit(False)
+        column = F.col(self.name)
+        later = column < F.lit(value) if self.descending else column > F.lit(value)
+        return F.coalesce(later, F.lit(False)) | column.isNull()
+
+
+def next_page(table: DataFrame, keys: Sequence[SortKey], last: Row | None = None, size: int = 10) -> DataFrame:
+    """The page after the row ``last``, or the first one: a top-k of ``size`` rows, however far the page is.
+
+    The keys must tell all rows apart. Unlike an offset, no earlier page is read again, and rows added or removed before it
+    meanwhile shift nothing.
+    """
+    if last is not None:
+        later = F.lit(False)
+        for key in reversed(keys):
+            later = key.after(last[key.name]) | (key.same(last[key.name]) & later)
+        table = table.where(later)
+    return table.orderBy(*[key.order() for key in keys]).limit(size)
+
+
 def display_table(table: DataFrame) -> DataFrame:
     """A bucket table with its bucket as shown to people, and the label of its chart axis.
 

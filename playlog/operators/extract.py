@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from playlog.functions.days import Day, day_range, parse_day, report_day
-from playlog.functions.keys import date_number, day_number, within_days
+from playlog.functions.keys import date_number, day_number, number_day, within_days
 from playlog.functions.minutes import shown, sum_minutes
 from playlog.messages import REPORT_EMPTY, REPORT_FOUND, REPORT_NONE, REPORT_READY
 
@@ -52,6 +52,39 @@ def daily_coverage(source: DataFrame, customer: str, start: Day, end: Day) -> Da
     )
 
 
+# Requests spread over more days than this are spread over blocks of days instead, where these are far fewer.
+SPREAD_DAYS = BROADCAST_ROWS
+_DAY_ZERO = 719_162  # days from 0001-01-01 to 1970-01-01, so that the numbers of all days are positive
+_LEVELS = 22  # blocks of up to so many doublings hold all days there are
+
+
+def day_index(day: Column) -> Column:
+    """Days since 0001-01-01."""
+    return F.unix_date(day) + _DAY_ZERO
+
+
+def day_blocks(first: Column, last: Column) -> Column:
+    """The blocks of days that make up a range, as an array of ``level, block``.
+
+    A block of a level holds the ``2 ** level`` days whose index, without its last ``level`` bits, is its number. A range has
+    at most two blocks of each level, one at either end, so ten years are 22 blocks at most instead of 3,650 days.
+    """
+    start, end = day_index(first), day_index(last) + 1
+
+    def of_level(level: Column) -> Column:
+        size = F.call_function("shiftleft", F.lit(1), level)
+        # What is left of the range when all smaller blocks are taken off, counted in blocks of this level.
+        low = F.floor((start + size - 1) / size).cast("int")
+        high = F.floor(end / size).cast("int")
+        odd_low, odd_high = low % 2 == 1, high % 2 == 1
+        block = [F.struct(level.alias("level"), number.alias("block")) for number in (low, high - 1)]
+        at_low = F.when(odd_low & (low < high), F.array(block[0])).otherwise(F.array())
+        at_high = F.when(odd_high & (low + odd_low.cast("int") < high), F.array(block[1])).otherwise(F.array())
+        return F.concat(at_low, at_high)
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(_LEVELS)), of_level))
+
+
 @dataclass(frozen=True)
 class RequestDays:
     """Requests spread over their days, one row per request and day, and what is known of them as a whole."""
@@ -62,6 +95,17 @@ class RequestDays:
     small: bool
     customers: DataFrame | None
     """The requested customers, where the requests are not small but these are."""
+    blocks: DataFrame | None = None
+    """One row per request and block of days, where days are many: joins go by these."""
+    levels: tuple[int, ...] = ()
+    small_blocks: bool = False
+
+    def _in_blocks(self, plays: DataFrame) -> DataFrame:
+        """Plays once for each level that a request has a block of."""
+        index = day_index(number_day(F.col("day_number")))
+        blocks = [F.struct(F.lit(level).alias("level"), F.shiftright(index, level).alias("block")) for level in self.levels]
+        named = [F.col(f"`{name}`") for name in plays.columns]
+        return plays.select(*named, F.explode(F.array(*blocks)).alias("_in")).select(*named, "_in.level", "_in.block")
 
     def join(self, plays: DataFrame) -> DataFrame:
         """Plays, or sums of plays, with the requests they belong to.
@@ -69,8 +113,13 @@ class RequestDays:
         Customer and day together are the join key: a play meets only requests that hold it, never all requests of
         its customer, and a customer with a large part of the plays is spread over its days. Small requests are
         broadcast, so that plays are not shuffled; others go through a shuffle join, where adaptive execution splits
-        the partitions that are still too large.
+        the partitions that are still too large. Where requests are long, blocks of days take the place of days: a play is
+        looked up once for each size of block, and belongs to a request by exactly one of them.
         """
+        if self.blocks is not None:
+            blocks = F.broadcast(self.blocks) if self.small_blocks else self.blocks
+            keys = ["customerID", "level", "block"]
+            return self._in_blocks(plays).join(blocks, keys, "inner").drop("level", "block")
         days = F.broadcast(self.days) if self.small else self.days
         return plays.join(days, ["customerID", "day_number"], "inner")
 
@@ -103,21 +152,42 @@ def _fits(measured: Row) -> bool:
     return measured["n"] <= BROADCAST_ROWS and measured["size"] <= BROADCAST_BYTES
 
 
-def request_days(requests: DataFrame) -> RequestDays:
+def request_days(requests: DataFrame, spread: str = "auto") -> RequestDays:
     """Spread requests over their days and measure them: single aggregated rows come to the driver.
 
-    A request without dates, or with its dates reversed, has no days.
+    A request without dates, or with its dates reversed, has no days. Where requests have many days, on average far more
+    than they have blocks of days, they are joined by blocks; ``spread`` asks for ``days`` or ``blocks`` instead.
     """
+    if spread not in ("auto", "days", "blocks"):
+        raise ValueError(f"spread is auto, days or blocks, not {spread}")
     requests = typed_requests(requests).where(F.col("from") <= F.col("to"))
     days = requests.select("dataset", "customerID", F.explode(F.sequence("from", "to")).alias("request_day"))
     days = days.withColumn("day_number", date_number(F.col("request_day")))
-    measured = _measure(days, F.min("request_day").alias("first"), F.max("request_day").alias("last"))
-    small = _fits(measured)
-    customers = None
-    if not small:
-        distinct = requests.select("customerID").distinct()
-        customers = distinct if _fits(_measure(distinct)) else None
-    return RequestDays(days, measured["first"], measured["last"], small, customers)
+    length = F.datediff("to", "from") + 1
+    whole = _measure(
+        requests,
+        F.min("from").alias("first"),
+        F.max("to").alias("last"),
+        F.coalesce(F.sum(length), F.lit(0)).alias("days"),
+        F.coalesce(F.max(length), F.lit(0)).alias("longest"),
+    )
+    by_blocks = spread == "blocks" or (
+        spread == "auto" and whole["days"] > SPREAD_DAYS and whole["days"] > whole["n"] * 4 * whole["longest"].bit_length()
+    )
+    if by_blocks and whole["n"]:
+        blocks = requests.select("dataset", "customerID", F.explode(day_blocks(F.col("from"), F.col("to"))).alias("_in"))
+        blocks = blocks.select("dataset", "customerID", "_in.level", "_in.block")
+        measured = _measure(blocks, F.collect_set("level").alias("levels"))
+        levels = tuple(sorted(measured["levels"]))
+        return RequestDays(days, whole["first"], whole["last"], False, _small_customers(requests), blocks, levels, _fits(measured))
+    # The day's number and date, and the width of the texts, which each day repeats.
+    small = whole["days"] <= BROADCAST_ROWS and _fits(_measure(days))
+    return RequestDays(days, whole["first"], whole["last"], small, None if small else _small_customers(requests))
+
+
+def _small_customers(requests: DataFrame) -> DataFrame | None:
+    distinct = requests.select("customerID").distinct()
+    return distinct if _fits(_measure(distinct)) else None
 
 
 def _plays_of(source: DataFrame, wanted: RequestDays) -> DataFrame:
@@ -126,9 +196,9 @@ def _plays_of(source: DataFrame, wanted: RequestDays) -> DataFrame:
     return plays.withColumn("day_number", day_number(source))
 
 
-def batch_extract(source: DataFrame, requests: DataFrame) -> DataFrame:
+def batch_extract(source: DataFrame, requests: DataFrame, spread: str = "auto") -> DataFrame:
     """The plays of every request, led by ``dataset``. A play held by several requests is there once for each."""
-    wanted = request_days(requests)
+    wanted = request_days(requests, spread)
     plays = _plays_of(source, wanted)
     if not wanted.small:
         plays = wanted.asked(plays)
@@ -141,19 +211,19 @@ def _daily_sums(source: DataFrame, wanted: RequestDays) -> DataFrame:
     return sum_minutes(wanted.asked(_plays_of(source, wanted)), keys, zero=False, count="n")
 
 
-def request_counts(source: DataFrame, requests: DataFrame) -> DataFrame:
+def request_counts(source: DataFrame, requests: DataFrame, spread: str = "auto") -> DataFrame:
     """``dataset, n_rows, minsplayed`` of the requests that have plays.
 
     Plays are first combined per customer and day; only those sums meet the requests.
     """
-    wanted = request_days(requests)
+    wanted = request_days(requests, spread)
     sums = wanted.join(_daily_sums(source, wanted)).groupBy("dataset")
     return shown(sums.agg(F.sum("n").alias("n_rows"), F.sum("minsplayed").alias("minsplayed")))
 
 
 def batch_coverage(source: DataFrame, requests: DataFrame) -> DataFrame:
     """``dataset, customerID, day, n_rows, has_data`` for every day of every request."""
-    wanted = request_days(requests)
+    wanted = request_days(requests, "days")
     n_rows = F.coalesce("n", F.lit(0).cast("bigint"))
     return wanted.days.join(_daily_sums(source, wanted), ["customerID", "day_number"], "left").select(
         "dataset",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playlog.operators.extract import dataset_id
-from playlog.sources.plays import read_events
+from playlog.sources.plays import read_events, read_lineitem
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,17 @@ def late_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def long_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One request per supplier of ``lineitem``: from its first day on, for up to seven years."""
+    suppliers = read_lineitem(spark, sf_dir).groupBy("l_suppkey").agg(F.to_date(F.min("l_shipdate")).alias("from"))
+    return suppliers.select(
+        F.concat(F.lit("supplier"), F.col("l_suppkey").cast("string")).alias("dataset"),
+        F.col("l_suppkey").cast("string").alias("customerID"),
+        "from",
+        F.date_add("from", (F.col("l_suppkey") * 37 % 2_500).cast("int")).alias("to"),
+    )
+
+
 def typed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The late requests as typed texts, with mistakes spread over the users."""
     user = F.col("customerID").cast("bigint")

@@ -110,10 +110,10 @@ SELECT * EXCLUDE (start_at, end_at, known),
 FROM checked"""
 
 
-def _request_sums(requests: str) -> str:
+def _request_sums(requests: str, plays: str = EVENT_PLAYS) -> str:
     return f"""
 SELECT dataset, count(*) AS n_rows, CAST(sum(minsplayed) AS DOUBLE) AS minsplayed
-FROM ({requests}) requests JOIN ({EVENT_PLAYS}) plays
+FROM ({requests}) requests JOIN ({plays}) plays
   ON plays."customerID" = requests."customerID" AND CAST(ts AS DATE) BETWEEN "from" AND "to"
 GROUP BY dataset"""
 
@@ -200,6 +200,24 @@ SELECT strftime(made, '%Y-%m-%d %H:%M:%S') AS "timestamp", "user", email, "custo
        CAST("from" AS VARCHAR) AS "from", CAST("to" AS VARCHAR) AS "to"
 FROM ({REQUESTS}) requests"""
 
+LONG_REQUESTS = """
+SELECT 'supplier' || l_suppkey AS dataset, CAST(l_suppkey AS VARCHAR) AS "customerID", CAST(min(l_shipdate) AS DATE) AS "from",
+       CAST(min(l_shipdate) AS DATE) + CAST(l_suppkey * 37 % 2500 AS INTEGER) AS "to"
+FROM lineitem GROUP BY l_suppkey"""
+
+
+def _parts(table: str, series: str | None, plays: str, start: str, end: str) -> str:
+    """Table, chart and totals of a range, a query for each."""
+    bucket = next(name for name in ('"Time"', '"Date"') if name in table)
+    chart = f"""
+UNION ALL SELECT 'series', CAST("Month" AS TIMESTAMP), genre, minsplayed FROM ({series}) series""" if series else ""
+    return f"""
+SELECT 'table' AS part, CAST({bucket} AS TIMESTAMP) AS bucket, genre, minsplayed FROM ({table}) days{chart}
+UNION ALL
+SELECT 'totals', CAST(NULL AS TIMESTAMP), genre, coalesce(CAST(sum(minsplayed) AS DOUBLE), 0) FROM ({plays}) plays
+WHERE CAST(ts AS DATE) BETWEEN DATE '{start}' AND DATE '{end}' GROUP BY genre"""
+
+
 ORACLE: dict[str, str] = {
     "daily_minutes": DAILY,
     "hourly_minutes": HOURLY,
@@ -229,6 +247,11 @@ SELECT month("Month") || '/' || year("Month") AS "Month", strftime("Month", '%b'
 FROM ({MONTHLY}) months""",
     "top_page": f'{DAILY} ORDER BY minsplayed DESC NULLS LAST, "Date", genre LIMIT 10',
     "next_page": f'{DAILY} ORDER BY minsplayed DESC NULLS LAST, "Date", genre LIMIT 10 OFFSET 10',
+    "seek_page": f'{DAILY} ORDER BY minsplayed DESC NULLS LAST, "Date", genre LIMIT 10 OFFSET 20',
+    "all_parts": _parts(
+        _sums(LINEITEM_PLAYS, _DAY, "Date", *_YEAR, zero=False), _sums(LINEITEM_PLAYS, _MONTH, "Month", *_YEAR), LINEITEM_PLAYS, *_YEAR
+    ),
+    "all_parts_by_hour": _parts(HOURS_OF_DAY, None, EVENT_PLAYS, "2024-01-10", "2024-01-10"),
     "raw_window": WINDOW,
     "validate_requests": VALIDATED,
     "accepted_reads": f'SELECT dataset, "timestamp", "user", import_from, import_to FROM ({ACCEPTED}) accepted',
@@ -236,6 +259,21 @@ FROM ({MONTHLY}) months""",
 {EVENT_ROWS} WHERE "customerID" = '149' AND CAST(ts AS DATE) BETWEEN DATE '2024-01-08' AND DATE '2024-01-21'""",
     "source_extract": f"""
 {KEYED_ROWS} WHERE "customerID" = '149' AND ymd BETWEEN '2024-01-08' AND '2024-01-21'""",
+    "clustered_extract": f"""
+{KEYED_ROWS} WHERE "customerID" = '149' AND ymd BETWEEN '2024-01-08' AND '2024-01-21'""",
+    "long_extract": f"""
+SELECT dataset, "customerID", genre, CAST(minsplayed AS DOUBLE) AS minsplayed, ts
+FROM ({_request_rows(LONG_REQUESTS, LINEITEM_PLAYS)}) extracts""",
+    "long_counts": _request_sums(LONG_REQUESTS, LINEITEM_PLAYS),
+    "mixed_layouts": _sums(
+        f"""
+SELECT * REPLACE (CASE WHEN CAST(ts AS DATE) BETWEEN DATE '2024-01-11' AND DATE '2024-01-20'
+                       THEN CAST(floor(minsplayed) AS DECIMAL(18,2)) ELSE minsplayed END AS minsplayed)
+FROM ({EVENT_PLAYS}) plays""",
+        _DAY,
+        "Date",
+        *_MONTH_LENGTH,
+    ),
     "daily_coverage": f"""
 WITH spine AS (
   SELECT CAST(day AS DATE) AS day

@@ -17,7 +17,7 @@ from playlog.session import work_folder
 from playlog.sinks import datasets, text
 from playlog.sinks.store import pack, publish
 from playlog.sources import store
-from playlog.sources.plays import events_plays, lineitem_plays, load_plays
+from playlog.sources.plays import events_plays, lineitem_plays, load_groups, load_plays
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -109,6 +109,25 @@ def raw_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(export.raw_window(plays, "2024-01-10 08:00", "2024-01-10 14:00", EXPORT_COLUMNS))
 
 
+def seek_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third page of the day rows, each found after the last row of the one before."""
+    keys = [export.SortKey("minsplayed", descending=True), export.SortKey("Date"), export.SortKey("genre")]
+    table, last = daily_minutes(spark, sf_dir), None
+    for _ in range(2):
+        rows = export.next_page(table, keys, last).collect()
+        last = rows[-1] if rows else last
+    return export.next_page(table, keys, last)
+
+
+def all_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Table, chart and totals of a year, in one pass."""
+    return aggregate.all_parts(lineitem_plays(spark, sf_dir), "1998-01-01", "1998-12-31")
+
+
+def all_parts_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregate.all_parts(events_plays(spark, sf_dir), "2024-01-10", "2024-01-10")
+
+
 # --- validation -----------------------------------------------------------------------------------------------------
 
 
@@ -149,6 +168,21 @@ def source_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(extract.customer_extract(source, *CUSTOMER).select(PLAYS.fieldNames()))
 
 
+def clustered_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One customer out of a source that is clustered by customers inside its days."""
+    source = spark.read.parquet(datasets.write_source(events_plays(spark, sf_dir), work_folder(spark, "clustered")))
+    return shown(extract.customer_extract(source, *CUSTOMER).select(PLAYS.fieldNames()))
+
+
+def long_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plays of requests that are years long, found by blocks of days."""
+    return shown(extract.batch_extract(lineitem_plays(spark, sf_dir), inputs.long_requests(spark, sf_dir), "blocks"))
+
+
+def long_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.request_counts(lineitem_plays(spark, sf_dir), inputs.long_requests(spark, sf_dir), "blocks")
+
+
 def source_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plays of all requests out of the partitioned source, of which only requested days are read."""
     source = _partitioned(spark, sf_dir, "batch")
@@ -221,6 +255,21 @@ def double_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.withColumn("minsplayed", F.round("minsplayed", 6))
 
 
+def mixed_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Day sums of plays stored in three layouts: as now, whole minutes under their older name, and wide decimals."""
+    groups = []
+    for number, part in enumerate(_parts(spark, sf_dir)):
+        rows = with_text_keys(part).drop("ts")
+        if number == 1:
+            rows = rows.withColumn("minsplayed", F.floor("minsplayed").cast("decimal(29,0)"))
+            rows = rows.withColumnRenamed("minsplayed", "minutes_played")
+        if number == 2:
+            rows = rows.withColumn("minsplayed", F.col("minsplayed").cast("decimal(30,4)"))
+        groups.append(work_folder(spark, f"layout-{number}"))
+        rows.write.parquet(groups[-1])
+    return aggregate.daily_minutes(load_groups(spark, groups), *EVENTS)
+
+
 def cached_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Day sums of a cached view that replaced an earlier one of the same name."""
     path = _written_events(spark, sf_dir, "cached")
@@ -375,11 +424,17 @@ QUERIES: dict[str, Query] = {
         display_table_months,
         top_page,
         next_page,
+        seek_page,
+        all_parts,
+        all_parts_by_hour,
         raw_window,
         validate_requests,
         accepted_reads,
         customer_extract,
         source_extract,
+        clustered_extract,
+        long_extract,
+        long_counts,
         source_batch,
         source_coverage,
         source_window,
@@ -392,6 +447,7 @@ QUERIES: dict[str, Query] = {
         write_roundtrip,
         append_roundtrip,
         double_minutes,
+        mixed_layouts,
         cached_view,
         load_range,
         loaded_hours,

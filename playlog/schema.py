@@ -35,6 +35,9 @@ PLAYS = T.StructType(
     ]
 )
 
+# The name that the measure had in an older layout, by its present one.
+OLDER_NAMES = {"minsplayed": "minutes_played"}
+
 # Headers of the two append-only logs.
 REQUEST_LOG = ["timestamp", "user", "email", "customerID", "from", "to"]
 READ_LOG = ["timestamp", "user", "datasetID", "from", "to"]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,7 +12,7 @@ from pyspark.sql import types as T
 
 from playlog.functions.days import Day, day_range
 from playlog.functions.keys import within_days
-from playlog.schema import MINUTES_TYPE, PLAYS
+from playlog.schema import MINUTES_TYPE, OLDER_NAMES, PLAYS
 
 
 def play_source(spark: SparkSession, table: str) -> DataFrame:
@@ -28,8 +31,9 @@ def load_plays(
     """A stored dataset as a text-keyed plays frame, optionally cut to a range of days.
 
     With ``view`` the frame is registered under that name, replacing what the name stood for before; with ``cache``
-    the view is kept in memory (and on disk) from its first use on. Caching is off by default: a cached frame is read
-    whole, an uncached one lets filters and column picks reach the scan.
+    the view is kept in memory (and on disk) from its first use on. Caching is off by default: an uncached frame lets filters
+    and column picks reach the scan. A cached one is kept in order of time, by ranges of it, so that a later range of days
+    skips the batches, and a window of minutes most of them, by their smallest and largest keys.
     """
     plays = conform(spark.read.parquet(path))
     if start is not None or end is not None:
@@ -39,6 +43,8 @@ def load_plays(
     if view is not None:
         if spark.catalog.tableExists(view) and spark.catalog.isCached(view):
             spark.catalog.uncacheTable(view)
+        if cache:
+            plays = plays.repartitionByRange("ymd", "ymdhm").sortWithinPartitions("ymd", "ymdhm")
         plays.createOrReplaceTempView(view)
         if cache:
             spark.catalog.cacheTable(view, StorageLevel.MEMORY_AND_DISK)
@@ -46,13 +52,58 @@ def load_plays(
     return plays
 
 
+def load_groups(spark: SparkSession, paths: Sequence[str], start: Day | None = None, end: Day | None = None) -> DataFrame:
+    """Groups of files, each of one layout, as one text-keyed plays frame, optionally cut to a range of days.
+
+    A group may have the measure under its older name, and minutes as whole numbers, decimals of any width, or floating. All
+    are widened to the narrowest decimal that holds each of them; with a floating group, or past 38 digits, to double.
+    """
+    groups = [load_plays(spark, path, start, end) for path in paths]
+    kinds = [group.schema["minsplayed"].dataType for group in groups]
+    kind = reduce(wider_minutes, kinds)
+    widened = [group.withColumn("minsplayed", F.col("minsplayed").cast(kind)) for group in groups]
+    return reduce(DataFrame.unionByName, widened)
+
+
+_DIGITS = {T.ByteType(): 3, T.ShortType(): 5, T.IntegerType(): 10, T.LongType(): 19}
+
+
+def wider_minutes(one: T.DataType, other: T.DataType) -> T.DataType:
+    """The narrowest type that holds the minutes of two."""
+    if one == other:
+        return one
+    shapes = []
+    for kind in (one, other):
+        if isinstance(kind, T.DecimalType):
+            shapes.append((kind.precision - kind.scale, kind.scale))
+        elif kind in _DIGITS:
+            shapes.append((_DIGITS[kind], 0))
+        else:
+            return T.DoubleType()
+    whole, scale = (max(own) for own in zip(*shapes, strict=True))
+    return T.DecimalType(whole + scale, scale) if whole + scale <= 38 else T.DoubleType()
+
+
+def present_names(stored: DataFrame) -> DataFrame:
+    """A stored frame with its measure under the present name; where files of both layouts were merged, from either."""
+    for name, older in OLDER_NAMES.items():
+        if older in stored.columns and name not in stored.columns:
+            stored = stored.withColumnRenamed(older, name)
+        elif older in stored.columns:
+            kind = wider_minutes(*(stored.schema[column].dataType for column in (name, older)))
+            stored = stored.withColumn(name, F.coalesce(F.col(name).cast(kind), F.col(older).cast(kind))).drop(older)
+    return stored
+
+
 def conform(stored: DataFrame) -> DataFrame:
     """Check a stored frame against the plays schema and return its columns in that form.
 
     A day key read from folder names arrives as a date (or as void, where no play has a day) and becomes text again;
     filters on it still prune partitions.
-    Minutes keep their width when they are whole numbers or decimals; floating ones stay doubles, and are summed as such.
+    The measure may have its older name. Minutes keep their width when they are whole numbers or decimals; floating ones stay
+    doubles, and are summed as such: the last digits of their sums depend on the order of the rows.
     """
+    stored = present_names(stored)
     missing = [name for name in PLAYS.fieldNames() if name not in stored.columns]
     if missing:
         raise ValueError(f"not a plays dataset, columns missing: {', '.join(missing)}")

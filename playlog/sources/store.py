@@ -80,7 +80,9 @@ def dataset_listing(spark: SparkSession, root: str) -> DataFrame:
 
 def dataset_catalog(spark: SparkSession, root: str) -> DataFrame:
     """One row per dataset: customer, rows, days with data, first and last day; a dataset without plays has 0 rows."""
-    days = manifest(spark, root).groupBy("dataset", "ymd").agg(F.sum("n_rows").alias("n"), F.min("customerID").alias("customerID"))
+    # Summed by customer first: a minimum of text makes Spark sort, and this leaves it few rows.
+    counted = manifest(spark, root).groupBy("dataset", "ymd", "customerID").agg(F.sum("n_rows").alias("n"))
+    days = counted.groupBy("dataset", "ymd").agg(F.sum("n").alias("n"), F.min("customerID").alias("customerID"))
     return days.groupBy("dataset").agg(
         F.min("customerID").alias("customerID"),
         F.sum("n").alias("n_rows"),
@@ -116,7 +118,7 @@ def known_coverage(requests: DataFrame, entries: DataFrame) -> DataFrame:
 
     The plays themselves are not read: the counts per customer and day were taken when they were written.
     """
-    wanted = request_days(requests)
+    wanted = request_days(requests, "days")
     day = F.col("ymd").try_cast("date")
     number = F.year(day) * 10000 + F.month(day) * 100 + F.dayofmonth(day)
     sums = entries.select("customerID", number.alias("day_number"), "n_rows").groupBy("customerID", "day_number")

@@ -1,0 +1,244 @@
+"""Blocks of days, clustered sources and caches, older layouts, pages after a row, all parts of a range at once."""
+
+from __future__ import annotations
+
+import datetime as dt
+import random
+from collections import Counter
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from helpers import plan, text_keyed, timestamped, values
+from playlog.operators import aggregate, export, extract
+from playlog.operators.export import SortKey
+from playlog.sinks import datasets
+from playlog.sources.plays import load_groups, load_plays, wider_minutes
+
+
+def rows_scanned(frame):
+    """Rows that the scans of a plan gave out when it ran."""
+    frame.collect()
+    left, found = [frame._jdf.queryExecution().executedPlan()], 0
+    while left:
+        node = left.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            left.append(node.executedPlan())
+            continue
+        if name.endswith("QueryStageExec"):
+            left.append(node.plan())
+            continue
+        if name in ("FileSourceScanExec", "InMemoryTableScanExec"):
+            found += node.metrics().apply("numOutputRows").value()
+            continue
+        children = node.children()
+        left += [children.apply(k) for k in range(children.size())]
+    return found
+
+
+# --- blocks of days ---
+
+
+def test_blocks_cover_a_range_exactly(spark):
+    draw = random.Random(1)
+    zero = dt.date(1, 1, 1)
+    ranges = [(0, 0), (0, 1), (1, 1), (1, 2), (0, 3_652_058), (719_162, 719_162 + 3_650)]
+    ranges += [(start, start + draw.randrange(5_000)) for start in (draw.randrange(1_000_000) for _ in range(200))]
+    frame = spark.createDataFrame(
+        [(k, zero + dt.timedelta(a), zero + dt.timedelta(b)) for k, (a, b) in enumerate(ranges)], "k int, first date, last date"
+    )
+    found = frame.select("k", extract.day_blocks(F.col("first"), F.col("last")).alias("blocks")).collect()
+    for row in found:
+        first, last = ranges[row["k"]]
+        spans = sorted((block["block"] << block["level"], (block["block"] + 1) << block["level"]) for block in row["blocks"])
+        assert spans[0][0] == first and spans[-1][1] == last + 1
+        assert all(one[1] == other[0] for one, other in zip(spans, spans[1:], strict=False))
+        assert len(spans) <= 2 * (last - first + 1).bit_length()
+
+
+@pytest.fixture(scope="module")
+def long_plays(spark):
+    draw = random.Random(2)
+    rows = [
+        (str(draw.randrange(4)), "news", str(draw.randrange(9)), f"20{draw.randrange(10, 21)}-{draw.randrange(1, 13):02d}-{draw.randrange(1, 29):02d} 10:00:00")
+        for _ in range(3_000)
+    ]
+    return timestamped(spark, rows + [("1", "film", None, None)])
+
+
+@pytest.fixture(scope="module")
+def long_requests(spark):
+    rows = [(f"r{k}", str(k % 5), f"20{10 + k % 9}-03-{k % 28 + 1:02d}", f"20{11 + k % 9}-12-31") for k in range(40)]
+    rows += [("all", "1", "20100101", "20201231"), ("day", "2", "20150505", "20150505"), ("back", "1", "20200101", "20100101"), ("none", "1", "x", "20200101")]
+    return spark.createDataFrame(rows, "dataset string, customerID string, from string, to string")
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 10])
+def test_blocks_give_the_rows_of_days(monkeypatch, long_plays, long_requests, limit):
+    monkeypatch.setattr(extract, "BROADCAST_ROWS", limit)
+    assert extract.request_days(long_requests, "blocks").small_blocks == (limit > 10)
+    for keyed in (False, True):
+        source = datasets.stored(long_plays) if keyed else long_plays
+        by_blocks = extract.batch_extract(source, long_requests, "blocks")
+        by_days = extract.batch_extract(source, long_requests, "days")
+        assert by_blocks.columns == by_days.columns
+        assert Counter(values(by_blocks)) == Counter(values(by_days))
+        counts = [Counter(values(extract.request_counts(source, long_requests, spread))) for spread in ("days", "blocks", "auto")]
+        assert counts[0] == counts[1] == counts[2]
+    with pytest.raises(ValueError, match="spread"):
+        extract.batch_extract(long_plays, long_requests, "weeks")
+
+
+def test_long_requests_are_few_rows(spark, monkeypatch):
+    """Requests of a hundred years each: a row per day would be 36,525 of them."""
+    monkeypatch.setattr(extract, "SPREAD_DAYS", 1_000)
+    requests = spark.createDataFrame([(str(k), str(k), f"19{k:02d}-01-02", f"20{k:02d}-01-01") for k in range(50)], "dataset string, customerID string, from string, to string")
+    wanted = extract.request_days(requests)
+    assert wanted.blocks.count() <= 50 * 2 * 16 and wanted.small_blocks
+    assert len(wanted.levels) <= 16
+    short = requests.withColumn("to", F.col("from"))
+    assert extract.request_days(short).blocks is None
+
+
+# --- clustered sources and caches ---
+
+
+def many_customers(spark, n=60_000):
+    return spark.range(n).select(
+        (F.col("id") * 7919 % 3_000).cast("string").alias("customerID"),
+        F.sha2(F.col("id").cast("string"), 256).alias("genre"),
+        F.lit(1).cast("decimal(18,2)").alias("minsplayed"),
+        F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(cast(id % 4 as int), 0, cast(id % 1440 as int), 0)").alias("ts"),
+    )
+
+
+def test_one_customer_skips_row_groups(spark, tmp_path):
+    plays = many_customers(spark)
+    path = datasets.write_source(plays, str(tmp_path / "clustered"), customers=3_000, row_group_bytes=64 << 10)
+    source = spark.read.parquet(path)
+    assert source.count() == 60_000
+    wanted = extract.customer_extract(source, "1234", "2024-01-01", "2024-01-03")
+    expected = extract.customer_extract(plays, "1234", "2024-01-01", "2024-01-03").count()
+    assert "PushedFilters: [IsNotNull(customerID), EqualTo(customerID,1234)]" in plan(wanted)
+    assert 0 < expected == wanted.count()
+    assert rows_scanned(wanted) < 60_000 / 20
+    # No file holds this customer, though many hold a range around it: the Bloom filter rules all of them out.
+    assert rows_scanned(extract.customer_extract(source, "1234x", "2024-01-01", "2024-01-04")) == 0
+    assert {p.parent.parent.parent.name for p in (tmp_path / "clustered").rglob("*.parquet")} == {"year=2024"}
+
+
+def test_cached_days_skip_batches(spark, tmp_path):
+    path = datasets.write_dataset(many_customers(spark), str(tmp_path), "a")
+    load_plays(spark, path, view="ordered", cache=True)
+    try:
+        whole = aggregate.daily_minutes(spark.table("ordered"), "2024-01-01", "2024-01-04")
+        assert rows_scanned(whole) == 60_000
+        one = aggregate.daily_minutes(spark.table("ordered"), "2024-01-02", "2024-01-02")
+        assert 15_000 <= rows_scanned(one) <= 40_000
+        assert one.agg(F.sum("minsplayed")).first()[0] == 15_000
+    finally:
+        spark.catalog.uncacheTable("ordered")
+        spark.catalog.dropTempView("ordered")
+
+
+# --- older layouts ---
+
+ROWS = [("612", "news", "1.50", "2024-01-08 00:00:00"), ("612", "film", "2.00", "2024-01-09 09:30:59"), ("7", None, None, "2024-01-10 23:59:59")]
+
+
+def test_wider_minutes():
+    decimal = T.DecimalType
+    assert wider_minutes(decimal(18, 2), decimal(29, 0)) == decimal(31, 2)
+    assert wider_minutes(decimal(18, 2), T.IntegerType()) == decimal(18, 2)
+    assert wider_minutes(T.LongType(), decimal(5, 4)) == decimal(23, 4)
+    assert wider_minutes(decimal(38, 0), decimal(18, 2)) == wider_minutes(T.FloatType(), T.LongType()) == T.DoubleType()
+    assert wider_minutes(T.IntegerType(), T.IntegerType()) == T.IntegerType()
+
+
+def test_groups_of_several_layouts(spark, tmp_path):
+    rows = text_keyed(spark, ROWS)
+    older = rows.withColumn("minutes_played", F.col("minsplayed").cast("decimal(29,0)")).drop("minsplayed")
+    rows.write.parquet(str(tmp_path / "now"))
+    older.write.parquet(str(tmp_path / "older"))
+    rows.withColumn("minsplayed", F.col("minsplayed").cast("int")).write.parquet(str(tmp_path / "whole"))
+    assert Counter(row["minsplayed"] and float(row["minsplayed"]) for row in load_plays(spark, str(tmp_path / "older")).collect()) == Counter([2.0, 2.0, None])
+    mixed = load_groups(spark, [str(tmp_path / name) for name in ("now", "older", "whole")])
+    assert mixed.schema["minsplayed"].dataType == T.DecimalType(31, 2)
+    days = {row["Date"].day: row["minsplayed"] for row in aggregate.daily_minutes(mixed, "2024-01-08", "2024-01-10").collect()}
+    assert days == {8: 1.5 + 2 + 1, 9: 6.0, 10: 0.0}
+    assert load_groups(spark, [str(tmp_path / "now"), str(tmp_path / "older")], "2024-01-09", "2024-01-09").count() == 2
+    # Files of both layouts in one folder, their footers merged.
+    both = spark.read.option("mergeSchema", True).parquet(str(tmp_path / "now"), str(tmp_path / "older"))
+    from playlog.sources.plays import conform
+
+    assert conform(both).agg(F.sum("minsplayed")).first()[0] == 7.5
+
+
+# --- pages after a row ---
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 3)), st.one_of(st.none(), st.sampled_from("ab"))), max_size=30), st.booleans())
+def test_pages_after_a_row(spark, rows, descending):
+    frame = spark.createDataFrame([(*row, k) for k, row in enumerate(rows)], "n int, text string, k int")
+    keys = [SortKey("n", descending), SortKey("text"), SortKey("k")]
+    expected = frame.orderBy(*[key.order() for key in keys]).collect()
+    found, last = [], None
+    while page := export.next_page(frame, keys, last, size=7).collect():
+        found += page
+        last = page[-1]
+    assert found == expected
+
+
+def test_a_late_page_is_a_small_top_k(spark):
+    table = spark.range(1_000).withColumn("n", F.col("id") % 10)
+    keys = [SortKey("n", descending=True), SortKey("id")]
+    last = export.page(table, 40, [key.order() for key in keys]).collect()[-1]
+    late = export.next_page(table, keys, last)
+    assert "TakeOrderedAndProject(limit=10," in plan(late)
+    assert late.collect() == export.page(table, 41, [key.order() for key in keys]).collect()
+
+
+# --- all parts of a range ---
+
+
+@pytest.mark.parametrize(("start", "end"), [("2024-01-08", "2024-01-08"), ("2024-01-08", "2024-01-10"), ("2024-01-01", "2024-03-31")])
+@pytest.mark.parametrize("shape", [timestamped, text_keyed])
+def test_parts_equal_their_own_queries(spark, start, end, shape):
+    rows = [
+        *ROWS,
+        ("1", "news", "2.50", "2024-01-08 00:30:00"),
+        ("1", "film", "4.00", "2024-01-08 05:30:00"),
+        ("1", "none", None, "2024-01-08 07:00:00"),
+        ("1", None, "4.00", "2024-02-01 07:00:00"),
+        ("1", "film", "9.00", "2024-02-11 07:00:00"),
+        ("1", "old", "9.00", "2023-02-11 07:00:00"),
+    ]
+    plays = shape(spark, rows)
+    parts = aggregate.all_parts(plays, start, end).cache()
+    assert plan(aggregate.all_parts(plays, start, end)).count("Exchange") == 1
+    own = {"table": aggregate.play_minutes, "series": aggregate.play_series, "totals": aggregate.genre_totals}
+    for part, query in own.items():
+        found, expected = aggregate.part_of(parts, part, start, end), query(plays, start, end)
+        assert found.dtypes == expected.dtypes
+        assert values(found) == values(expected)
+    parts.unpersist()
+    with pytest.raises(ValueError, match="part"):
+        aggregate.part_of(parts, "chart", start, end)
+
+
+# --- minute keys ---
+
+
+def test_only_whole_minute_keys_are_times(spark):
+    keys = ["2024-01-10 08:05", "2024-01-10 08", "2024-01-10 8:5", "2024-01-10 08:05:1", "2024-01-10T08:05", "2024-1-10 8:05:1"]
+    keys += ["2024-01-10", "2024-13-10 08:05", "2024-01-10 24:05", "2024-01-10 08:5 ", "+024-01-10 08:05", None, "", "2024-01-10 08:0x"]
+    frame = spark.createDataFrame([("1", "g", key, "2024-01-10") for key in keys], "customerID string, genre string, ymdhm string, ymd string")
+    from playlog.functions.keys import play_time
+
+    found = [row["ymdhm"] for row in frame.where(play_time(frame).isNotNull()).collect()]
+    assert found == ["2024-01-10 08:05"]
