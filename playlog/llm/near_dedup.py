@@ -13,12 +13,18 @@ the start of sets of several components are looked up, and all pairs across comp
 their full sets, unless their sizes or the places of the shingle rule a link out. Where many would have to meet, the
 documents with most links of their components meet all others first, so that stars fall together. Links inside a
 component are not looked for, as they change nothing.
+
+Any order will do, but rare shingles should come first, as a shingle at the start of many sets makes them all meet. The
+order starts with a guess from a sample. Then the shingles at the starts are counted, all of them: those at which many
+sets meet go to the end of the order, the more the later, and the sets that had them at their start get a new one. So
+documents that share a passage, but little else, do not meet.
 """
 
 from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +43,13 @@ PATH_BYTES = 1 + DEPTH * VALUE_BYTES  # the tree's number leads
 REGION_BYTES = 1 + LEAST_DEPTH * VALUE_BYTES
 BLOCK_ROWS = 8_192  # of a region looked at together
 REMEMBERED = 250_000
-SAMPLE = 2_000  # documents that tell which shingles are common; the order of shingles decides about time only
-COMMON = 200_000
+SLICE_ROWS = 512  # of pairs or sets that are taken apart together
+MOVED_BITS = 24  # of the bitmaps that tell which shingles were moved, 2 MB each
+SAMPLE = 10_000  # documents that tell which shingles are common; the order of shingles decides about time only
+COMMON = 500_000
 MANY = 4  # pairs to look at, for each document, from which on hubs go first
+MET = (16, 64, 512)  # sets at whose start a shingle is, from which on it goes further to the end of the order
+MOVES = 2  # how often the order is mended
 
 SIGNED = "doc_id bigint, n_shingles bigint, key binary, signature binary, start binary, parity binary"
 CANDIDATES = "a bigint, b bigint, region binary"
@@ -89,15 +99,40 @@ def signature(shingles: np.ndarray) -> bytes:
     return (least & np.uint64(0xFFFF)).astype(">u2").tobytes()
 
 
-def start_of(shingles: np.ndarray, percent: int, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The first shingles of a set, rare ones before common ones: sets that are linked share one of their firsts."""
-    known, counts = common
-    order = np.arange(len(shingles))
-    if len(known):
-        place = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
-        order = np.argsort(np.where(known[place] == shingles, counts[place], 0), kind="stable")
-    least = -(-percent * len(shingles) // 100)
-    return shingles[order[: len(shingles) - least + 1]]
+@dataclass(frozen=True)
+class Order:
+    """An order of all shingles: by how far they were moved to the end, by how many documents of a sample have them, by
+    their value. Moved shingles are told by bitmaps of a fixed size; others that meet a bit are moved with them."""
+
+    known: np.ndarray
+    counts: np.ndarray
+    moved: tuple[np.ndarray, ...] = ()
+
+    def steps(self, shingles: np.ndarray) -> np.ndarray:
+        """How far each shingle was moved."""
+        steps = np.zeros(len(shingles), np.int64)
+        for step, bitmap in enumerate(self.moved, 1):
+            bits = shingles >> np.uint64(64 - MOVED_BITS)
+            steps[(bitmap[bits >> np.uint64(3)] >> (bits & np.uint64(7)).astype(np.uint8)) & 1 == 1] = step
+        return steps
+
+    def sorted(self, shingles: np.ndarray) -> np.ndarray:
+        """The places of sorted shingles in this order."""
+        counts = np.zeros(len(shingles), np.int64)
+        if len(self.known):
+            place = np.minimum(np.searchsorted(self.known, shingles), len(self.known) - 1)
+            counts = np.where(self.known[place] == shingles, self.counts[place], 0)
+        return np.lexsort((counts, self.steps(shingles)))
+
+    def start_of(self, shingles: np.ndarray, percent: int) -> np.ndarray:
+        """The first shingles of a set: sets that are linked share one of their firsts."""
+        least = -(-percent * len(shingles) // 100)
+        return shingles[self.sorted(shingles)[: len(shingles) - least + 1]]
+
+
+def key_of(shingles: np.ndarray) -> bytes:
+    """What equal sets have in common and no others."""
+    return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
 def parity_of(shingles: np.ndarray) -> bytes:
@@ -126,8 +161,8 @@ def _tally(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBa
     _hashes.clear()
 
 
-def common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several documents of a bounded sample have, sorted, and in how many."""
+def sampled_order(docs: DataFrame, size: int) -> Order:
+    """An order by the counts of a bounded sample."""
     sample = bounded_sample(docs, "doc_id", SAMPLE).select("text")
     tallied = sample.mapInArrow(functools.partial(_tally, size=size), "shingle bigint, n bigint")
     tallied = tallied.groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 1")
@@ -135,20 +170,20 @@ def common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]
     shingles, counts = (found.column(name).to_numpy() for name in ("shingle", "n"))
     shingles = shingles.astype(np.int64).view(np.uint64)
     order = np.argsort(shingles)
-    return shingles[order], counts.astype(np.int64)[order]
+    return Order(shingles[order], counts.astype(np.int64)[order])
 
 
 def _signed(
-    batches: Iterator[pa.RecordBatch], size: int, percent: int, common: tuple[np.ndarray, np.ndarray]
+    batches: Iterator[pa.RecordBatch], size: int, percent: int, order: Order
 ) -> Iterator[pa.RecordBatch]:
     for block in blocks(batches, "text"):
         counts, keys, signatures, starts, parities = [], [], [], [], []
         for text in as_bytes(block.column("text")):
             shingles = shingle_set(text, size)
             counts.append(len(shingles))
-            keys.append(xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None)
+            keys.append(key_of(shingles) if len(shingles) else None)
             signatures.append(signature(shingles) if len(shingles) else None)
-            starts.append(start_of(shingles, percent, common).tobytes() if len(shingles) else None)
+            starts.append(order.start_of(shingles, percent).tobytes() if len(shingles) else None)
             parities.append(parity_of(shingles) if len(shingles) else None)
         yield pa.record_batch(
             {
@@ -256,17 +291,27 @@ def candidates(signed: DataFrame) -> DataFrame:
     return pairs.unionByName(over).distinct()
 
 
+def _told(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Blocks of the rows whose bit is set."""
+    for block in blocks(batches, "text"):
+        yield block.filter(pa.array(bits_set(block.column("bit"), bitmap)))
+
+
 def _sets(batches: Iterator[pa.RecordBatch], size: int, bitmap: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        batch = batch.filter(pa.array(bits_set(batch.column("bit"), bitmap)))
-        for block in blocks(iter([batch]), "text"):
-            sets = [shingle_set(text, size).tobytes() for text in as_bytes(block.column("text"))]
-            yield pa.record_batch({"id": block.column("doc_id"), "shingles": pa.array(sets, pa.binary())})
+    for block in _told(batches, bitmap):
+        sets = [shingle_set(text, size).tobytes() for text in as_bytes(block.column("text"))]
+        yield pa.record_batch({"id": block.column("doc_id"), "shingles": pa.array(sets, pa.binary())})
     _hashes.clear()
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        for start in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(start, SLICE_ROWS)
+
+
+def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    for batch in _slices(batches):
         good = []
         for one, other in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
             x, y = np.frombuffer(one, np.uint64), np.frombuffer(other, np.uint64)
@@ -294,9 +339,70 @@ def confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Dat
     )
 
 
+def _moving(batches: Iterator[pa.RecordBatch], old: Order, new: Order) -> Iterator[pa.RecordBatch]:
+    """The ids of sets that have a shingle at their start which the new order moves."""
+    for batch in _slices(batches):
+        moves = []
+        for start in batch.column("start").to_pylist():
+            shingles = np.frombuffer(start, np.uint64)
+            moves.append(bool((new.steps(shingles) > old.steps(shingles)).any()))
+        yield batch.select(["id"]).filter(pa.array(moves, pa.bool_()))
+
+
+def _restarted(
+    batches: Iterator[pa.RecordBatch], size: int, percent: int, order: Order, bitmap: np.ndarray
+) -> Iterator[pa.RecordBatch]:
+    for block in _told(batches, bitmap):
+        sets = [own for text in as_bytes(block.column("text")) if len(own := shingle_set(text, size))]
+        keys, starts = [key_of(own) for own in sets], [order.start_of(own, percent).tobytes() for own in sets]
+        yield pa.record_batch({"key": pa.array(keys, pa.binary()), "start": pa.array(starts, pa.binary())})
+    _hashes.clear()
+
+
+def _bitmap(shingles: DataFrame) -> np.ndarray:
+    """The bits of shingles, by their first bits; filled in the tasks."""
+    place = F.shiftrightunsigned("shingle", 64 - MOVED_BITS) + 1
+    bitmaps = shingles.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")
+    )
+    out = np.zeros((1 << MOVED_BITS) // 8, np.uint8)
+    for row in bitmaps.collect():
+        own = np.frombuffer(row["bits"], np.uint8)
+        out[(row["bucket"] - 1) * len(own) : row["bucket"] * len(own)] = own
+    return out
+
+
+def mended(docs: DataFrame, vertices: DataFrame, order: Order, size: int, percent: int) -> DataFrame:
+    """``vertices`` with the starts of their sets by an order that has shingles at which many would meet at its end.
+
+    A set without a shingle at its start that is moved keeps its start, as what stays keeps its order.
+    """
+    for _ in range(MOVES):
+        firsts = vertices.select("id", "n", "component", "start").mapInArrow(_firsts, FIRSTS)
+        counted = firsts.groupBy("shingle").agg(
+            F.count("*").alias("met"), F.min("component").alias("least"), F.max("component").alias("most")
+        )
+        met = stored(counted.where((F.col("least") < F.col("most")) & (F.col("met") >= MET[0])).select("shingle", "met"), "dedup-met")
+        if met.isEmpty():
+            break
+        bitmaps = [_bitmap(met.where(F.col("met") >= least)) for least in MET]
+        before = order.moved or tuple(np.zeros_like(bitmap) for bitmap in bitmaps)
+        new = Order(order.known, order.counts, tuple(a | b for a, b in zip(before, bitmaps, strict=True)))
+        moving = vertices.select("id", "start").mapInArrow(functools.partial(_moving, old=order, new=new), "id bigint")
+        moving = stored(moving, "dedup-moving")
+        if moving.isEmpty():
+            break
+        again = functools.partial(_restarted, size=size, percent=percent, order=new, bitmap=id_bitmap(moving))
+        told = docs.select("doc_id", "text", id_bit(F.col("doc_id")).alias("bit"))
+        starts = told.mapInArrow(again, "key binary, start binary").groupBy("key").agg(F.first("start").alias("moved"))
+        joined = vertices.join(starts, "key", "left").withColumn("start", F.coalesce("moved", "start"))
+        vertices, order = stored(joined.select(*vertices.columns), "dedup-starts"), new
+    return vertices
+
+
 def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each shingle at the start of a set, with its place there."""
-    for batch in batches:
+    for batch in _slices(batches):
         starts = batch.column("start").to_pylist()
         sizes = np.array([len(start) // 8 for start in starts], np.int64)
         ends = np.cumsum(sizes)
@@ -323,7 +429,7 @@ def _meeting(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
 
 
 def _possible(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _slices(batches):
         good = []
         for one, other, n in zip(*(batch.column(name).to_pylist() for name in ("parity_a", "parity_b", "n")), strict=True):
             most = at_most_common(one, other, n)
@@ -405,7 +511,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     Shingles are compared by 64-bit hashes.
     """
-    sign = functools.partial(_signed, size=size, percent=percent, common=common_shingles(docs, size))
+    order = sampled_order(docs, size)
+    sign = functools.partial(_signed, size=size, percent=percent, order=order)
     signed = docs.select("doc_id", "text").mapInArrow(sign, SIGNED)
     signed = stored(signed, "dedup-signed")
     usable = signed.where(F.col("doc_id").isNotNull() & F.col("key").isNotNull())
@@ -424,9 +531,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     several = several.where("a < b").select("doc_id", "a")
     links = links.unionByName(placed.join(several, "doc_id").select("a", F.col("first_id").alias("b")))
     links = stored(links, "dedup-links")
-    vertices = same.select(F.col("first_id").alias("id"), F.col("n_shingles").alias("n"), "start", "parity")
+    vertices = same.select(F.col("first_id").alias("id"), F.col("n_shingles").alias("n"), "key", "start", "parity")
     vertices = vertices.join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    found = completed(named, stored(vertices, "dedup-starts"), links, size, percent)
+    vertices = mended(named, stored(vertices, "dedup-starts"), order, size, percent)
+    found = completed(named, vertices, links, size, percent)
     component = F.coalesce("component", "first_id", "doc_id")
     return (
         placed.join(found.withColumnRenamed("id", "first_id"), "first_id", "left")

@@ -94,14 +94,16 @@ def test_star_around_a_middle_id(spark):
 
 def test_linked_sets_share_a_start():
     draw = np.random.default_rng(6)
-    none = np.empty(0, np.uint64), np.empty(0, np.int64)
+    none = near_dedup.Order(np.empty(0, np.uint64), np.empty(0, np.int64))
+    bitmap = draw.integers(0, 256, (1 << near_dedup.MOVED_BITS) // 8, np.uint8)
+    moved = near_dedup.Order(none.known, none.counts, (bitmap, bitmap & 0x55, bitmap & 0x11))
     for _ in range(300):
         both = draw.integers(0, 1 << 63, draw.integers(1, 60), np.uint64)
         some = [np.unique(np.append(both, draw.integers(0, 1 << 63, draw.integers(0, 9), np.uint64))) for _ in range(2)]
-        common = np.sort(both[: len(both) // 2]), np.full(len(both) // 2, 3)
+        common = near_dedup.Order(np.sort(both[: len(both) // 2]), np.full(len(both) // 2, 3), moved.moved)
         if 100 * len(both) >= 80 * len(np.union1d(*some)):
-            for known in (none, common):
-                assert len(np.intersect1d(*[near_dedup.start_of(own, 80, known) for own in some]))
+            for order in (none, moved, common):
+                assert len(np.intersect1d(*[order.start_of(own, 80) for own in some]))
         parities = [near_dedup.parity_of(own) for own in some]
         assert near_dedup.at_most_common(*parities, sum(map(len, some))) >= len(np.intersect1d(*some))
 
