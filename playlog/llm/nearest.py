@@ -5,6 +5,10 @@ Every vector then belongs to a leaf. A query walks the tree best bin first: a pr
 by their distance, and the nearest one is always taken next. How many leaves a query visits is calibrated: for some
 queries the true neighbours are found by brute force, and visits are widened until the asked share of them is reached.
 Inside the visited leaves distances are exact.
+
+A query visits its nearest leaves first. The distance of the last of the nearest found there bounds what may still come: of the other
+leaves only those are visited whose ball around the centre reaches within the bound, and only rows within it are given out. So
+what a query sends on is of the order of the neighbours asked for, however many leaves it visits.
 """
 
 from __future__ import annotations
@@ -26,8 +30,10 @@ BRANCHES = 8
 LEAF_ROWS = 512  # about what a leaf should hold, as long as there are few enough leaves
 MOST_LEAVES = 8_192
 BLOCK_ROWS = 4_096  # of a leaf that are worked on in one task
+BLOCK_QUERIES = 4_096  # that are worked on with them
+FIRST_ROWS = 1_024  # that the leaves visited first should hold
 CALIBRATING = 96  # queries
-RECALL = 0.97
+RECALL = 0.95
 
 FOUND = "query_id bigint, id bigint, score double"
 
@@ -61,12 +67,14 @@ class Tree:
     centres: list[np.ndarray] = field(default_factory=list)
     children: list[np.ndarray] = field(default_factory=list)
     n_leaves: int = 0
+    middles: list[np.ndarray] = field(default_factory=list)
 
     def grow(self, rows: np.ndarray, leaf_rows: float, random: np.random.Generator) -> int:
         """Add the subtree of these rows and return its number, as ``children`` has it."""
         groups = self._divided(rows, random) if len(rows) > max(leaf_rows, 1) and self.n_leaves < MOST_LEAVES else None
         if groups is None:
             self.n_leaves += 1
+            self.middles.append(rows.mean(axis=0))
             return -self.n_leaves
         node = len(self.centres)
         centres, owner = groups
@@ -106,6 +114,12 @@ class Tree:
                     waiting.append((number, there))
         return out
 
+    def spread(self, rows: np.ndarray, leaves: np.ndarray) -> np.ndarray:
+        """The distance of each row from the middle of its leaf."""
+        if not self.middles:
+            return np.zeros(len(rows))
+        return np.sqrt(((rows - np.array(self.middles)[leaves]) ** 2).sum(axis=1))
+
     def best_first(self, row: np.ndarray) -> Iterator[int]:
         """The leaves for a query, nearest branch first."""
         if not self.centres:
@@ -177,35 +191,97 @@ def _brute(batches: Iterator[pa.RecordBatch], queries: list[tuple[int, np.ndarra
 
 def _leafed(batches: Iterator[pa.RecordBatch], tree: Tree) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        leaves = tree.leaves(rows_of(batch.column("embedding"))) if batch.num_rows else []
+        if not batch.num_rows:
+            continue
+        rows = rows_of(batch.column("embedding"))
+        leaves = tree.leaves(rows)
         columns = {name: batch.column(name) for name in ("vec_id", "embedding")}
-        yield pa.record_batch(columns | {"leaf": pa.array(leaves, pa.int64())})
+        yield pa.record_batch(columns | {"leaf": pa.array(leaves), "far": pa.array(tree.spread(rows, leaves))})
+
+
+@dataclass(frozen=True)
+class Leaves:
+    """How many rows each leaf holds, and how far from its middle they reach."""
+
+    sizes: dict[int, int]
+    radii: dict[int, float]
 
+    def first(self, order: Iterator[int], k: int) -> Iterator[int]:
+        """The leaves a query visits first: until they hold enough rows."""
+        held = 0
+        for leaf in order:
+            yield leaf
+            held += self.sizes.get(leaf, 0)
+            # The query itself is in a leaf, too.
+            if held > max(k, FIRST_ROWS):
+                return
 
-def _visits(batches: Iterator[pa.RecordBatch], tree: Tree, n_blocks: dict[int, int], sizes: dict[int, int], visits: int, k: int) -> Iterator[pa.RecordBatch]:
-    """The leaves each query visits, a row for each block of them."""
+
+def _first_visits(batches: Iterator[pa.RecordBatch], tree: Tree, leaves: Leaves, k: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        visits = [
+            (row, leaf) for row, query in enumerate(rows_of(batch.column("embedding"))) for leaf in leaves.first(tree.best_first(query), k)
+        ]
+        yield _visiting(batch, visits, np.full(batch.num_rows, np.inf))
+
+
+def _more_visits(batches: Iterator[pa.RecordBatch], tree: Tree, leaves: Leaves, visits: int, k: int) -> Iterator[pa.RecordBatch]:
+    """The other leaves each query visits, without those that hold nothing within its bound."""
     for batch in batches:
-        at, leaves, block = [], [], []
+        bounds, found = batch.column("bound").to_numpy(zero_copy_only=False), []
         for row, query in enumerate(rows_of(batch.column("embedding"))):
-            held = 0
+            done = set(leaves.first(tree.best_first(query), k))
             for number, leaf in enumerate(tree.best_first(query)):
-                # The query itself is in a leaf, too.
-                if number >= visits and held > k:
+                if number >= visits:
                     break
-                held += sizes.get(leaf, 0)
-                for own in range(n_blocks.get(leaf, 0)):
-                    at.append(row)
-                    leaves.append(leaf)
-                    block.append(own)
-        picked = batch.select(["vec_id", "embedding"]).take(pa.array(at, pa.int64()))
-        yield pa.record_batch(
-            {
-                "leaf": pa.array(leaves, pa.int64()),
-                "block": pa.array(block, pa.int64()),
-                "query_id": picked.column("vec_id"),
-                "query": picked.column("embedding"),
-            }
-        )
+                if leaf in done or leaf not in leaves.sizes:
+                    continue
+                nearest = np.sqrt(((query - tree.middles[leaf]) ** 2).sum()) - leaves.radii[leaf]
+                # A hair wider than the bound, as distances are rounded.
+                if nearest <= bounds[row] * (1 + 1e-9):
+                    found.append((row, leaf))
+        yield _visiting(batch, found, bounds)
+
+
+def _visiting(batch: pa.RecordBatch, visits: list[tuple[int, int]], bounds: np.ndarray) -> pa.RecordBatch:
+    at = np.array([row for row, _ in visits], np.int64)
+    picked = batch.select(["vec_id", "embedding"]).take(pa.array(at))
+    return pa.record_batch(
+        {
+            "leaf": pa.array([leaf for _, leaf in visits], pa.int64()),
+            "query_id": picked.column("vec_id"),
+            "query": picked.column("embedding"),
+            "bound": pa.array(bounds[at]),
+        }
+    )
+
+
+VISITS = "leaf bigint, query_id bigint, query array<float>, bound double"
+
+
+def searched(leafed: DataFrame, visits: DataFrame, k: int) -> DataFrame:
+    """``query_id, id, score``: the nearest rows within its bound that each query finds in the leaves it visits.
+
+    Many rows of a leaf are dealt into blocks, and so are many queries that visit it; each pair of blocks is a task's work.
+    """
+    visits = stored(visits, "nearest-visits")
+    of_rows = leafed.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("row_blocks"))
+    of_queries = visits.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("query_blocks"))
+    # A row per leaf, of which there are few more than MOST_LEAVES.
+    blocks = F.broadcast(stored(of_rows.join(of_queries, "leaf"), "nearest-blocks"))
+
+    def dealt(key: str, n: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.col(n)).cast("bigint")
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n).cast("bigint") - 1))
+
+    left = leafed.join(blocks, "leaf").withColumn("part", dealt("vec_id", "row_blocks")).withColumn("block", every("query_blocks"))
+    right = visits.join(blocks, "leaf").withColumn("block", dealt("query_id", "query_blocks")).withColumn("part", every("row_blocks"))
+    keys = ["leaf", "part", "block"]
+    left = left.select(*keys, "vec_id", "embedding").groupBy(*keys)
+    right = right.select(*keys, "query_id", "query", "bound").groupBy(*keys)
+    return left.cogroup(right).applyInArrow(functools.partial(_search, k=k), schema=FOUND)
 
 
 def _search(rows: pa.Table, queries: pa.Table, k: int) -> pa.Table:
@@ -213,8 +289,10 @@ def _search(rows: pa.Table, queries: pa.Table, k: int) -> pa.Table:
     if rows.num_rows and queries.num_rows:
         own, ids = rows_of(rows.column("embedding").combine_chunks()), rows.column("vec_id").to_numpy()
         asked = rows_of(queries.column("query").combine_chunks())
-        for query_id, query in zip(queries.column("query_id").to_pylist(), asked, strict=True):
+        bounds = queries.column("bound").to_numpy()
+        for query_id, query, bound in zip(queries.column("query_id").to_pylist(), asked, bounds, strict=True):
             near, far = nearest_rows(own, ids, query, query_id, k)
+            near, far = near[far <= bound], far[far <= bound]
             out.append((np.full(len(near), query_id), near, far))
     columns = [np.concatenate([x[part] for x in out]) if out else [] for part in range(3)]
     kinds = (pa.int64(), pa.int64(), pa.float64())
@@ -242,9 +320,10 @@ def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int = 10, recall:
     asked = asked.dropDuplicates(["vec_id"])
     sample = rows_of(taken.filter(pa.array(lengths == width)))
     tree = fit_tree(np.unique(sample, axis=0) if len(sample) else sample, n_rows)
-    leafed = rows.mapInArrow(functools.partial(_leafed, tree=tree), "vec_id bigint, embedding array<float>, leaf bigint")
-    leafed = stored(leafed, "nearest-leaves")
-    sizes = {row["leaf"]: row["count"] for row in leafed.groupBy("leaf").count().collect()}
+    schema = "vec_id bigint, embedding array<float>, leaf bigint, far double"
+    leafed = stored(rows.mapInArrow(functools.partial(_leafed, tree=tree), schema), "nearest-leaves")
+    held = leafed.groupBy("leaf").agg(F.count("*").alias("n"), F.max("far").alias("radius")).collect()
+    leaves = Leaves({row["leaf"]: row["n"] for row in held}, {row["leaf"]: row["radius"] for row in held})
 
     some = bounded_sample(asked, "vec_id", CALIBRATING).toArrow()
     some_rows = rows_of(some.column("embedding").combine_chunks())
@@ -262,14 +341,14 @@ def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int = 10, recall:
         # So many visits that the asked share of the true neighbours lies in the visited leaves.
         visits = needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)] if needed else 1
 
-    n_blocks = {leaf: -(-n // BLOCK_ROWS) for leaf, n in sizes.items()}
-    blocks_of = F.create_map(*[F.lit(x) for leaf, n in n_blocks.items() if n > 1 for x in (leaf, n)])
-    n_of = F.coalesce(F.element_at(blocks_of, F.col("leaf")), F.lit(1)) if max(n_blocks.values(), default=1) > 1 else F.lit(1)
-    left = leafed.withColumn("block", F.pmod(F.xxhash64("vec_id"), n_of).cast("bigint"))
-    step = functools.partial(_visits, tree=tree, n_blocks=n_blocks, sizes=sizes, visits=visits, k=k)
-    right = asked.mapInArrow(step, "leaf bigint, block bigint, query_id bigint, query array<float>")
-    search = functools.partial(_search, k=k)
-    found = left.groupBy("leaf", "block").cogroup(right.groupBy("leaf", "block")).applyInArrow(search, schema=FOUND)
+    ranked = F.row_number().over(by_query)
+    first = asked.mapInArrow(functools.partial(_first_visits, tree=tree, leaves=leaves, k=k), VISITS)
+    first = searched(leafed, first, k).groupBy("query_id", "id").agg(F.min("score").alias("score"))
+    first = stored(first.withColumn("rank", ranked).where(F.col("rank") <= k), "nearest-first")
+    bounds = first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound"))
+    bounded = asked.join(bounds, "vec_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+    more = bounded.mapInArrow(functools.partial(_more_visits, tree=tree, leaves=leaves, visits=visits, k=k), VISITS)
+    found = first.drop("rank").unionByName(searched(leafed, more, k))
     found = found.groupBy("query_id", "id").agg(F.min("score").alias("score"))
-    ranked = found.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+    found = found.withColumn("rank", ranked).where(F.col("rank") <= k)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")

@@ -56,6 +56,37 @@ def test_nearest(spark, vectors, monkeypatch):
     assert hits >= 0.9 * 10 * len(found)
 
 
+def test_recall_over_many_leaves(spark, monkeypatch):
+    """At least nine of ten true neighbours in 64 dimensions, and no more rows sent on than some for each neighbour."""
+    from playlog.llm.tables import EMBEDDINGS, read
+
+    for name, value in (("LEAF_ROWS", 64), ("FIRST_ROWS", 128), ("BLOCK_ROWS", 50), ("BLOCK_QUERIES", 7)):
+        monkeypatch.setattr(nearest, name, value)
+    vectors = read(spark, "/root/testdata/sf0.1", "embeddings", EMBEDDINGS)
+    sent = []
+    original = nearest.searched
+
+    def watched(*args):
+        found = original(*args).cache()
+        sent.append(found.count())
+        return found
+
+    monkeypatch.setattr(nearest, "searched", watched)
+    queries = vectors.where(F.col("vec_id") % 20 == 0)
+    found = nearest.nearest_vectors(vectors, queries, 10).collect()
+    table = vectors.select("vec_id", "embedding").toPandas()
+    ids, points = table["vec_id"].to_numpy(), np.stack(table["embedding"]).astype(float)
+    hits = 0
+    for query in ids[ids % 20 == 0]:
+        far = np.sqrt(((points - points[ids == query][0]) ** 2).sum(axis=1))
+        far[ids == query] = np.inf
+        hits += len({row["vec_id"] for row in found if row["query_id"] == query} & set(ids[np.lexsort((ids, far))[:10]].tolist()))
+    recall = hits / len(found)
+    print(f"recall {recall:.3f}, rows sent on {sent} for {len(found)} neighbours")
+    assert len(found) == 1_000 and recall >= 0.9
+    assert sent[1] <= 12 * len(found)
+
+
 def test_few_vectors(spark):
     rows = [(1, [1.0, 0.0], "x"), (2, [0.0, 1.0], "x"), (3, [1.0, 0.0], "x"), (3, [1.0, 0.0], "x")]
     vectors = spark.createDataFrame(rows, VECTORS)
