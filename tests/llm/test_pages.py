@@ -55,6 +55,38 @@ def test_links_inside_the_article():
     assert main_text(page) == f"{PROSE.strip()}\nReference one"
 
 
+def test_short_and_unmarked_pages():
+    text = PROSE.strip()
+    assert main_text("<h1>Title</h1><p>Short note.</p>") == "Title\nShort note."
+    dated = f"<div>Home</div><div>Contact</div><h1>T</h1><div>3 May 2024</div><div>By Ann</div><p>{PROSE}</p>"
+    assert main_text(dated) == f"T\n3 May 2024\nBy Ann\n{text}"
+    menu = f"<div>About us</div><div>Contact</div><h1>Title</h1><p>{PROSE}</p><p>Done.</p><div>Copyright 2024 by us.</div><div>Imprint</div>"
+    assert main_text(menu) == f"Title\n{text}\nDone."
+    assert main_text(f"<h1>Title</h1><p><a href='/x'>{PROSE}</a></p><p>{PROSE}</p>") == f"Title\n{text}\n{text}"
+    assert main_text("<div>Home</div><div>News</div>") == ""
+
+
+def test_parts_of_names_inside_the_article():
+    page = f"<article><p class='notice-board'>One.</p><section class='tags-and-facts'><p>Two.</p></section><p>{PROSE}</p><div class='share'>no</div></article>"
+    assert main_text(page) == f"One.\nTwo.\n{PROSE.strip()}"
+
+
+def test_long_broken_pages_take_linear_time():
+    import time
+
+    many = 1_000_000
+    pages = ["<a ", '<a "', "<a \">\" ", "<!x ", "<svg>", "</script ", "<script></script ", "<b>", "</i>", "<p", "<!--", "<", "</p>", "< ", "<a '"]
+    for piece in pages:
+        page = piece * (many // len(piece))
+        began = time.process_time()
+        assert isinstance(main_text(page), str)
+        assert time.process_time() - began < 12, piece
+    page = "<b>" * 100_000 + "</i>" * 100_000
+    began = time.process_time()
+    main_text(page)
+    assert time.process_time() - began < 6
+
+
 def test_broken_pages():
     for page in ("", "<", "<p", "<article>", "</p></div>", "<!--", "<script>", "<p a='", "&amp", "<a" * 2000, "<b>" * 5000):
         assert isinstance(main_text(page), str)
