@@ -48,7 +48,7 @@ MOVED_BITS = 24  # of the bitmaps that tell which shingles were moved, 2 MB each
 SAMPLE = 10_000  # documents that tell which shingles are common; the order of shingles decides about time only
 COMMON = 500_000
 MANY = 4  # pairs to look at, for each document, from which on hubs go first
-MET = (16, 64, 512)  # sets at whose start a shingle is, from which on it goes further to the end of the order
+MET = (32, 128, 512)  # sets at whose start a shingle is, from which on it goes further to the end of the order
 MOVES = 2  # how often the order is mended
 
 SIGNED = "doc_id bigint, n_shingles bigint, key binary, signature binary, start binary, parity binary"
@@ -116,18 +116,19 @@ class Order:
             steps[(bitmap[bits >> np.uint64(3)] >> (bits & np.uint64(7)).astype(np.uint8)) & 1 == 1] = step
         return steps
 
-    def sorted(self, shingles: np.ndarray) -> np.ndarray:
-        """The places of sorted shingles in this order."""
-        counts = np.zeros(len(shingles), np.int64)
+    def start_of(self, shingles: np.ndarray, percent: int) -> np.ndarray:
+        """The first of the sorted shingles of a set in this order: sets that are linked share one of their firsts."""
+        n = len(shingles) - -(-percent * len(shingles) // 100) + 1
+        rank = self.steps(shingles) << 32
         if len(self.known):
             place = np.minimum(np.searchsorted(self.known, shingles), len(self.known) - 1)
-            counts = np.where(self.known[place] == shingles, self.counts[place], 0)
-        return np.lexsort((counts, self.steps(shingles)))
-
-    def start_of(self, shingles: np.ndarray, percent: int) -> np.ndarray:
-        """The first shingles of a set: sets that are linked share one of their firsts."""
-        least = -(-percent * len(shingles) // 100)
-        return shingles[self.sorted(shingles)[: len(shingles) - least + 1]]
+            rank += np.where(self.known[place] == shingles, self.counts[place], 0)
+        # Most shingles have been neither moved nor seen in the sample, and come first as they are.
+        first = np.flatnonzero(rank == 0)[:n]
+        if len(first) < n:
+            rest = np.flatnonzero(rank)
+            first = np.concatenate([first, rest[np.argsort(rank[rest], kind="stable")][: n - len(first)]])
+        return shingles[first]
 
 
 def key_of(shingles: np.ndarray) -> bytes:
@@ -342,11 +343,12 @@ def confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Dat
 def _moving(batches: Iterator[pa.RecordBatch], old: Order, new: Order) -> Iterator[pa.RecordBatch]:
     """The ids of sets that have a shingle at their start which the new order moves."""
     for batch in _slices(batches):
-        moves = []
-        for start in batch.column("start").to_pylist():
-            shingles = np.frombuffer(start, np.uint64)
-            moves.append(bool((new.steps(shingles) > old.steps(shingles)).any()))
-        yield batch.select(["id"]).filter(pa.array(moves, pa.bool_()))
+        starts = batch.column("start").to_pylist()
+        shingles = np.frombuffer(b"".join(starts), np.uint64)
+        moves = new.steps(shingles) > old.steps(shingles)
+        ends = np.cumsum([len(start) // 8 for start in starts])
+        before = np.concatenate([[0], np.cumsum(moves)])
+        yield batch.select(["id"]).filter(pa.array(np.diff(before[ends], prepend=0) > 0))
 
 
 def _restarted(
