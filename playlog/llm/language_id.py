@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from playlog.llm.tables import as_texts, blocks, drawn, remainder
+from playlog.llm.tables import as_texts, blocks, drawn, release, remainder
 
 UNKNOWN = "und"
 # At most about so many learning rows are used; more of them change the model little.
@@ -150,6 +150,7 @@ def _summed(rows: DataFrame, work: Callable[[Iterator[tuple[str, object]]], Iter
         )
         for place, value in work(texts):
             yield pa.record_batch({"place": pa.array(place, pa.int64()), "value": pa.array(value, pa.float64())})
+        release()
 
     found = rows.select("text", extra).mapInArrow(cells, "place bigint, value double")
     found = found.groupBy("place").agg(F.sum("value").alias("value")).toArrow()
@@ -270,6 +271,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _keep(batches: Iterator[pa.RecordBatch], model: Model, least: float) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         kept = []
         if batch.num_rows:

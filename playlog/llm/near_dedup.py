@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from playlog.llm.components import components
-from playlog.llm.tables import as_bytes, bits_set, blocks, bounded_sample, free_name, id_bit, id_bitmap, stored, words_of
+from playlog.llm.tables import as_bytes, bits_set, blocks, bounded_sample, free_name, id_bit, id_bitmap, release, stored, words_of
 
 TREES = 16
 DEPTH = 8  # values of a signature in a tree
@@ -46,7 +46,7 @@ REMEMBERED = 250_000
 SLICE_ROWS = 512  # of pairs or sets that are taken apart together
 MOVED_BITS = 24  # of the bitmaps that tell which shingles were moved, 2 MB each
 SAMPLE = 10_000  # documents that tell which shingles are common; the order of shingles decides about time only
-COMMON = 500_000
+COMMON = 200_000
 MANY = 4  # pairs to look at, for each document, from which on hubs go first
 MET = (32, 128, 512)  # sets at whose start a shingle is, from which on it goes further to the end of the order
 MOVES = 2  # how often the order is mended
@@ -74,6 +74,12 @@ def _word_hashes(words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 
 
+def _forget() -> None:
+    """Keep nothing for the next task in the same worker, which may be another operator's."""
+    _hashes.clear()
+    release()
+
+
 def shingle_set(text: bytes, size: int) -> np.ndarray:
     """The distinct shingles of a text as sorted 64-bit hashes; with fewer words than ``size`` the whole text is one."""
     words = words_of(text)
@@ -159,7 +165,7 @@ def _tally(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBa
         sets = [shingle_set(text, size) for text in as_bytes(block.column("text"))]
         found, counts = np.unique(np.concatenate(sets), return_counts=True)
         yield pa.record_batch({"shingle": pa.array(found.view(np.int64)), "n": pa.array(counts.astype(np.int64))})
-    _hashes.clear()
+    _forget()
 
 
 def sampled_order(docs: DataFrame, size: int) -> Order:
@@ -196,7 +202,7 @@ def _signed(
                 "parity": pa.array(parities, pa.binary()),
             }
         )
-    _hashes.clear()
+    _forget()
 
 
 def _core(paths: np.ndarray) -> int:
@@ -302,7 +308,7 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int, bitmap: np.ndarray) -> I
     for block in _told(batches, bitmap):
         sets = [shingle_set(text, size).tobytes() for text in as_bytes(block.column("text"))]
         yield pa.record_batch({"id": block.column("doc_id"), "shingles": pa.array(sets, pa.binary())})
-    _hashes.clear()
+    _forget()
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,7 +364,7 @@ def _restarted(
         sets = [own for text in as_bytes(block.column("text")) if len(own := shingle_set(text, size))]
         keys, starts = [key_of(own) for own in sets], [order.start_of(own, percent).tobytes() for own in sets]
         yield pa.record_batch({"key": pa.array(keys, pa.binary()), "start": pa.array(starts, pa.binary())})
-    _hashes.clear()
+    _forget()
 
 
 def _bitmap(shingles: DataFrame) -> np.ndarray:

@@ -6,7 +6,9 @@ columns of its input, whatever their names, are neither read nor returned.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +78,20 @@ def blocks(
         yield batch.slice(start)
 
 
+@functools.cache
+def _trim() -> Callable[[int], int]:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # not this C library
+        return lambda _: 0
+
+
+def release() -> None:
+    """Give memory that a worker has freed back to the system, for what runs beside it and after it."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def drawn(rows: DataFrame, key: str, name: str) -> DataFrame:
     """Rows with a column ``name`` from 0 to below 1, drawn for each row: from its key, and its place, as keys may repeat or
     be missing. It is the same on every run over the same files."""
