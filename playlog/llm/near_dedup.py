@@ -105,6 +105,12 @@ def signature(shingles: np.ndarray) -> bytes:
     return (least & np.uint64(0xFFFF)).astype(">u2").tobytes()
 
 
+def _set_bits(bitmap: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    """Which shingles have their bit, told by their first bits, set."""
+    bits = shingles >> np.uint64(64 - MOVED_BITS)
+    return (bitmap[bits >> np.uint64(3)] >> (bits & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 @dataclass(frozen=True)
 class Order:
     """An order of all shingles: by how far they were moved to the end, by how many documents of a sample have them, by
@@ -118,8 +124,7 @@ class Order:
         """How far each shingle was moved."""
         steps = np.zeros(len(shingles), np.int64)
         for step, bitmap in enumerate(self.moved, 1):
-            bits = shingles >> np.uint64(64 - MOVED_BITS)
-            steps[(bitmap[bits >> np.uint64(3)] >> (bits & np.uint64(7)).astype(np.uint8)) & 1 == 1] = step
+            steps[_set_bits(bitmap, shingles)] = step
         return steps
 
     def start_of(self, shingles: np.ndarray, percent: int) -> np.ndarray:
@@ -408,17 +413,19 @@ def mended(docs: DataFrame, vertices: DataFrame, order: Order, size: int, percen
     return vertices
 
 
-def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each shingle at the start of a set, with its place there."""
+def _firsts(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle at the start of a set, with its place there; with a bitmap, only of those whose bit is set."""
     for batch in _slices(batches):
         starts = batch.column("start").to_pylist()
         sizes = np.array([len(start) // 8 for start in starts], np.int64)
         ends = np.cumsum(sizes)
+        shingles = np.frombuffer(b"".join(starts), np.uint64)
         row = np.repeat(np.arange(len(starts)), sizes)
-        columns = {
-            "shingle": pa.array(np.frombuffer(b"".join(starts), np.int64)),
-            "place": pa.array((np.arange(len(row)) - np.repeat(ends - sizes, sizes)).astype(np.int32)),
-        }
+        place = np.arange(len(row)) - np.repeat(ends - sizes, sizes)
+        if bitmap is not None:
+            told = np.flatnonzero(_set_bits(bitmap, shingles))
+            shingles, row, place = shingles[told], row[told], place[told]
+        columns = {"shingle": pa.array(shingles.view(np.int64)), "place": pa.array(place.astype(np.int32))}
         yield pa.record_batch({name: batch.column(name).take(pa.array(row)) for name in ("id", "n", "component")} | columns)
 
 
@@ -472,9 +479,7 @@ def completed(docs: DataFrame, vertices: DataFrame, links: DataFrame, size: int,
     contested = firsts.groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("most"))
     contested = stored(contested.where("least < most").select("shingle"), "dedup-contested")
     # Few shingles are contested: the others are left where they are, told by a bitmap.
-    bitmap = id_bitmap(contested.select(F.col("shingle").alias("id")))
-    told = firsts.withColumn("bit", id_bit(F.col("shingle")))
-    told = told.mapInArrow(functools.partial(_picked, bitmap=bitmap, wanted=True), FIRSTS)
+    told = sets.select("id", "n", "component", "start").mapInArrow(functools.partial(_firsts, bitmap=_bitmap(contested)), FIRSTS)
     meet = stored(told.join(contested, "shingle").select("id", "n", "shingle", "place"), "dedup-meet")
     # Texts of one id that differ are several sets, but one vertex.
     vertices = stored(vertices.select("id", "component").distinct(), "dedup-vertices")
