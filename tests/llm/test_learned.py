@@ -153,20 +153,60 @@ def test_scores_beat_word_counts(spark):
 
 
 def test_all_tokens_of_a_shared_bucket_count():
-    """After one step the bias points where the sum over all tokens does."""
+    """After one step the weights of a bucket point where the sum over all its tokens does."""
     import pyarrow as pa
 
     words = [b"w%d" % k for k in range(lm_scoring.OWN_MEMBERS - 1)]
-    text = b" ".join(words[k % 100] for k in range(3000))
+    text = b" ".join(b"w0 " + words[k % 100 + 1] for k in range(1500))
     batch = pa.record_batch({"text": pa.array([text.decode()])})
-    rows = pa.Table.from_batches(list(lm_scoring._train(iter([batch]), words))).to_pylist()
-    bias = next(row for row in rows if row["layer"] == 0 and row["bucket"] == 0)
+    nothing = lm_scoring.Model().member_tokens
+    rows = pa.Table.from_batches(list(lm_scoring._train(iter([batch]), words, nothing))).to_pylist()
     vocabulary = lm_scoring.Vocabulary(words)
-    classes = [vocabulary.member(word) // lm_scoring.MEMBERS for word in [*text.split(), lm_scoring.END]]
+    tokens = [*text.split(), lm_scoring.END]
+    features = lm_scoring.Tokens.of([tokens], vocabulary).features
+    after = int(lm_scoring._buckets(features)[0, 1])  # of what follows the first word
+    found = next(row for row in rows if row["layer"] == 0 and row["bucket"] == after)
+    classes = [vocabulary.member(word) // lm_scoring.MEMBERS for word in tokens[1::2]]
     slope = np.bincount(classes, minlength=lm_scoring.CLASSES) - len(classes) / lm_scoring.CLASSES
-    found = np.array([bias[f"w{k}"] for k in range(lm_scoring.CLASSES)])
-    assert found @ slope >= 0.999 * np.linalg.norm(found) * np.linalg.norm(slope)
-    assert bias["seen"] == 3001
+    weights = np.array([found[f"w{k}"] for k in range(lm_scoring.CLASSES)])
+    assert found["seen"] == 1500
+    assert weights @ slope >= 0.999 * np.linalg.norm(weights) * np.linalg.norm(slope)
+
+
+@pytest.mark.parametrize("most", [1, 7, 60_000])
+def test_sums_of_slopes(most):
+    random = np.random.default_rng(most)
+    buckets = random.integers(0, most, (3, 500))
+    slope = random.normal(size=(500, lm_scoring.CLASSES)).astype(np.float32)
+    own, times, sums = lm_scoring._summed(buckets, slope)
+    assert own.tolist() == sorted(set(buckets.ravel().tolist()))
+    assert times.tolist() == [int((buckets == bucket).sum()) for bucket in own]
+    plain = [sum(slope[row].astype(float) for each in buckets for row in np.flatnonzero(each == bucket)) for bucket in own]
+    assert np.allclose(sums, plain, atol=1e-3)
+
+
+def test_shares_by_plain_sums():
+    """The model's probabilities against sums over single tokens, classes and members."""
+    random = np.random.default_rng(3)
+    model = lm_scoring.Model(member_tokens=random.integers(0, 50, lm_scoring.CLASSES * lm_scoring.MEMBERS))
+    model.class_weights[:] = random.normal(size=model.class_weights.shape)
+    model.member_weights[:] = random.normal(size=model.member_weights.shape)
+    texts = [[b"the", b"house", b"of", lm_scoring.END], [lm_scoring.END], [b"of", b"the", lm_scoring.END]]
+    tokens = lm_scoring.Tokens.of(texts, lm_scoring.Vocabulary([b"the", b"of"]))
+    counts = model.member_tokens.reshape(lm_scoring.CLASSES, lm_scoring.MEMBERS) + 1
+    expected = []
+    for at, member in enumerate(tokens.members.tolist()):
+        own, inside = divmod(member, lm_scoring.MEMBERS)
+        features = tokens.features[:, at : at + 1]
+        total = 0.0
+        for weights, buckets, prior, right in (
+            (model.class_weights, lm_scoring._buckets(features), counts.sum(axis=1), own),
+            (model.member_weights, lm_scoring._member_buckets(features, np.array([own])), counts[own], inside),
+        ):
+            odds = [n * math.exp(sum(float(weights[bucket][k]) for bucket in buckets[:, 0])) for k, n in enumerate(prior.tolist())]
+            total += math.log10(odds[right] / sum(odds))
+        expected.append(total)
+    assert np.allclose(lm_scoring.log_shares(tokens, model), expected, atol=1e-4)
 
 
 def test_shares_sum_to_one():
