@@ -8,6 +8,7 @@ changes nothing.
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -17,6 +18,8 @@ from playlog.sinks.datasets import stored
 from playlog.sources.store import commits, dataset_listing, drift, manifest, published
 
 _COMMIT = re.compile(r"[A-Za-z0-9._-]+")
+# Rows of a packed file. A task sorts the rows of a file, some 200 bytes each, whatever they are compressed to.
+FILE_ROWS = 2_000_000
 
 
 class StoreError(ValueError):
@@ -106,15 +109,21 @@ def publish(
 
 
 def small_commits(spark: SparkSession, root: str, target_bytes: int) -> DataFrame:
-    """``commit, n_bytes, n_files`` of the commits whose files are small: on average below half the target."""
-    files = manifest(spark, root).where(F.col("file").isNotNull()).select("commit", "file", "file_bytes").distinct()
-    sizes = files.groupBy("commit").agg(F.sum("file_bytes").alias("n_bytes"), F.count("*").alias("n_files"))
-    return sizes.where(F.col("n_bytes") < F.col("n_files") * (target_bytes / 2))
+    """``commit, n_bytes, n_files, n_rows`` of the commits whose files are small: on average below half the target, in bytes
+    and in rows."""
+    entries = manifest(spark, root).where(F.col("file").isNotNull())
+    files = entries.groupBy("commit", "file", "file_bytes").agg(F.sum("n_rows").alias("n_rows"))
+    sizes = files.groupBy("commit").agg(
+        F.sum("file_bytes").alias("n_bytes"), F.count("*").alias("n_files"), F.sum("n_rows").alias("n_rows")
+    )
+    few_bytes = F.col("n_bytes") < F.col("n_files") * (target_bytes / 2)
+    return sizes.where(few_bytes & (F.col("n_rows") < F.col("n_files") * (FILE_ROWS / 2)))
 
 
 def pack(spark: SparkSession, root: str, commit: str, target_bytes: int = 256 << 20) -> list[str]:
     """Rewrite the commits with small files as one commit with files of about the target size; return what was replaced.
 
+    Where plays are compressed so well that a file of that size has over ``FILE_ROWS`` rows, files have about so many rows.
     Commits whose files are large enough stay as they are, file by file. Readers see either the old commits or the new
     one. The commits, one row each, come to the driver, never their files or plays.
     """
@@ -127,7 +136,8 @@ def pack(spark: SparkSession, root: str, commit: str, target_bytes: int = 256 <<
     data = f"{root.rstrip('/')}/data"
     plays = spark.read.parquet(*[f"{data}/commit={name}" for name in names])
     order = ["dataset", next(name for name in ("ymdhm", "ymd") if name in plays.columns)]
-    files = max(1, round(sum(row["n_bytes"] for row in small) / target_bytes))
+    by_rows = math.ceil(sum(row["n_rows"] for row in small) / FILE_ROWS)
+    files = max(1, round(sum(row["n_bytes"] for row in small) / target_bytes), by_rows)
     # By ranges of dataset and minute, so that a file is full, however its datasets are sized.
     plays = plays.repartitionByRange(files, *order).sortWithinPartitions(*order)
     known = manifest(spark, root).where(F.col("commit").isin(names)).select("dataset")

@@ -143,6 +143,26 @@ def test_packing_takes_small_files_only(spark, tmp_path):
     assert pack(spark, root, "packed", target_bytes=1 << 20) == pack(spark, root, "again", target_bytes=100) == []
 
 
+def test_packed_files_have_a_bounded_number_of_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sink, "FILE_ROWS", 500, raising=False)
+    root = str(tmp_path)
+    for number in range(2):
+        plays = spark.range(1_000).select(
+            (F.col("id") % 7).cast("string").alias("customerID"),
+            F.lit("g").alias("genre"),
+            F.lit(1).cast("decimal(18,2)").alias("minsplayed"),
+            F.timestamp_seconds(1_704_700_000 + F.col("id") * 60).cast("timestamp_ntz").alias("ts"),
+            F.lit("all").alias("dataset"),
+        )
+        publish(plays, root, f"part-{number}", append=True, max_records=100)
+    assert pack(spark, root, "packed") == ["part-0", "part-1"]
+    files = store.manifest(spark, root).groupBy("file").agg(F.sum("n_rows").alias("n")).collect()
+    assert sum(row["n"] for row in files) == 2_000 and len(files) == 4
+    assert max(row["n"] for row in files) < 1_000
+    # Files with so many rows are not small, whatever their bytes.
+    assert pack(spark, root, "again") == []
+
+
 def test_coverage_reads_no_plays(spark, tmp_path):
     root = str(tmp_path)
     publish(led(spark, ROWS, "all"), root, "1", append=True)
