@@ -26,7 +26,10 @@ from playlog.llm import bpe
 from playlog.llm.tables import as_texts, blocks
 
 VOCABULARY = "byte_bpe_50k.json"
-REMEMBERED = 500_000
+# What a worker remembers at most, some 200 and 300 bytes each. Of the units of 20 MB of text not half are there again in
+# the next 20 MB, so forgetting them too soon means to work most of a text out anew.
+REMEMBERED = 1_200_000  # units
+REMEMBERED_PIECES = 600_000
 
 # The pattern that cuts texts for byte-level vocabularies. White space is meant as Unicode defines it.
 _PIECES = regex.compile(
@@ -59,7 +62,7 @@ class PrefixCounter:
 
     def _learn_pieces(self, pieces: set[str]) -> None:
         """Count all prefixes of new pieces: at each end, the tokens that end there are tried, longest first."""
-        if len(self._pieces) > REMEMBERED:
+        if len(self._pieces) > REMEMBERED_PIECES:
             self._pieces.clear()
         fits, size, known_fit, ending = self.bpe.fits, self.bpe.size, self.bpe.known_fits.get, self._tokens.iter
         for piece in pieces:

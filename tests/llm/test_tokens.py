@@ -51,6 +51,16 @@ def test_code_points_of_all_planes():
     CODEC.forget()
 
 
+def test_units_are_remembered_over_many_texts():
+    counter = token_counts.PrefixCounter(public_tokenizers.path("byte_bpe_50k.json"))
+    counter._later = {str(number): b"" for number in range(700_000)}
+    counter.all_steps(["some words"])
+    assert {"0", "words"} <= counter._later.keys()
+    counter._later |= {str(number): b"" for number in range(token_counts.REMEMBERED + 1)}
+    counter.all_steps(["some others"])
+    assert counter._later.keys() == {"others"}
+
+
 def test_long_words():
     text = "ab" * 3000 + "é" * 500 + " " + "a" * 300
     assert np.frombuffer(CODEC.encode([text])[0], "<u4").tolist() == WORDS.encode(text, add_special_tokens=False).ids
