@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -233,3 +234,15 @@ def test_columns_of_any_name_stay(clashing):
     for kept in (near_dedup.one_of_each(rows, 3, 85), mixing.mixed_documents(rows)):
         assert kept.columns == rows.columns
         assert {(row["_bit"], row["BIT"], row["_copies"]) for row in kept.collect()} == {(7, "x", 0)}
+
+
+def test_hashed_words_are_not_kept():
+    tracemalloc.start()
+    try:
+        for text in range(100):
+            words = [b"%d-%d" % (text, word) for word in range(500)] * 2
+            found = near_dedup.shingle_set(b" ".join(words), 3)
+            assert len(found) == 500 and (found[1:] > found[:-1]).all()
+        assert tracemalloc.get_traced_memory()[0] < 1 << 20
+    finally:
+        tracemalloc.stop()
