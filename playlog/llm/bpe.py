@@ -12,6 +12,8 @@ import json
 
 import numpy as np
 
+from playlog.llm.tables import kept
+
 _NEVER = np.int64(1 << 40)
 
 
@@ -211,7 +213,7 @@ class Bpe:
         return [token for token in ids if token >= 0]
 
 
-_loaded: dict[str, Bpe] = {}
+_loaded: dict[str, Bpe] = kept()
 
 
 def load(path: str) -> Bpe:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from tokenizers import Regex, normalizers, pre_tokenizers
 
 from playlog.llm import bpe
-from playlog.llm.tables import as_texts, blocks
+from playlog.llm.tables import as_texts, blocks, kept, trim
 
 VOCABULARY = "word_bpe_49k.json"
 REMEMBERED = 250_000
@@ -180,7 +180,7 @@ class Codec:
         return out[:-1].tobytes()
 
 
-_codecs: dict[str, Codec] = {}
+_codecs: dict[str, Codec] = kept()
 
 
 def codec(path: str) -> Codec:
@@ -198,6 +198,7 @@ def _encode(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.R
             yield pa.record_batch({"doc_id": block.column("doc_id"), "ids": pa.array(ids, pa.binary())})
     finally:
         own.forget()
+        trim()
 
 
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from playlog.llm.tables import blocks, count_words, free_name, stored
+from playlog.llm.tables import blocks, count_words, free_name, release, stored
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -25,6 +25,7 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in blocks(batches, "text"):
         columns = {name: block.column(name) for name in block.schema.names if name != "text"}
         yield pa.record_batch(columns | {"size": pa.array(count_words(block.column("text")))})
+    release()
 
 
 def source_targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from playlog.llm.tables import as_texts, blocks, bounded_sample, remainder
+from playlog.llm.tables import as_texts, blocks, bounded_sample, release, remainder
 
 PASSAGE_WORDS = 48
 BLOCK_BYTES = 1 << 20  # of text looked at together: it takes a hundred times its size
@@ -219,6 +219,7 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = rows.astype(np.float16)
         own = [rows[a:b].tobytes() for a, b in zip(bags[:-1], bags[1:], strict=True)]
         yield pa.record_batch({"bag": pa.array(own, pa.binary()), "quality": block.column("quality")})
+    release()
 
 
 def _round(batches: Iterator[pa.RecordBatch], model: Model, number: int, epochs: int, rate: float) -> Iterator[pa.RecordBatch]:
@@ -231,6 +232,8 @@ def _round(batches: Iterator[pa.RecordBatch], model: Model, number: int, epochs:
         trained = train(model, bags, np.array(labels, float), epochs, rate, number)
         out = np.concatenate([trained.flat(), [len(bags)]])
         yield pa.record_batch({"out": pa.array([out.tobytes()], pa.binary())})
+    del bags
+    release()
 
 
 def fit(labelled: DataFrame, most_rows: int = MOST_ROWS, rounds: int = 5, epochs: int = 4, rate: float = 0.01) -> Model:
@@ -261,6 +264,7 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
     for block in blocks(batches, "text", BLOCK_BYTES):
         scores = model.scores(as_texts(block.column("text")))
         yield pa.record_batch({"doc_id": block.column("doc_id"), "score": pa.array(scores)})
+    release()
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -291,6 +295,7 @@ def learning_rows(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS
 def _keep(batches: Iterator[pa.RecordBatch], model: Model, least: float) -> Iterator[pa.RecordBatch]:
     for block in blocks(batches, "text", BLOCK_BYTES):
         yield block.filter(pa.array(model.scores(as_texts(block.column("text"))) >= least))
+    release()
 
 
 def good_documents(docs: DataFrame, model: Model, least: float = THRESHOLD) -> DataFrame:
