@@ -13,7 +13,7 @@ import array
 import functools
 import itertools
 import operator
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -23,13 +23,15 @@ import regex
 from pyspark.sql import DataFrame
 
 from playlog.llm import bpe
-from playlog.llm.tables import as_texts, blocks
+from playlog.llm.tables import as_texts, blocks, kept
 
 VOCABULARY = "byte_bpe_50k.json"
 # What a worker remembers at most, some 200 and 300 bytes each. Of the units of 20 MB of text not half are there again in
 # the next 20 MB, so forgetting them too soon means to work most of a text out anew.
 REMEMBERED = 1_200_000  # units
 REMEMBERED_PIECES = 600_000
+# Bytes of text worked on at once: the more new pieces are learned together, the more of their prefixes they share.
+BLOCK_BYTES = 8 << 20
 
 # The pattern that cuts texts for byte-level vocabularies. White space is meant as Unicode defines it.
 _PIECES = regex.compile(
@@ -40,37 +42,68 @@ _PIECES = regex.compile(
 COUNTS = "doc_id bigint, n_bytes bigint, n_tokens bigint, steps binary"
 
 
+SHARED = 24  # letters by which neighbours are compared
+
+
+def _shared(ordered: list[str]) -> list[int]:
+    """How many letters each text has in common with the one before it, of the first ``SHARED``; no two are the same."""
+    if not ordered:
+        return []
+    letters = np.array([text[:SHARED] for text in ordered], f"U{SHARED}").view(np.uint32).reshape(-1, SHARED)
+    differs = letters[1:] != letters[:-1]
+    return [0, *np.where(differs.any(axis=1), differs.argmax(axis=1), SHARED).tolist()]
+
+
+def _steps(counts: list[int]) -> bytes:
+    """The changes of counts, as 16-bit integers."""
+    return array.array("h", map(operator.sub, counts[1:], counts)).tobytes()
+
+
+def _contracted(piece: str) -> bool:
+    return piece[0] == "'" and len(piece) == 3
+
+
 class PrefixCounter:
     """Counts of all prefixes, for one vocabulary."""
 
     def __init__(self, path: str) -> None:
         self.bpe = bpe.load(path)
-        self._pieces: dict[str, list[int]] = {}
+        self._pieces: dict[str, bytes] = {}
         self._tokens = ahocorasick.Automaton()
         for token, number in self.bpe.vocab.items():
-            self._tokens.add_word(token, (len(token), number))
+            shorter = sum(token[start:] in self.bpe.vocab for start in range(len(token)))
+            self._tokens.add_word(token, (len(token), number, shorter))
         self._tokens.make_automaton()
         self._first: dict[str, bytes | None] = {}
         self._later: dict[str, bytes | None] = {}
         self._special = regex.compile("|".join(map(regex.escape, self.bpe.special)) or r"(?!)")
 
-    def piece(self, piece: str) -> list[int]:
-        """The counts after each code point of a piece that the pattern keeps whole."""
+    def piece(self, piece: str) -> bytes:
+        """The steps of a piece that the pattern keeps whole."""
         if piece not in self._pieces:
-            self._learn_pieces({piece})
+            self._learn_pieces([piece])
         return self._pieces[piece]
 
-    def _learn_pieces(self, pieces: set[str]) -> None:
-        """Count all prefixes of new pieces: at each end, the tokens that end there are tried, longest first."""
+    def _learn_pieces(self, pieces: Iterable[str]) -> None:
+        """Count all prefixes of pieces that are new: at each end, the tokens that end there are tried, longest first.
+
+        In order, a piece shares most of its prefixes with the one before; only those after them are worked out.
+        """
         if len(self._pieces) > REMEMBERED_PIECES:
             self._pieces.clear()
         fits, size, known_fit, ending = self.bpe.fits, self.bpe.size, self.bpe.known_fits.get, self._tokens.iter
-        for piece in pieces:
-            spelled = self.bpe.spelled(piece)
-            last, counts, done = [-1], [0], -1
-            for end, (length, token) in ending(spelled):
+        ordered = sorted((self.bpe.spelled(piece), piece) for piece in pieces if piece not in self._pieces)
+        # By length of the prefix: its last token, its count, and how many tokens end in it at all.
+        last, counts, seen = [-1], [0], [0]
+        for (spelled, piece), same in zip(ordered, _shared([spelled for spelled, _ in ordered]), strict=True):
+            del last[same + 1 :], counts[same + 1 :], seen[same + 1 :]
+            at = done = same - 1
+            for end, (length, token, shorter) in itertools.islice(ending(spelled), seen[same], None):
                 if end == done:
                     continue
+                if end != at:
+                    seen.append(seen[at + 1] + shorter)
+                    at = end
                 start = end + 1 - length
                 if start:
                     fit = known_fit(last[start] * size + token)
@@ -80,48 +113,61 @@ class PrefixCounter:
                 counts.append(counts[start] + 1)
                 done = end
             if len(spelled) == len(piece):
-                self._pieces[piece] = counts[1:]
+                own = counts
             else:
-                self._pieces[piece] = [counts[end] for end in itertools.accumulate(len(x.encode()) for x in piece)]
+                own = [0, *(counts[end] for end in itertools.accumulate(len(x.encode()) for x in piece))]
+            self._pieces[piece] = _steps(own)
 
     def total(self, text: str) -> int:
-        return sum(self.piece(piece)[-1] for piece in _PIECES.findall(text))
+        return sum(sum(array.array("h", self.piece(piece))) for piece in _PIECES.findall(text))
 
     def unit(self, text: str, pieces: list[str] | None = None) -> bytes:
         """The steps of a text without special tokens, as 16-bit integers."""
         pieces = _PIECES.findall(text) if pieces is None else pieces
-        counts = [0]
-        start = before = before_count = base = 0
-        for piece in pieces:
-            own = self.piece(piece)
-            counts += own if not base else [base + n for n in own]
-            # A prefix that ends right after the second of two white spaces, or inside a contraction, is cut in another
-            # way than the whole text: its count is worked out from the start of the piece before.
-            if start and piece[0].isspace():
-                counts[start + 1] = before_count + self.total(text[before : start + 1])
-            elif piece[0] == "'" and len(piece) == 3:
-                counts[start + 2] = before_count + self.total(text[before : start + 2])
-            before, before_count = start, base
-            start, base = start + len(piece), base + own[-1]
-        return array.array("h", map(operator.sub, counts[1:], counts)).tobytes()
+        if "'" not in text and text[1:].split() == [text[1:]]:
+            return b"".join(map(self.piece, pieces))
+        own = [self.piece(piece) for piece in pieces]
+        # A prefix that ends right after the second of two white spaces, or inside a contraction, is cut in another
+        # way than the whole text: its count is worked out from the start of the piece before.
+        other = [place for place, piece in enumerate(pieces) if (place and piece[0].isspace()) or _contracted(piece)]
+        counts = [0, *itertools.accumulate(array.array("h", b"".join(own)))]
+        starts = [0, *itertools.accumulate(map(len, pieces))]
+        held = [counts[start] for start in starts]
+        for place in other:
+            before = max(place - 1, 0)
+            end = starts[place] + (1 if place and pieces[place][0].isspace() else 2)
+            counts[end] = held[before] + self.total(text[starts[before] : end])
+        return _steps(counts)
 
     def _learn(self, first: set[str], later: set[str]) -> None:
         """Work out new units: the texts between single spaces, and with the space before them if they are not first."""
-        cut, pieces = [], set()
+        cut: list[tuple[dict, str, str, list[str]]] = []
         for known, lead, units in ((self._first, "", first), (self._later, " ", later)):
             if len(known) > REMEMBERED:
                 known.clear()
-            for unit in units - known.keys():
+            whole = []
+            for unit in units:
+                if unit in known:
+                    continue
                 # White space at an end belongs together with the space beside it: such texts are worked out whole.
                 if unit and not unit[0].isspace() and not unit[-1].isspace():
-                    own = _PIECES.findall(lead + unit)
-                    cut.append((known, unit, lead + unit, own))
-                    pieces.update(own)
+                    whole.append(unit)
                 else:
                     known[unit] = None
-        self._learn_pieces(pieces - self._pieces.keys())
-        for known, unit, text, own in cut:
-            known[unit] = self.unit(text, own)
+            if lead:
+                # All are cut at once, as they are in a text: a piece with a space before it is the first of its unit.
+                pieces = _PIECES.findall("".join([lead + unit for unit in whole]))
+                starts = [place for place, piece in enumerate(pieces) if piece[0] == lead]
+                own = [pieces[start:end] for start, end in itertools.pairwise([*starts, len(pieces)])]
+            else:
+                own = [_PIECES.findall(unit) for unit in whole]
+            cut += [(known, unit, lead + unit, parts) for unit, parts in zip(whole, own, strict=True)]
+        self._learn_pieces({piece for *_, parts in cut for piece in parts})
+        for known, unit, text, parts in cut:
+            if len(parts) == 1 and "'" not in text:
+                known[unit] = self._pieces[text]
+            else:
+                known[unit] = self.unit(text, parts)
 
     def _plain(self, text: str) -> bytes:
         """The steps of a text without special tokens."""
@@ -171,7 +217,7 @@ def prefix_counts(steps: bytes) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(np.frombuffer(steps, "<i2"), dtype=np.int64)])
 
 
-_counters: dict[str, PrefixCounter] = {}
+_counters: dict[str, PrefixCounter] = kept()
 
 
 def counter(path: str) -> PrefixCounter:
@@ -183,7 +229,7 @@ def counter(path: str) -> PrefixCounter:
 
 def _count(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.RecordBatch]:
     own = counter(public_tokenizers.path(vocabulary))
-    for block in blocks(batches, "text"):
+    for block in blocks(batches, "text", BLOCK_BYTES):
         texts = as_texts(block.column("text"))
         steps = own.all_steps(texts)
         yield pa.record_batch(

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import weakref
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from playlog.llm import bpe_codec, token_counts
+from playlog.llm import bpe, bpe_codec, mixing, token_counts
 
 BYTES = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 WORDS = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
@@ -61,6 +64,25 @@ def test_units_are_remembered_over_many_texts():
     assert counter._later.keys() == {"others"}
 
 
+def test_workers_give_back_what_another_operator_kept():
+    path = public_tokenizers.path(bpe_codec.VOCABULARY)
+    held = [weakref.ref(bpe_codec.codec(path)), weakref.ref(bpe.load(path))]
+    block = pa.record_batch({"text": ["a text"], "source": ["a"]})
+    assert next(mixing._sizes(iter([block]))).num_rows == 1
+    assert all(ref() is not None for ref in held)
+    list(mixing._sizes(iter([block])))
+    gc.collect()
+    assert not any(path in table for table in (bpe_codec._codecs, bpe._loaded))
+
+
+def test_pieces_alike_at_their_start():
+    counter = token_counts.PrefixCounter(public_tokenizers.path("byte_bpe_50k.json"))
+    words = ["a" * n for n in range(1, 60)] + ["Straße", "Straßen", "straßenbahn", "don't", "don'", "x'''y", "a\nb", "a\n\nb"]
+    text = " ".join([*words, *(word + end for word in words for end in (",", "'s", "!!", "ü"))])
+    sizes = token_counts.prefix_counts(counter.all_steps([text])[0])
+    assert [len(BYTES.encode(text[:end], add_special_tokens=False).ids) for end in range(len(text) + 1)] == sizes.tolist()
+
+
 def test_long_words():
     text = "ab" * 3000 + "é" * 500 + " " + "a" * 300
     assert np.frombuffer(CODEC.encode([text])[0], "<u4").tolist() == WORDS.encode(text, add_special_tokens=False).ids
