@@ -23,6 +23,7 @@ documents that share a passage, but little else, do not meet.
 from __future__ import annotations
 
 import functools
+import operator
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -49,6 +50,7 @@ COMMON = 200_000
 MANY = 4  # pairs to look at, for each document, from which on hubs go first
 MET = (32, 128, 512)  # sets at whose start a shingle is, from which on it goes further to the end of the order
 MOVES = 2  # how often the order is mended
+FOLDED = [f"parity_{place}" for place in range(4)]  # the parities of a set as 256 bits
 
 SIGNED = "doc_id bigint, n_shingles bigint, key binary, signature binary, start binary, parity binary"
 CANDIDATES = "a bigint, b bigint, region binary"
@@ -138,7 +140,7 @@ def key_of(shingles: np.ndarray) -> bytes:
 
 def parity_of(shingles: np.ndarray) -> bytes:
     """For each of some bits, a power of two that grows with the set, whether an odd number of shingles fall on it."""
-    bits = 64 << max(0, (len(shingles) // 16).bit_length() - 1)
+    bits = max(64 * len(FOLDED), 64 << max(0, (len(shingles) // 16).bit_length() - 1))
     own = np.bincount((shingles >> np.uint64(7)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(own.astype(np.uint8), bitorder="little").tobytes()
 
@@ -403,30 +405,43 @@ def mended(docs: DataFrame, vertices: DataFrame, order: Order, size: int, percen
 
 
 def _firsts(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-    """A row for each shingle at the start of a set, with its place there; with a bitmap, only of those whose bit is set."""
+    """A row for each shingle at the start of a set, with its place there.
+
+    With a bitmap, only of those whose bit is set, and with the parities of the set, folded to 256 bits.
+    """
     for batch in _slices(batches):
         starts = batch.column("start").to_pylist()
         sizes = np.array([len(start) // 8 for start in starts], np.int64)
         ends = np.cumsum(sizes)
         shingles = np.frombuffer(b"".join(starts), np.uint64)
+        folded: dict[str, np.ndarray] = {}
         row = np.repeat(np.arange(len(starts)), sizes)
         place = np.arange(len(row)) - np.repeat(ends - sizes, sizes)
         if bitmap is not None:
             told = np.flatnonzero(_set_bits(bitmap, shingles))
             shingles, row, place = shingles[told], row[told], place[told]
+            parities = batch.column("parity").to_pylist()
+            own = [np.bitwise_xor.reduce(np.frombuffer(parity, "<i8").reshape(-1, len(FOLDED))) for parity in parities]
+            folded = dict(zip(FOLDED, np.array(own, np.int64).reshape(-1, len(FOLDED))[row].T, strict=True))
         columns = {"shingle": pa.array(shingles.view(np.int64)), "place": pa.array(place.astype(np.int32))}
+        columns |= {name: pa.array(own) for name, own in folded.items()}
         yield pa.record_batch({name: batch.column(name).take(pa.array(row)) for name in ("id", "n", "component")} | columns)
 
 
 FIRSTS = "id bigint, n bigint, component bigint, shingle bigint, place int"
+MEETING = ", ".join([FIRSTS, *[f"{name} bigint" for name in FOLDED]])
 
 
 def _meeting(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: pairs across components that share a first shingle and may be linked by their sizes and its places."""
+    """``a, b``: pairs across components that share a first shingle and may be linked by their sizes, its places and the
+    parities of their sets."""
     left = left.select("shingle", *[F.col(name).alias(f"{name}_l") for name in left.columns if name != "shingle"])
     right = right.select("shingle", *[F.col(name).alias(f"{name}_r") for name in right.columns if name != "shingle"])
     # At the first shingle that two sets share, no more than the rest of either can follow in common.
     most = 1 + F.least(F.col("n_l") - F.col("place_l") - 1, F.col("n_r") - F.col("place_r") - 1)
+    # Each odd bit is a shingle that only one of them has: texts that share little else make no pair.
+    odd = functools.reduce(operator.add, [F.bit_count(F.col(f"{name}_l").bitwiseXOR(F.col(f"{name}_r"))) for name in FOLDED])
+    most = F.least(most, F.shiftright(F.col("n_l") + F.col("n_r") - odd, 1))
     fits = 100 * most >= percent * (F.col("n_l") + F.col("n_r") - most)
     pairs = left.join(right, (left["shingle"] == right["shingle"]) & (left["component_l"] != right["component_r"]) & fits)
     return pairs.select(F.least("id_l", "id_r").alias("a"), F.greatest("id_l", "id_r").alias("b")).distinct()
@@ -468,8 +483,10 @@ def completed(docs: DataFrame, vertices: DataFrame, links: DataFrame, size: int,
     contested = firsts.groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("most"))
     contested = stored(contested.where("least < most").select("shingle"), "dedup-contested")
     # Few shingles are contested: the others are left where they are, told by a bitmap.
-    told = sets.select("id", "n", "component", "start").mapInArrow(functools.partial(_firsts, bitmap=_bitmap(contested)), FIRSTS)
-    meet = stored(told.join(contested, "shingle").select("id", "n", "shingle", "place"), "dedup-meet")
+    told = sets.select("id", "n", "component", "start", "parity").mapInArrow(
+        functools.partial(_firsts, bitmap=_bitmap(contested)), MEETING
+    )
+    meet = stored(told.join(contested, "shingle").select("id", "n", "shingle", "place", *FOLDED), "dedup-meet")
     # Texts of one id that differ are several sets, but one vertex.
     vertices = stored(vertices.select("id", "component").distinct(), "dedup-vertices")
     total = vertices.count()
@@ -484,7 +501,7 @@ def completed(docs: DataFrame, vertices: DataFrame, links: DataFrame, size: int,
         if not work:
             return vertices
         rows = rows.join(main.select("shingle", "main"), "shingle")
-        members = rows.select("shingle", "id", "n", "place", "component")
+        members = rows.select("shingle", "id", "n", "place", "component", *FOLDED)
         last = not with_hubs or work <= MANY * total
         if last:
             strays = rows.where("component <> main").drop("main")
@@ -550,6 +567,7 @@ def _picked(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, wanted: bool)
     for batch in batches:
         columns = batch.schema.names[:-1]
         yield batch.select(columns).filter(pa.array(bits_set(batch.column(len(columns)), bitmap) == wanted))
+    release()
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import random
 import tracemalloc
 from collections import Counter, defaultdict
@@ -109,6 +110,22 @@ def test_linked_sets_share_a_start():
         assert near_dedup.at_most_common(*parities, sum(map(len, some))) >= len(np.intersect1d(*some))
 
 
+def test_sets_that_share_little_do_not_meet(spark):
+    draw = np.random.default_rng(8)
+    passage = draw.integers(0, 1 << 63, 20, np.uint64)
+    sets = [np.unique(np.append(passage, draw.integers(0, 1 << 63, 40 + 3 * k, np.uint64))) for k in range(60)]
+    sets += [sets[0][1:], np.append(sets[1], np.uint64(1 << 63)), passage[:2], passage[:1]]
+    starts = [np.intersect1d(own, passage).tobytes() for own in sets]
+    rows = [(k, len(own), k, starts[k], near_dedup.parity_of(own)) for k, own in enumerate(sets)]
+    vertices = spark.createDataFrame(rows, "id long, n long, component long, start binary, parity binary")
+    every = np.full((1 << near_dedup.MOVED_BITS) // 8, 255, np.uint8)
+    firsts = functools.partial(near_dedup._firsts, bitmap=every)
+    members = vertices.mapInArrow(firsts, getattr(near_dedup, "MEETING", near_dedup.FIRSTS))
+    found = {tuple(row) for row in near_dedup._meeting(members, members, 85).collect()}
+    assert {(0, 60), (1, 61)} <= found
+    assert len(found) < 30  # of 1,891 pairs that share the passage
+
+
 @pytest.mark.parametrize("table", ["docs", "clashing"])
 def test_odd_rows(request, table):
     rows = request.getfixturevalue(table)
