@@ -7,12 +7,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from playlog.llm import language_id, lm_scoring, quality
 from playlog.llm.queries import op2_lm_scoring, op3_language_id, op4_quality
-from playlog.llm.tables import LABELS, read
+from playlog.llm.tables import LABELS, read, words_of
 
 SF_DIR = "/root/testdata/sf0.01"
 
@@ -275,3 +276,35 @@ def test_sample_of_missing_and_repeated_ids(spark):
         rows = spark.range(100_000).select(key.alias("doc_id"), F.lit("x").alias("Drawn"))
         sample = bounded_sample(rows, "doc_id", 8_000)
         assert sample.columns == rows.columns and 7_000 < sample.count() < 9_000
+
+
+ODD_TEXTS = ["left\tout", None, " A\x0bb  Ä\x85c\x1cD\u3000e ", "", "  ", "one", "one\x0ctwo\r\n", " \ttwo", "É two One"]
+
+
+def test_words_by_column_are_those_by_text():
+    for column in (pa.array(ODD_TEXTS), pa.array(ODD_TEXTS).slice(1), pa.array(ODD_TEXTS).slice(3, 2)):
+        words, numbers, sizes = lm_scoring.encoded_words(column)
+        expected = [words_of((text or "").encode()) for text in column.to_pylist()]
+        assert sizes.tolist() == [len(own) for own in expected]
+        assert [words[number] for number in numbers] == [word for own in expected for word in own]
+        vocabulary = lm_scoring.Vocabulary([b"two", b"one"])
+        one, other = (
+            lm_scoring.Tokens.read(column, vocabulary),
+            lm_scoring.Tokens.of([[*own, lm_scoring.END] for own in expected], vocabulary),
+        )
+        for name in ("members", "places", "features", "starts"):
+            assert np.array_equal(getattr(one, name), getattr(other, name))
+
+
+def test_each_word_of_a_block_is_looked_up_once(monkeypatch):
+    asked = []
+    packed = lm_scoring.Vocabulary.packed
+    monkeypatch.setattr(lm_scoring.Vocabulary, "packed", lambda self, words: asked.extend(words) or packed(self, words))
+    block = pa.record_batch({"text": ["rare often often"] * 500, "doc_id": [1] * 500, "learns": [True] * 500})
+    for rows in (
+        lm_scoring._train(iter([block]), [b"often"], np.ones(lm_scoring.CLASSES * lm_scoring.MEMBERS)),
+        lm_scoring._others(iter([block]), [b"often"]),
+    ):
+        asked.clear()
+        list(rows)
+        assert len(asked) <= 3
