@@ -11,6 +11,7 @@ import functools
 import hashlib
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import public_tokenizers
@@ -24,6 +25,7 @@ from playlog.llm.tables import as_texts, blocks, kept, trim
 
 VOCABULARY = "word_bpe_49k.json"
 REMEMBERED = 250_000
+_FIRST = 4  # letters that tell how long a token can be
 
 # The pattern that cuts texts into words for this vocabulary.
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
@@ -62,6 +64,13 @@ def split_words(chunk: str) -> list[str]:
     return [lower[match.start() : match.end()] for match in _WORDS.finditer("".join(stand_in for _, stand_in in points))]
 
 
+def split_chunks(chunks: list[str]) -> list[list[str]]:
+    """``split_words`` of each of many chunks."""
+    if any(unicodedata.category(point) == "Cn" for point in set().union(*chunks)):
+        return [split_words(chunk) for chunk in chunks]
+    return [[chunk] if chunk.isascii() and chunk.isalpha() else _WORDS.findall(chunk) for chunk in chunks]
+
+
 class Codec:
     """Encoding and decoding with one vocabulary."""
 
@@ -76,51 +85,64 @@ class Codec:
                 self.names += [""] * (number + 1 - len(self.names))
             self.names[number] = token
 
+    @functools.cached_property
+    def _longest(self) -> dict[str, int]:
+        """The longest token that starts with each three letters: no longer one is looked for there."""
+        longest: dict[str, int] = {}
+        for token in self.bpe.vocab:
+            first = token[:_FIRST]
+            longest[first] = max(longest.get(first, 0), len(token))
+        return longest
+
     def propose(self, spelled: str) -> list[int]:
         """The longest tokens from left to right; only the last one carries the suffix that ends a word."""
-        vocab, suffix, longest = self.bpe.vocab, self.bpe.suffix, self.bpe.longest
+        find, suffix, longest, known = self.bpe.vocab.get, self.bpe.suffix, self.bpe.longest, self._longest.get
         ids, start, end = [], 0, len(spelled)
+        last = end - bool(suffix)
         while True:
-            token = vocab.get(spelled[start:] + suffix) if end - start <= longest else None
+            token = find(spelled[start:] + suffix) if end - start <= longest else None
             if token is not None:
                 ids.append(token)
                 return ids
-            stop = min(end - bool(suffix), start + longest)
-            while (token := vocab.get(spelled[start:stop])) is None:
+            # A token of fewer letters than these is there for every letter.
+            stop = min(last, start + known(spelled[start : start + _FIRST], _FIRST - 1))
+            while (token := find(spelled[start:stop])) is None:
                 stop -= 1
             ids.append(token)
             start = stop
             if start == end:
                 return ids
 
-    def words(self, words: list[str]) -> list[list[int]]:
+    def words(self, words: list[str]) -> list[bytes]:
         """The ids of each word: proposed, verified together, merged exactly where a proposal fails."""
         spelled = [self.bpe.spelled(word) for word in words]
         proposals = [self.propose(word) for word in spelled]
-        flat = np.array([token for ids in proposals for token in ids], np.int64)
-        owner = np.repeat(np.arange(len(words)), [len(ids) for ids in proposals])
+        sizes = np.fromiter(map(len, proposals), np.int64, len(proposals))
+        flat = np.fromiter(chain.from_iterable(proposals), np.int64, sizes.sum())
+        owner = np.repeat(np.arange(len(words)), sizes)
         inner = np.flatnonzero(owner[1:] == owner[:-1])
         keys, where = np.unique(flat[inner] * self.bpe.size + flat[inner + 1], return_inverse=True)
         good = self.bpe.compatible(keys // self.bpe.size, keys % self.bpe.size)[where]
-        failing = np.unique(owner[inner[~good]])
+        failing = np.unique(owner[inner[~good]]).tolist()
         self.failed += len(failing)
         self.proposed += len(words)
         for word, ids in zip(failing, self.bpe.merge([spelled[word] for word in failing]), strict=True):
             proposals[word] = ids
-        return proposals
+        ends = np.cumsum(np.fromiter(map(len, proposals), np.int64, len(proposals))) * 4
+        stored = np.fromiter(chain.from_iterable(proposals), "<u4").tobytes()
+        return [stored[start:end] for start, end in pairwise([0, *ends.tolist()])]
 
     def _learn(self, chunks: set[str]) -> None:
         """Work out chunks of text without white space."""
         if len(self._chunks) > REMEMBERED:
-            self._chunks.clear()
-        new = [chunk for chunk in chunks if chunk not in self._chunks]
-        words = [split_words(chunk) for chunk in new]
-        distinct = list({word for own in words for word in own})
-        ids = {
-            word: np.array(own, "<u4").tobytes() for word, own in zip(distinct, self.words(distinct), strict=True)
-        }
+            # What these texts share with others stays.
+            self._chunks = {chunk: self._chunks[chunk] for chunk in chunks.intersection(self._chunks)}
+        new = list(chunks.difference(self._chunks))
+        words = split_chunks(new)
+        distinct = list(set(chain.from_iterable(words)))
+        ids = dict(zip(distinct, self.words(distinct), strict=True))
         for chunk, own in zip(new, words, strict=True):
-            self._chunks[chunk] = b"".join([ids[word] for word in own])
+            self._chunks[chunk] = ids[own[0]] if len(own) == 1 else b"".join([ids[word] for word in own])
 
     def forget(self) -> None:
         """Drop what is remembered, so that a worker's next task, which may be another operator's, has the memory."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import gc
 import hashlib
 import weakref
@@ -89,6 +90,43 @@ def test_long_words():
     assert token_counts.prefix_counts(COUNTER.steps(text))[-1] == len(BYTES.encode(text, add_special_tokens=False).ids)
 
 
+def test_words_that_texts_share_are_kept(monkeypatch):
+    monkeypatch.setattr(bpe_codec, "REMEMBERED", 2)
+    codec = bpe_codec.Codec(public_tokenizers.path("word_bpe_49k.json"))
+    codec.encode(["some words that come again"])
+    codec.encode(["words come anew"])
+    assert codec.proposed == 6
+    assert codec._chunks.keys() == {"words", "come", "anew"}
+
+
+def test_proposals_are_the_longest_tokens():
+    vocab, suffix = CODEC.bpe.vocab, CODEC.bpe.suffix
+    asked = []
+
+    class Counted(dict):
+        def get(self, token):
+            asked.append(token)
+            return super().get(token)
+
+    codec = bpe_codec.Codec(public_tokenizers.path("word_bpe_49k.json"))
+    codec.bpe = copy.copy(codec.bpe)
+    codec.bpe.vocab = Counted(vocab)
+    for word in ["zqxj" * 6, "internationalisation", "a", "thanthlyenin", "ééé", "don't", "ab" * 40]:
+        spelled = CODEC.bpe.spelled(word)
+        expected, at = [], 0
+        while at < len(spelled):
+            whole = vocab.get(spelled[at:] + suffix)
+            stops = range(len(spelled) - 1, at, -1)
+            stop = len(spelled) if whole is not None else next(x for x in stops if spelled[at:x] in vocab)
+            expected.append(vocab[spelled[at:stop]] if whole is None else whole)
+            at = stop
+        asked.clear()
+        assert codec.propose(spelled) == expected
+    asked.clear()
+    codec.propose("zqxj" * 6)
+    assert len(asked) <= 4 * 24
+
+
 def test_only_failing_words_are_merged(corpus):
     codec = bpe_codec.Codec(public_tokenizers.path("word_bpe_49k.json"))
     codec.encode([row["text"] for row in corpus.select("text").limit(50).collect()])
