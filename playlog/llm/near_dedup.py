@@ -34,7 +34,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from playlog.llm.components import components
-from playlog.llm.tables import as_bytes, bits_set, blocks, bounded_sample, free_name, id_bit, id_bitmap, release, stored, words_of
+from playlog.llm.tables import (
+    as_bytes,
+    bits_set,
+    blocks,
+    bounded_sample,
+    emptied,
+    free_name,
+    id_bit,
+    id_bitmap,
+    release,
+    stored,
+    stored_at,
+    words_of,
+)
+from playlog.session import work_folder
 
 TREES = 16
 DEPTH = 8  # values of a signature in a tree
@@ -334,12 +348,14 @@ def confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Dat
     found = docs.select("doc_id", "text", id_bit(F.col("doc_id")).alias("bit")).mapInArrow(
         functools.partial(_sets, size=size, bitmap=bitmap), "id bigint, shingles binary"
     )
-    sets = stored(found, "dedup-sets")
+    path = work_folder(docs.sparkSession, "dedup-sets")
+    sets = stored_at(found, path)
     joined = pairs.join(sets.withColumnsRenamed({"id": "b", "shingles": "set_b"}), "b")
     joined = joined.join(sets.withColumnsRenamed({"id": "a", "shingles": "set_a"}), "a")
-    return joined.select("a", "b", "set_a", "set_b").mapInArrow(
-        functools.partial(_confirmed, percent=percent), "a bigint, b bigint"
-    )
+    joined = joined.select("a", "b", "set_a", "set_b")
+    good = stored(joined.mapInArrow(functools.partial(_confirmed, percent=percent), "a bigint, b bigint"), "dedup-confirmed")
+    emptied(docs.sparkSession, path)
+    return good
 
 
 def _moving(batches: Iterator[pa.RecordBatch], old: Order, new: Order) -> Iterator[pa.RecordBatch]:
@@ -381,6 +397,8 @@ def mended(docs: DataFrame, vertices: DataFrame, order: Order, size: int, percen
 
     A set without a shingle at its start that is moved keeps its start, as what stays keeps its order.
     """
+    spark, path = docs.sparkSession, work_folder(docs.sparkSession, "dedup-starts")
+    vertices = stored_at(vertices, path)
     for _ in range(MOVES):
         firsts = vertices.select("id", "n", "component", "start").mapInArrow(_firsts, FIRSTS)
         counted = firsts.groupBy("shingle").agg(
@@ -390,8 +408,8 @@ def mended(docs: DataFrame, vertices: DataFrame, order: Order, size: int, percen
         if met.isEmpty():
             break
         bitmaps = [_bitmap(met.where(F.col("met") >= least)) for least in MET]
-        before = order.moved or tuple(np.zeros_like(bitmap) for bitmap in bitmaps)
-        new = Order(order.known, order.counts, tuple(a | b for a, b in zip(before, bitmaps, strict=True)))
+        moved = order.moved or tuple(np.zeros_like(bitmap) for bitmap in bitmaps)
+        new = Order(order.known, order.counts, tuple(a | b for a, b in zip(moved, bitmaps, strict=True)))
         moving = vertices.select("id", "start").mapInArrow(functools.partial(_moving, old=order, new=new), "id bigint")
         moving = stored(moving, "dedup-moving")
         if moving.isEmpty():
@@ -400,7 +418,9 @@ def mended(docs: DataFrame, vertices: DataFrame, order: Order, size: int, percen
         told = docs.select("doc_id", "text", id_bit(F.col("doc_id")).alias("bit"))
         starts = told.mapInArrow(again, "key binary, start binary").groupBy("key").agg(F.first("start").alias("moved"))
         joined = vertices.join(starts, "key", "left").withColumn("start", F.coalesce("moved", "start"))
-        vertices, order = stored(joined.select(*vertices.columns), "dedup-starts"), new
+        before, path = path, work_folder(spark, "dedup-starts")
+        vertices, order = stored_at(joined.select(*vertices.columns), path), new
+        emptied(spark, before)
     return vertices
 
 
@@ -533,26 +553,32 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     order = sampled_order(docs, size)
     sign = functools.partial(_signed, size=size, percent=percent, order=order)
     signed = docs.select("doc_id", "text").mapInArrow(sign, SIGNED)
-    signed = stored(signed, "dedup-signed")
+    # What is large is written twice at most at a time: a table goes as soon as the next one holds what is needed of it.
+    spark = docs.sparkSession
+    signed_path, same_path = work_folder(spark, "dedup-signed"), work_folder(spark, "dedup-same")
+    signed = stored_at(signed, signed_path)
     usable = signed.where(F.col("doc_id").isNotNull() & F.col("key").isNotNull())
     # Equal sets are one vertex, named by the smallest id.
     same = usable.groupBy("key").agg(
         F.min("doc_id").alias("first_id"), *[F.first(name).alias(name) for name in ("signature", "n_shingles", "start", "parity")]
     )
-    same = stored(same, "dedup-same")
+    same = stored_at(same, same_path)
+    placed = signed.drop("signature", "start", "parity").join(same.select("key", "first_id"), "key", "left")
+    placed = stored(placed, "dedup-placed")
+    emptied(spark, signed_path)
     pairs = candidates(same.select(F.col("first_id").alias("doc_id"), "signature"))
     pairs = stored(pairs, "dedup-pairs")
     named = docs.where(F.col("doc_id").isNotNull())
     links = confirmed(named, pairs, size, percent)
     # Rows of one id whose texts differ are one document, so what they stand for is linked.
-    placed = signed.drop("signature", "start", "parity").join(same.select("key", "first_id"), "key", "left")
     several = placed.groupBy("doc_id").agg(F.min("first_id").alias("a"), F.max("first_id").alias("b"))
     several = several.where("a < b").select("doc_id", "a")
     links = links.unionByName(placed.join(several, "doc_id").select("a", F.col("first_id").alias("b")))
     links = stored(links, "dedup-links")
     vertices = same.select(F.col("first_id").alias("id"), F.col("n_shingles").alias("n"), "key", "start", "parity")
     vertices = vertices.join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    vertices = mended(named, stored(vertices, "dedup-starts"), order, size, percent)
+    vertices = mended(named, vertices, order, size, percent)
+    emptied(spark, same_path)
     found = completed(named, vertices, links, size, percent)
     component = F.coalesce("component", "first_id", "doc_id")
     return (

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from playlog.llm import mixing, near_dedup
 from playlog.llm.components import components
 from playlog.llm.tables import count_words
+from playlog.session import work_folder
 
 
 def brute_groups(rows, size, percent):
@@ -263,3 +264,20 @@ def test_hashed_words_are_not_kept():
         assert tracemalloc.get_traced_memory()[0] < 1 << 20
     finally:
         tracemalloc.stop()
+
+
+def test_large_tables_go_when_they_are_used(spark, monkeypatch):
+    paths = {}
+
+    def noted(spark, name):
+        paths.setdefault(name, []).append(work_folder(spark, name))
+        return paths[name][-1]
+
+    monkeypatch.setattr(near_dedup, "work_folder", noted)
+    base = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join([*base[: 50 + k % 8], f"x{k}"])) for k in range(40)]
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {row["doc_id"]: row["component_id"] for row in found} == brute_groups(rows, 5, 80)
+    gone = [path for name in ("dedup-signed", "dedup-same", "dedup-sets") for path in paths[name]]
+    gone += paths["dedup-starts"][:-1]
+    assert all(spark.read.parquet(path).columns == ["gone"] for path in gone)
