@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -89,3 +90,17 @@ def test_stages_of_odd_and_no_rows(spark, docs, no_docs):
         for name, stage in corpus_pipeline.STAGES:
             rows = stored(stage(spark, rows, SF_DIR), f"odd-{name}")
         assert rows.count() <= 3 * table.count()
+
+
+def test_workers_get_few_bytes_at_once(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.range(4_000).selectExpr("id AS doc_id", "repeat('long text ', 300) AS text", "'en' AS lang", "'a' AS source", "1L AS n_chars")
+    docs = docs.coalesce(1)
+    corpus_pipeline.encode(spark, docs, SF_DIR)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch({"size": [batch.nbytes]})
+
+    found = [row["size"] for row in docs.select("doc_id", "text").mapInArrow(sizes, "size bigint").collect()]
+    assert sum(found) > 10 << 20 and max(found) <= 2 << 20
