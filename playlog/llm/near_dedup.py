@@ -59,6 +59,11 @@ REGION_BYTES = 1 + LEAST_DEPTH * VALUE_BYTES
 BLOCK_ROWS = 8_192  # of a region looked at together
 SLICE_ROWS = 512  # of pairs or sets that are taken apart together
 MOVED_BITS = 24  # of the bitmaps that tell which shingles were moved, 2 MB each
+CONTESTED_BITS = (24, 29)  # least and most of the bitmap that tells which shingles are contested, 2 and 64 MB
+BITS_EACH = 16  # of that bitmap for each contested shingle, up to the most
+# A shingle has a bit of a bitmap for each of these shifts. The first of its bits are left out: the shingles at the start of a
+# set are the smallest of it, so that they differ little there.
+SHIFTS = (0, 15, 30)
 SAMPLE = 10_000  # documents that tell which shingles are common; the order of shingles decides about time only
 COMMON = 200_000
 MANY = 4  # pairs to look at, for each document, from which on hubs go first
@@ -110,16 +115,19 @@ def signature(shingles: np.ndarray) -> bytes:
     return least.astype(">u2").tobytes()
 
 
-def _set_bits(bitmap: np.ndarray, shingles: np.ndarray) -> np.ndarray:
-    """Which shingles have their bit, told by their first bits, set."""
-    bits = shingles >> np.uint64(64 - MOVED_BITS)
-    return (bitmap[bits >> np.uint64(3)] >> (bits & np.uint64(7)).astype(np.uint8)) & 1 == 1
+def _told(bitmap: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    """The places of the shingles that have all their bits set."""
+    found = np.arange(len(shingles))
+    for shift in SHIFTS:
+        bits = (shingles[found] >> np.uint64(shift)) & np.uint64(8 * len(bitmap) - 1)
+        found = found[(bitmap[bits >> np.uint64(3)] >> (bits & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+    return found
 
 
 @dataclass(frozen=True)
 class Order:
     """An order of all shingles: by how far they were moved to the end, by how many documents of a sample have them, by
-    their value. Moved shingles are told by bitmaps of a fixed size; others that meet a bit are moved with them."""
+    their value. Moved shingles are told by bitmaps of a fixed size; others that meet their bits are moved with them."""
 
     known: np.ndarray
     counts: np.ndarray
@@ -129,7 +137,7 @@ class Order:
         """How far each shingle was moved."""
         steps = np.zeros(len(shingles), np.int64)
         for step, bitmap in enumerate(self.moved, 1):
-            steps[_set_bits(bitmap, shingles)] = step
+            steps[_told(bitmap, shingles)] = step
         return steps
 
     def start_of(self, shingles: np.ndarray, percent: int) -> np.ndarray:
@@ -308,14 +316,14 @@ def candidates(signed: DataFrame) -> DataFrame:
     return pairs.unionByName(over).distinct()
 
 
-def _told(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _with_bit(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Blocks of the rows whose bit is set."""
     for block in blocks(batches, "text"):
         yield block.filter(pa.array(bits_set(block.column("bit"), bitmap)))
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int, bitmap: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for block in _told(batches, bitmap):
+    for block in _with_bit(batches, bitmap):
         sets = [shingle_set(text, size).tobytes() for text in as_bytes(block.column("text"))]
         yield pa.record_batch({"id": block.column("doc_id"), "shingles": pa.array(sets, pa.binary())})
     release()
@@ -372,26 +380,33 @@ def _moving(batches: Iterator[pa.RecordBatch], old: Order, new: Order) -> Iterat
 def _restarted(
     batches: Iterator[pa.RecordBatch], size: int, percent: int, order: Order, bitmap: np.ndarray
 ) -> Iterator[pa.RecordBatch]:
-    for block in _told(batches, bitmap):
+    for block in _with_bit(batches, bitmap):
         sets = [own for text in as_bytes(block.column("text")) if len(own := shingle_set(text, size))]
         keys, starts = [key_of(own) for own in sets], [order.start_of(own, percent).tobytes() for own in sets]
         yield pa.record_batch({"key": pa.array(keys, pa.binary()), "start": pa.array(starts, pa.binary())})
     release()
 
 
-def _bitmap(shingles: DataFrame) -> np.ndarray:
-    """The bits of shingles, by their first bits; filled in the tasks."""
-    place = F.shiftrightunsigned("shingle", 64 - MOVED_BITS) + 1
-    bitmaps = shingles.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")
-    )
-    out = np.zeros((1 << MOVED_BITS) // 8, np.uint8)
+def _bitmap(shingles: DataFrame, bits: int = MOVED_BITS) -> np.ndarray:
+    """A bitmap of ``2 ** bits`` with the bits of all shingles set; filled in the tasks."""
+    places = [F.shiftrightunsigned("shingle", shift).bitwiseAND(F.lit((1 << bits) - 1)) + 1 for shift in SHIFTS]
+    places = shingles.select(F.explode(F.array(*places)).alias("place"))
+    places = places.select(F.bitmap_bucket_number("place").alias("bucket"), F.bitmap_bit_position("place").alias("bit"))
+    # Bits are shuffled rather than bitmaps, of which every task would have one for each bucket.
+    bitmaps = places.repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = np.zeros((1 << bits) // 8, np.uint8)
     for row in bitmaps.collect():
         own = np.frombuffer(row["bits"], np.uint8)
         out[(row["bucket"] - 1) * len(own) : row["bucket"] * len(own)] = own
     return out
 
 
+def contested_bits(contested: int) -> int:
+    """The bits of a bitmap of so many shingles, as a power of two: enough that hardly any others are told with them."""
+    least, most = CONTESTED_BITS
+    return min(max(least, (BITS_EACH * contested - 1).bit_length()), most)
+
+
 def mended(docs: DataFrame, vertices: DataFrame, order: Order, size: int, percent: int) -> DataFrame:
     """``vertices`` with the starts of their sets by an order that has shingles at which many would meet at its end.
 
@@ -427,7 +442,7 @@ def mended(docs: DataFrame, vertices: DataFrame, order: Order, size: int, percen
 def _firsts(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """A row for each shingle at the start of a set, with its place there.
 
-    With a bitmap, only of those whose bit is set, and with the parities of the set, folded to 256 bits.
+    With a bitmap, only of those whose bits are set, and with the parities of the set, folded to 256 bits.
     """
     for batch in _slices(batches):
         starts = batch.column("start").to_pylist()
@@ -438,7 +453,7 @@ def _firsts(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray | None = None)
         row = np.repeat(np.arange(len(starts)), sizes)
         place = np.arange(len(row)) - np.repeat(ends - sizes, sizes)
         if bitmap is not None:
-            told = np.flatnonzero(_set_bits(bitmap, shingles))
+            told = _told(bitmap, shingles)
             shingles, row, place = shingles[told], row[told], place[told]
             parities = batch.column("parity").to_pylist()
             own = [np.bitwise_xor.reduce(np.frombuffer(parity, "<i8").reshape(-1, len(FOLDED))) for parity in parities]
@@ -502,10 +517,10 @@ def completed(docs: DataFrame, vertices: DataFrame, links: DataFrame, size: int,
     firsts = sets.select("id", "n", "component", "start").mapInArrow(_firsts, FIRSTS)
     contested = firsts.groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("most"))
     contested = stored(contested.where("least < most").select("shingle"), "dedup-contested")
-    # Few shingles are contested: the others are left where they are, told by a bitmap.
-    told = sets.select("id", "n", "component", "start", "parity").mapInArrow(
-        functools.partial(_firsts, bitmap=_bitmap(contested)), MEETING
-    )
+    # Few shingles are contested: the others are left where they are, told by a bitmap. It grows with the contested ones, as
+    # in one of a fixed size the others that are told would grow with the square of the input.
+    bitmap = _bitmap(contested, contested_bits(contested.count()))
+    told = sets.select("id", "n", "component", "start", "parity").mapInArrow(functools.partial(_firsts, bitmap=bitmap), MEETING)
     meet = stored(told.join(contested, "shingle").select("id", "n", "shingle", "place", *FOLDED), "dedup-meet")
     # Texts of one id that differ are several sets, but one vertex.
     vertices = stored(vertices.select("id", "component").distinct(), "dedup-vertices")

@@ -127,6 +127,31 @@ def test_sets_that_share_little_do_not_meet(spark):
     assert len(found) < 30  # of 1,891 pairs that share the passage
 
 
+def test_contested_shingles_are_told_from_others_at_a_start(spark):
+    """The shingles at the start of a set are small numbers, contested or not."""
+    shingles = spark.range(300_200).select(F.shiftrightunsigned(F.xxhash64("id"), 3).alias("shingle"), "id")
+    bitmap = near_dedup._bitmap(shingles.where("id < 300000").select("shingle"))
+    contested = shingles.where("id BETWEEN 299900 AND 299999").toPandas()["shingle"].to_numpy()
+    others = np.random.default_rng(3).integers(0, 1 << 61, 20_000, np.uint64)
+    starts = [contested.view(np.uint64), *np.split(others, 100)]
+    rows = [(k, len(own), k, own.tobytes(), near_dedup.parity_of(own)) for k, own in enumerate(starts)]
+    vertices = spark.createDataFrame(rows, "id long, n long, component long, start binary, parity binary")
+    told = vertices.mapInArrow(functools.partial(near_dedup._firsts, bitmap=bitmap), near_dedup.MEETING)
+    counts = {row["found"]: row["count"] for row in told.groupBy((F.col("id") == 0).alias("found")).count().collect()}
+    assert counts[True] == 100
+    assert counts.get(False, 0) < 100  # of 20,000
+
+
+def test_bitmap_grows_with_contested_shingles(spark):
+    assert [near_dedup.contested_bits(n) for n in (0, 1 << 20, (1 << 20) + 1, 1 << 23, 1 << 40)] == [24, 24, 25, 27, 29]
+    shingles = spark.range(50_000).select(F.xxhash64("id").alias("shingle"))
+    bitmap = near_dedup._bitmap(shingles, 26)
+    own = shingles.toPandas()["shingle"].to_numpy().view(np.uint64)
+    assert len(bitmap) == 1 << 23
+    assert len(near_dedup._told(bitmap, own)) == len(own)
+    assert len(near_dedup._told(bitmap, np.random.default_rng(4).integers(0, 1 << 63, 50_000, np.uint64))) < 50
+
+
 @pytest.mark.parametrize("table", ["docs", "clashing"])
 def test_odd_rows(request, table):
     rows = request.getfixturevalue(table)
